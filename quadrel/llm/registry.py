@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, minhash, mixing, repeats
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
+    "op5_mix": mixing.op5_mix,
+    "op7_minhash": minhash.op7_minhash,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES: dict[str, str] = {}
