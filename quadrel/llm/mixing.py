@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -35,21 +35,18 @@ _COLUMNS = "doc_id bigint, mark bigint, source string, bucket bigint, size bigin
 def targets(sized: DataFrame) -> DataFrame:
     """One row per source: source, n_docs, source_size, target. The windows run over sources, not documents."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    weights = ", ".join(map(str, WEIGHTS))
-    sums.createOrReplaceTempView(name := f"quadrel_mix_{id(sums):x}")
-    return sized.sparkSession.sql(f"""
-        WITH weighed AS (
-          SELECT *, element_at(array({weights}), cast((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} AS int) + 1) AS w,
-                 {SHARE}D * sum(source_size) OVER () AS total
-          FROM {name}),
-        levels AS (
-          SELECT *, row_number() OVER o AS place,
-                 (total - coalesce(sum({CAP} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                 / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-          FROM weighed WINDOW o AS (ORDER BY {CAP} * source_size / w, source NULLS LAST))
-        SELECT source, n_docs, source_size,
-               least({CAP}D * source_size, w * coalesce(min_by(level, place) FILTER (WHERE level <= {CAP} * source_size / w) OVER (), 1e300D)) AS target
-        FROM levels""")
+    named = Window.orderBy(F.col("source").asc_nulls_last())
+    place = (F.row_number().over(named) - 1) % len(WEIGHTS) + 1
+    weighed = sums.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), place)).withColumn("cap", CAP * F.col("source_size"))
+    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    full = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    level = (SHARE * F.sum("source_size").over(everything) - full) / left
+    levels = weighed.withColumn("level", level).withColumn("place", F.row_number().over(order))
+    fits = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("place", "level"))
+    chosen = F.coalesce(F.min(fits).over(everything)["level"], F.lit(1e300))
+    return levels.select("source", "n_docs", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * chosen).alias("target"))
 
 
 def pivot(sizes: list[int], p: list[float], rng: np.random.Generator) -> tuple[list[int | None], float]:
@@ -76,7 +73,7 @@ def pivot(sizes: list[int], p: list[float], rng: np.random.Generator) -> tuple[l
 
 
 def _round(level: int, last: bool):
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         rows = rows.sort_by([("mark", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
         seed = hashlib.sha256(repr((level, key[0].as_py(), key[1].as_py())).encode()).digest()
         rng = np.random.default_rng(int.from_bytes(seed[:8], "little"))
