@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, repeats
+from . import bpe, language, minhash, mixing, quality, repeats, simhash, toxicity
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language": language.op3_language,
     "op4_bpe": bpe.op4_bpe,
     "op5_mix": mixing.op5_mix,
+    "op6_quality": quality.op6_quality,
     "op7_minhash": minhash.op7_minhash,
     "op10_repeats": repeats.op10_repeats,
 }

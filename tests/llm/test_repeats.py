@@ -62,7 +62,7 @@ def test_levels_merge_geometrically():
     f = repeats.Family()
     for k in range(64):
         z = np.arange(8) + 8 * k
-        f.add({"g": z, "c": z, "row": z, "start": z, "end": z + 200, "known": np.zeros(8, bool)})
+        f.add({"g": z, "c": z, "row": z, "at": z, "known": np.zeros(8, bool)})
         assert len(f.levels) <= 7
     assert len(f.whole()["g"]) == 512 and not f.found
 
