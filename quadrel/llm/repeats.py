@@ -7,8 +7,10 @@ array, ordered by (hash of the gram, hash of all bytes of the run's strings).
 
 Entries are dealt out by gram. Each task keeps a logarithmic index family: every batch is sorted into a suffix array
 and becomes a level; levels of equal size are merge-scanned for equal entries, and merged geometrically. Equal entries are repeats
-as a whole. Entries that share the gram but not the whole run (at the edges of a repeat) are resolved start by start:
-the LENGTH-byte string of each such start goes through a second index of the same kind.
+as a whole. Entries that share the gram but not the whole run (at the edges of a repeat) are divided and go through further
+indexes of the same kind, in parts of STEPS starts: parts with equal bytes are repeats as a whole, parts whose common bytes
+(those that all their strings hold) meet nothing are none, the others are divided again, at last into single starts. The few bytes
+around such entries are kept in a table of their own, and whole texts are shuffled deflated.
 Equal entries of one input partition are found before the shuffle and sent as one marker, so a passage that a third
 of all rows share costs one row per partition.
 
@@ -20,6 +22,8 @@ of a text with itself count; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +35,23 @@ from .common import table, written
 
 LENGTH, GRAM = 200, 48
 _WINDOW = LENGTH - GRAM + 1
+#: Starts in the parts that undecided entries are divided into, step by step.
+STEPS = (8, 1)
 #: Entries of a batch that becomes a level of an index family.
 BATCH = 1 << 16
 _LOW = U(0xFFFFFFFF)
+#: Rows that are worked on at once where texts come deflated.
+ROWS = 256
 #: Kinds of rows: an entry, a range already known to repeat, an entry that is known to repeat and has been reported.
 ENTRY, RANGE, MARKER = 0, 1, 2
 
 
 def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram hash, run hash, row, first start, last start) of the runs of a piece; starts count from the piece."""
+    """(gram hash, run hash, row, first start, last start, start of the gram) of the runs of a piece; starts count from the piece."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z.view(U), z.view(U), z, z, z
+        return z.view(U), z.view(U), z, z, z, z
     grams = Rolling(data).every(GRAM)
     low = (grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U)
     span = 1
@@ -64,7 +72,7 @@ def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     last = start[np.concatenate([edge - 1, [len(start) - 1]])] if len(start) else start
     at = chosen[np.concatenate([[0], edge])] if len(start) else start
     run = mix(Rolling(data, 1).of(first, last + LENGTH) + (at - first).astype(U))
-    return grams[at], run, np.searchsorted(offs, first, "right") - 1, first, last
+    return grams[at], run, np.searchsorted(offs, first, "right") - 1, first, last, at
 
 
 def joined(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +91,15 @@ def joined(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[first], start[first], np.maximum.reduceat(end, first)
 
 
+def packed(start: np.ndarray, span: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """One number for the first start, the number of starts and the gram's distance from the first."""
+    return start << 17 | span << 8 | gram
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 17, at >> 8 & 511, at & 255
+
+
 class Family:
     """Levels of entries sorted by (g, c), unique in it; equal ones are reported as ranges when levels meet."""
 
@@ -102,7 +119,8 @@ class Family:
         repeat = np.repeat(many, size)
         tell = repeat & ~e["known"]
         if tell.any():
-            self.found.append((e["row"][tell], e["start"][tell], e["end"][tell]))
+            start, span, _ = unpacked(e["at"][tell])
+            self.found.append((e["row"][tell], start, start + span + LENGTH - 1))
             e["known"] = e["known"] | repeat
         return {k: v[first] for k, v in e.items()}
 
@@ -131,15 +149,21 @@ def _both(a: dict, b: dict) -> dict:
     return {k: np.concatenate([a[k], b[k]]) for k in a}
 
 
-_NAMES = ("g", "c", "row", "start", "end")
-_ENTRIES = "route bigint, kind tinyint, g bigint, c bigint, row bigint, start bigint, end bigint"
-_RESULTS = "kind tinyint, g bigint, row bigint, start bigint, end bigint"
+_NAMES = ("g", "c", "row", "at")
+#: A RANGE has its start in at and its end in c.
+_ROWS = "kind tinyint, g bigint, c bigint, row bigint, at bigint"
+
+
+def _rows(kind: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], ["kind", *_NAMES])
 
 
 def _ranges(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    z = np.zeros(len(owner), np.int64)
-    cols = [mix(owner.view(U)).view(np.int64), np.full(len(owner), RANGE, np.int8), z, z, owner, start, end]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["route", "kind", *_NAMES])
+    return _rows(np.full(len(owner), RANGE, np.int8), mix(owner.view(U)).view(np.int64), end, owner, start)
+
+
+def _kind(e: dict[str, np.ndarray]) -> np.ndarray:
+    return np.where(e["known"], MARKER, ENTRY).astype(np.int8)
 
 
 def _collapsed(e: dict[str, np.ndarray]):
@@ -148,9 +172,7 @@ def _collapsed(e: dict[str, np.ndarray]):
     left = own.scan(e)
     if own.found:
         yield _ranges(*own.ranges())
-    kind = np.where(left["known"], MARKER, ENTRY).astype(np.int8)
-    cols = [left["g"], kind, *(left[k] for k in _NAMES)]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["route", "kind", *_NAMES])
+    yield _rows(_kind(left), *(left[k] for k in _NAMES))
 
 
 def _gathered(parts, size: int = 1 << 19):
@@ -171,45 +193,93 @@ def _index_entries(batches):
         for batch in batches:
             key = batch.column("row").to_numpy(zero_copy_only=False)
             for i, _, data, offs in pieces(batch.column("text")):
-                g, c, row, first, last = runs(data, offs)
+                g, c, row, first, last, gram = runs(data, offs)
                 if len(g):
-                    base = offs[row]
-                    yield {"g": g.view(np.int64), "c": c.view(np.int64), "row": key[i + row], "start": first - base, "end": last + LENGTH - base, "known": np.zeros(len(g), bool)}
+                    yield {"g": g.view(np.int64), "c": c.view(np.int64), "row": key[i + row], "at": packed(first - offs[row], last - first + 1, gram - first), "known": np.zeros(len(g), bool)}
 
     for e in _gathered(parts()):
         yield from _collapsed(e)
 
 
-def _start_entries(batches):
-    def parts():
-        for batch in batches:
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    offs = column.offsets.to_numpy()
+    return offs - offs[0], column.values.slice(offs[0], offs[-1] - offs[0])
+
+
+def _sliced(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
+def _surroundings(batches):
+    """Per row the bytes of its undecided entries: seg_at, where runs of bytes start in the text, seg_to, their ends in bytes."""
+    for batch in _sliced(batches):
+        offs, item = _lists(batch.column("todo"))
+        at = item.field("at").to_numpy()
+        seg_at, seg_to, data = [], [], []
+        for r, z in enumerate(batch.column("packed").to_pylist()):
+            raw = zlib.decompress(z)
+            start, span, _ = unpacked(at[offs[r] : offs[r + 1]])
+            _, a, b = joined(np.zeros(len(start), np.int64), start, start + span + LENGTH - 1)
+            seg_at.append(a.tolist())
+            seg_to.append(np.cumsum(b - a).tolist())
+            data.append(b"".join([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("todo"), pa.array(seg_at, kind), pa.array(seg_to, kind), pa.array(data, pa.binary())], ["row", "todo", "seg_at", "seg_to", "data"])
+
+
+def divided(start: np.ndarray, span: np.ndarray, gram: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """(entry, first start, last start, start of the common bytes, their end) of the parts of entries.
+
+    Parts are counted from the gram, so equal strings fall into equal parts whatever their entries' ends are; the
+    common bytes are those of a whole part even where an entry holds only some of its starts."""
+    low, high = (gram - span + 1) // step, gram // step
+    n = high - low + 1
+    entry = np.repeat(np.arange(len(start)), n)
+    q = low[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+    zero = (start + gram)[entry]
+    least, most = zero - (q * step + step - 1), zero - q * step
+    first = np.maximum(least, start[entry])
+    last = np.minimum(most, (start + span - 1)[entry])
+    return entry, first, last, most, least + LENGTH
+
+
+def _part_entries(step: int):
+    def parts(batches):
+        for batch in _sliced(batches):
             key = batch.column("row").to_numpy(zero_copy_only=False)
-            todo = batch.column("todo")
-            at = todo.offsets.to_numpy()
-            item = todo.flatten() if todo.offset else todo.values
-            g, start, end, known = (item.field(k).to_numpy(zero_copy_only=False) for k in ("g", "start", "end", "known"))
-            at = at - at[0] if todo.offset else at
-            for i, j, data, offs in pieces(batch.column("text")):
-                a, b = at[i], at[j]
-                if a == b:
-                    continue
-                row = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
-                n = end[a:b] - start[a:b] - LENGTH + 1
-                which = np.repeat(np.arange(b - a), n)
-                s = start[a:b][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                h = Rolling(data, 1).of(s + offs[row[which]], s + offs[row[which]] + LENGTH)
-                yield {"g": h.view(np.int64), "c": g[a:b][which], "row": key[i:j][row[which]], "start": s, "end": s + LENGTH, "known": known[a:b][which]}
+            offs, item = _lists(batch.column("todo"))
+            seg_offs, seg_at = _lists(batch.column("seg_at"))
+            seg_at, seg_to = seg_at.to_numpy(), _lists(batch.column("seg_to"))[1].to_numpy()
+            data = batch.column("data").to_pylist()
+            base = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+            row = np.repeat(np.arange(len(key)), np.diff(offs))
+            start, span, gram = unpacked(item.field("at").to_numpy())
+            known = item.field("known").to_numpy(zero_copy_only=False)
+            # place in the joined data of each text position: by the run of bytes that holds it
+            seg_row = np.repeat(np.arange(len(key)), np.diff(seg_offs))
+            seg_from = np.concatenate([[0], seg_to[:-1]])
+            seg_from[seg_offs[:-1][np.diff(seg_offs) > 0]] = 0
+            wide = 1 << 33
+            seg = np.searchsorted(seg_row * wide + seg_at, row * wide + start, "right") - 1
+            shift = base[row] + seg_from[seg] - seg_at[seg]
+            entry, first, last, common, until = divided(start, span, gram, step)
+            move = shift[entry]
+            flat = np.frombuffer(b"".join(data), np.uint8)
+            c = Rolling(flat, 1).of(first + move, last + LENGTH + move)
+            g = Rolling(flat).of(common + move, until + move)
+            yield {"g": g.view(np.int64), "c": c.view(np.int64), "row": key[row[entry]], "at": packed(first, last - first + 1, (start + gram)[entry] - first), "known": known[entry]}
 
-    for e in _gathered(parts()):
-        yield from _collapsed(e)
+    def run(batches):
+        for e in _gathered(parts(batches)):
+            yield from _collapsed(e)
+
+    return run
 
 
 def _family(edges: bool):
-    """One index family over what is dealt to a task. edges: also give the entries whose gram meets other runs."""
-
-    def out(owner, start, end, kind, g=None):
-        g = np.zeros(len(owner), np.int64) if g is None else g
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(g), pa.array(owner), pa.array(start), pa.array(end)], ["kind", "g", *_NAMES[2:]])
+    """One index family over what is dealt to a task. edges: also give the entries that meet others under their g."""
 
     def run(batches):
         index = Family()
@@ -221,33 +291,47 @@ def _family(edges: bool):
                 cols = {k: batch.column(k).to_numpy() for k in _NAMES}
                 is_range = kind == RANGE
                 if is_range.any():
-                    ready.append(tuple(cols[k][is_range] for k in _NAMES[2:]))
+                    ready.append((cols["row"][is_range], cols["at"][is_range], cols["c"][is_range]))
                 yield {k: v[~is_range] for k, v in cols.items()} | {"known": (kind == MARKER)[~is_range]}
 
         for e in _gathered(parts(), BATCH):
             index.add(e)
             for r in (*ready, index.ranges()):
-                yield out(*r, np.full(len(r[0]), RANGE, np.int8))
+                yield _ranges(*r)
             ready.clear()
         e = index.whole()
         for r in (*ready, index.ranges()):
-            yield out(*r, np.full(len(r[0]), RANGE, np.int8))
+            yield _ranges(*r)
         if edges and e is not None and len(e["g"]) > 1:
             same = e["g"][1:] == e["g"][:-1]
             meets = np.append(same, False) | np.insert(same, 0, False)
-            kind = np.where(e["known"], MARKER, ENTRY).astype(np.int8)
-            yield out(e["row"][meets], e["start"][meets], e["end"][meets], kind[meets], e["g"][meets])
+            yield _rows(_kind(e)[meets], *(e[k][meets] for k in _NAMES))
+
+    return run
+
+
+def _deflated(columns: list[str]):
+    def run(batches):
+        for batch in _sliced(batches):
+            z = [zlib.compress((t or "").encode(), 3) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in columns), pa.array(z, pa.binary())], [*columns, "packed"])
 
     return run
 
 
+def deflated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """columns and packed, the deflated text of every row of rows."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
+    return rows.select(*columns, "text").mapInArrow(_deflated(columns), f"{fields}, packed binary")
+
+
 def _cut(keep: list[str], texts: bool):
     def run(batches):
-        for batch in batches:
-            text, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+        for batch in _sliced(batches):
+            text, spans = batch.column("packed").to_pylist(), batch.column("spans").to_pylist()
             size, gone, count, sha, left = [], [], [], [], []
             for t, rs in zip(text, spans, strict=True):
-                raw = (t or "").encode()
+                raw = zlib.decompress(t)
                 rest, at, lost, n = [], 0, 0, 0
                 if rs:
                     got = np.array([(r["start"], r["end"]) for r in rs], np.int64)
@@ -261,7 +345,7 @@ def _cut(keep: list[str], texts: bool):
                 gone.append(lost)
                 count.append(n)
                 if texts:
-                    left.append(None if t is None else kept.decode("utf-8", "ignore"))
+                    left.append(kept.decode("utf-8", "ignore"))
                 else:
                     sha.append(hashlib.sha256(kept).hexdigest())
             cols = [batch.column(k) for k in keep] + [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64())]
@@ -270,20 +354,35 @@ def _cut(keep: list[str], texts: bool):
     return run
 
 
+def _todo(found: DataFrame) -> DataFrame:
+    known = F.expr(f"kind = {MARKER}").alias("known")
+    return found.where(f"kind <> {RANGE}").groupBy("row").agg(F.collect_list(F.struct("at", known)).alias("todo"))
+
+
+def _dealt(entries: DataFrame, edges: bool) -> DataFrame:
+    return entries.repartition("g").mapInArrow(_family(edges), _ROWS)
+
+
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """(row, start, end), byte ranges of rows (row bigint, text) that repeat; they may overlap."""
-    first = written(
-        rows.mapInArrow(_index_entries, _ENTRIES).repartition("route").drop("route").mapInArrow(_family(True), _RESULTS)
-    )
-    todo = first.where(f"kind <> {RANGE}").groupBy("row").agg(F.collect_list(F.struct("g", "start", "end", F.expr(f"kind = {MARKER}").alias("known"))).alias("todo"))
-    second = rows.join(todo, "row").mapInArrow(_start_entries, _ENTRIES).repartition("route").drop("route").mapInArrow(_family(False), _RESULTS)
-    return first.where(f"kind = {RANGE}").unionByName(second.where(f"kind = {RANGE}")).select("row", "start", "end")
+    found = [written(_dealt(rows.mapInArrow(_index_entries, _ROWS), True))]
+    todo = "array<struct<at: bigint, known: boolean>>"
+    around = deflated(rows, ["row"]).join(_todo(found[0]), "row")
+    around = written(around.mapInArrow(_surroundings, f"row bigint, todo {todo}, seg_at array<bigint>, seg_to array<bigint>, data binary"))
+    for step in STEPS:
+        last = step == STEPS[-1]
+        part = _dealt(around.mapInArrow(_part_entries(step), _ROWS), not last)
+        found.append(part if last else written(part))
+        if not last:
+            around = around.drop("todo").join(_todo(found[-1]), "row")
+    ranges = [f.where(f"kind = {RANGE}").select("row", F.col("at").alias("start"), F.col("c").alias("end")) for f in found]
+    return reduce(DataFrame.unionByName, ranges)
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], texts: bool = True) -> DataFrame:
     """keep, n_bytes, n_removed, n_spans and kept_text (kept_sha256 unless texts) of every row of docs.
 
-    kept_text drops the rest of a character that a cut has split; the digest is of the exact bytes.
+    kept_text drops the rest of a character that a cut has split, and is '' for null; the digest is of the exact bytes.
     """
     key = F.xxhash64("doc_id", "text").alias("row")
     rows = docs.select(key, "text")
@@ -292,7 +391,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], texts: bool = True) -> Data
     last = "kept_text string" if texts else "kept_sha256 string"
     if {"text", "spans", "row"} & set(keep):
         raise ValueError("keep must not hold text, spans or row")
-    named = docs.select(key, "text", *keep).join(spans, "row", "left").drop("row")
+    named = deflated(docs.select(key, "text", *keep), ["row", *keep]).join(spans, "row", "left").drop("row")
     return named.mapInArrow(_cut(keep, texts), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, {last}")
 
 

@@ -49,8 +49,9 @@ def corpus(seed):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    for seed, batch in ((1, 1 << 16), (2, 64)):
+    for seed, batch in ((1, 1 << 16), (2, 5)):
         monkeypatch.setattr(repeats, "BATCH", batch)
+        monkeypatch.setattr(repeats, "ROWS", batch)
         rows = corpus(seed)
         docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id bigint, text string, kind string, start int").repartition(3)
         assert result(repeats.remove_repeats(docs, ["doc_id"], texts=False)) == brute(rows)
