@@ -1,7 +1,424 @@
-"""Registered queries over the driver's tables and their DuckDB SQL."""
+"""Registered queries over the driver's tables and their DuckDB SQL.
+
+A kg_ query goes from tables through quads and SPARQL or an operator back to rows; its SQL never sees a triple."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrel.functions.terms import OWL, RDF, RDFS, XSD
+from quadrel.operators import checks, paths, reason
+from quadrel.operators.store import QuadStore
+from quadrel.plans import direct_mapping as dm
+from quadrel.plans import sparql
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "kg_topk_expr"
-QUERIES: dict = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+KG = dm.KG
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def by_sparql(name: str, text: str, sql: str, **casts: str) -> None:
+    """Register a SPARQL query; casts: types of its columns other than string. Doubles are rounded to six digits."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = sparql.rows(dm.store(spark, sf_dir), text)
+        return df.select(*(_typed(c, casts.get(c)) for c in df.columns))
+
+    query(name, sql)(f)
+
+
+def _typed(column: str, kind: str | None):
+    c = F.col(column)
+    if kind is None:
+        return c
+    if kind == "double":
+        return F.round(c.cast("double"), 6).alias(column)
+    if kind == "bigint":
+        return c.cast("double").cast("bigint").alias(column)
+    return c.cast(kind).alias(column)
+
+
+# basic graph patterns
+
+by_sparql(
+    "kg_bgp_star",
+    "SELECT ?c ?name ?seg ?nation WHERE { ?c a kg:Customer ; rdfs:label ?name ; kg:segment ?seg ; kg:locatedIn ?nation . FILTER(?seg = 'BUILDING') }",
+    "SELECT 'urn:kg:customer/' || c_custkey AS c, c_name AS name, c_mktsegment AS seg, 'urn:kg:nation/' || c_nationkey AS nation FROM customer WHERE c_mktsegment = 'BUILDING'",
+)
+by_sparql(
+    "kg_bgp_chain",
+    "SELECT ?region (COUNT(?o) AS ?n) (SUM(?price) AS ?total) WHERE { ?o kg:placedBy ?c ; kg:price ?price . ?c kg:locatedIn/kg:partOf ?r . ?r rdfs:label ?region } GROUP BY ?region",
+    "SELECT r_name AS region, count(*) AS n, round(sum(o_totalprice), 6) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+    n="bigint", total="double",
+)
+_F_ORDERS = "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"
+by_sparql(
+    "kg_optional",
+    "SELECT ?c ?o WHERE { ?c a kg:Customer OPTIONAL { ?o kg:placedBy ?c ; kg:status 'F' } }",
+    f"SELECT 'urn:kg:customer/' || c_custkey AS c, 'urn:kg:orders/' || o_orderkey AS o FROM customer LEFT JOIN ({_F_ORDERS}) ON o_custkey = c_custkey",
+)
+by_sparql(
+    "kg_optional_filter",
+    "SELECT ?c ?o WHERE { ?c a kg:Customer ; kg:balance ?b OPTIONAL { ?o kg:placedBy ?c ; kg:price ?p FILTER(?p > 20 * ?b && ?p > 200000) } }",
+    "SELECT 'urn:kg:customer/' || c_custkey AS c, 'urn:kg:orders/' || o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 20 * c_acctbal AND o_totalprice > 200000",
+)
+by_sparql(
+    "kg_not_exists",
+    "SELECT ?c WHERE { ?c a kg:Customer FILTER NOT EXISTS { ?o kg:placedBy ?c ; kg:status 'F' } }",
+    f"SELECT 'urn:kg:customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM ({_F_ORDERS}))",
+)
+by_sparql(
+    "kg_not_exists_correlated",
+    "SELECT ?c WHERE { ?c kg:locatedIn ?n ; kg:segment ?s FILTER NOT EXISTS { ?d kg:locatedIn ?n ; kg:segment ?t FILTER(?t > ?s) } }",
+    """SELECT 'urn:kg:customer/' || c_custkey AS c FROM customer a WHERE NOT EXISTS
+       (SELECT 1 FROM customer b WHERE a.c_nationkey = b.c_nationkey AND b.c_mktsegment > a.c_mktsegment)""",
+)
+by_sparql(
+    "kg_minus",
+    "SELECT ?n WHERE { ?n a kg:Nation MINUS { ?s a kg:Supplier ; kg:locatedIn ?n } }",
+    "SELECT 'urn:kg:nation/' || n_nationkey AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+)
+by_sparql(
+    "kg_union",
+    "SELECT ?c ?seg ?s ?b WHERE { { ?c kg:segment ?seg } UNION { ?s a kg:Supplier ; kg:balance ?b } }",
+    """SELECT 'urn:kg:customer/' || c_custkey AS c, c_mktsegment AS seg, NULL AS s, NULL::DOUBLE AS b FROM customer
+       UNION ALL SELECT NULL, NULL, 'urn:kg:supplier/' || s_suppkey, round(s_acctbal, 6) FROM supplier""",
+    b="double",
+)
+by_sparql("kg_distinct", "SELECT DISTINCT ?seg WHERE { ?c kg:segment ?seg }", "SELECT DISTINCT c_mktsegment AS seg FROM customer")
+by_sparql("kg_ask", "ASK { ?c kg:balance ?b FILTER(?b < 0) }", "SELECT count(*) > 0 AS ask FROM (SELECT c_acctbal AS b FROM customer UNION ALL SELECT s_acctbal FROM supplier) WHERE b < 0")
+by_sparql(
+    "kg_values",
+    "SELECT ?n ?name WHERE { VALUES ?n { <urn:kg:nation/1> <urn:kg:nation/7> <urn:kg:nation/99> } ?n rdfs:label ?name }",
+    "SELECT 'urn:kg:nation/' || n_nationkey AS n, n_name AS name FROM nation WHERE n_nationkey IN (1, 7, 99)",
+)
+by_sparql(
+    "kg_in_filter",
+    "SELECT ?p ?b WHERE { ?p kg:brand ?b ; kg:size ?z FILTER(?z IN (1, 5, 9) && ?b NOT IN ('Brand#11', 'Brand#12')) }",
+    "SELECT 'urn:kg:part/' || p_partkey AS p, p_brand AS b FROM part WHERE p_size IN (1, 5, 9) AND p_brand NOT IN ('Brand#11', 'Brand#12')",
+)
+by_sparql(
+    "kg_string_functions",
+    "SELECT ?n ?a ?u (STRLEN(?l) AS ?k) WHERE { ?n a kg:Nation ; rdfs:label ?l FILTER(REGEX(?l, '^[a-n]', 'i') && !CONTAINS(?l, 'X')) BIND(STRAFTER(STR(?n), 'nation/') AS ?a) BIND(CONCAT(LCASE(SUBSTR(?l, 1, 2)), '-', ?a) AS ?u) }",
+    """SELECT 'urn:kg:nation/' || n_nationkey AS n, n_nationkey::VARCHAR AS a, lower(substr(n_name, 1, 2)) || '-' || n_nationkey AS u, length(n_name) AS k
+       FROM nation WHERE regexp_matches(n_name, '^[a-nA-N]') AND NOT contains(n_name, 'X')""",
+    k="bigint",
+)
+
+# aggregates and modifiers
+
+by_sparql(
+    "kg_group_count",
+    "SELECT ?nation (COUNT(*) AS ?n) (AVG(?b) AS ?mean) WHERE { ?c a kg:Customer ; kg:locatedIn ?x ; kg:balance ?b . ?x rdfs:label ?nation } GROUP BY ?nation HAVING (COUNT(*) > 3)",
+    "SELECT n_name AS nation, count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 3",
+    n="bigint", mean="double",
+)
+by_sparql(
+    "kg_group_count_distinct",
+    "SELECT ?nation (COUNT(DISTINCT ?seg) AS ?n) WHERE { ?c kg:segment ?seg ; kg:locatedIn/rdfs:label ?nation } GROUP BY ?nation",
+    "SELECT n_name AS nation, count(DISTINCT c_mktsegment) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    n="bigint",
+)
+by_sparql(
+    "kg_group_concat",
+    "SELECT ?region (GROUP_CONCAT(DISTINCT ?l; separator=' | ') AS ?names) WHERE { ?n kg:partOf ?r ; rdfs:label ?l . ?r rdfs:label ?region } GROUP BY ?region",
+    "SELECT r_name AS region, string_agg(n_name, ' | ' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+)
+by_sparql(
+    "kg_sample",
+    "SELECT ?brand (SAMPLE(?l) AS ?one) (MIN(?z) AS ?low) (MAX(?z) AS ?high) WHERE { ?p kg:brand ?brand ; rdfs:label ?l ; kg:size ?z } GROUP BY ?brand",
+    "SELECT p_brand AS brand, min(p_name) AS one, min(p_size) AS low, max(p_size) AS high FROM part GROUP BY 1",
+    low="int", high="int",
+)
+by_sparql(
+    FLAGSHIP,
+    """SELECT ?name ?nation (xsd:integer(ROUND(?b / 100)) AS ?hundreds) ?o WHERE {
+         ?c a kg:Customer ; rdfs:label ?name ; kg:balance ?b ; kg:locatedIn ?n . ?n rdfs:label ?nation
+         OPTIONAL { ?o kg:placedBy ?c ; kg:price ?p FILTER(?p > 400000) }
+         FILTER NOT EXISTS { ?c kg:segment 'MACHINERY' } } ORDER BY DESC(?b) ?name ?o LIMIT 10""",
+    """SELECT c_name AS name, n_name AS nation, CAST(floor(c_acctbal / 100 + 0.5) AS BIGINT) AS hundreds, 'urn:kg:orders/' || o_orderkey AS o
+       FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000
+       WHERE c_mktsegment <> 'MACHINERY' ORDER BY c_acctbal DESC, c_name, 'urn:kg:orders/' || o_orderkey NULLS FIRST LIMIT 10""",
+    hundreds="bigint",
+)
+by_sparql(
+    "kg_order_offset",
+    "SELECT ?p ?z WHERE { ?p kg:size ?z } ORDER BY ?z DESC(STR(?p)) LIMIT 20 OFFSET 5",
+    "SELECT 'urn:kg:part/' || p_partkey AS p, p_size AS z FROM part ORDER BY p_size, 'urn:kg:part/' || p_partkey DESC LIMIT 20 OFFSET 5",
+    z="int",
+)
+by_sparql(
+    "kg_subselect_limit",
+    "SELECT ?o ?name WHERE { { SELECT ?o ?c WHERE { ?o kg:price ?p ; kg:placedBy ?c } ORDER BY DESC(?p) ?o LIMIT 25 } ?c rdfs:label ?name }",
+    """SELECT 'urn:kg:orders/' || o_orderkey AS o, c_name AS name FROM
+       (SELECT * FROM orders ORDER BY o_totalprice DESC, 'urn:kg:orders/' || o_orderkey LIMIT 25) JOIN customer ON o_custkey = c_custkey""",
+)
+
+# property paths
+
+by_sparql(
+    "kg_path_alt",
+    "SELECT ?x ?y WHERE { ?x (kg:partOf|kg:locatedIn) ?y }",
+    """SELECT 'urn:kg:nation/' || n_nationkey AS x, 'urn:kg:region/' || n_regionkey AS y FROM nation
+       UNION ALL SELECT 'urn:kg:customer/' || c_custkey, 'urn:kg:nation/' || c_nationkey FROM customer
+       UNION ALL SELECT 'urn:kg:supplier/' || s_suppkey, 'urn:kg:nation/' || s_nationkey FROM supplier""",
+)
+by_sparql(
+    "kg_path_seq",
+    "SELECT ?s (COUNT(?o) AS ?n) WHERE { ?o kg:placedBy/kg:locatedIn/^kg:locatedIn ?s . ?s a kg:Supplier } GROUP BY ?s",
+    "SELECT 'urn:kg:supplier/' || s_suppkey AS s, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1",
+    n="bigint",
+)
+_UP = """WITH RECURSIVE e AS (SELECT 'urn:kg:nation/' || n_nationkey AS x, 'urn:kg:region/' || n_regionkey AS y FROM nation
+         UNION SELECT 'urn:kg:customer/' || c_custkey, 'urn:kg:nation/' || c_nationkey FROM customer
+         UNION SELECT 'urn:kg:supplier/' || s_suppkey, 'urn:kg:nation/' || s_nationkey FROM supplier),
+         c AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x) SELECT x, y FROM c"""
+by_sparql("kg_path_plus", "SELECT ?x ?y WHERE { ?x (kg:partOf|kg:locatedIn)+ ?y }", _UP)
+by_sparql("kg_path_bounded", "SELECT ?x ?y WHERE { ?x (kg:partOf|kg:locatedIn){1,2} ?y }", _UP)
+by_sparql(
+    "kg_path_star",
+    "SELECT ?c ?d WHERE { ?c rdfs:subClassOf* ?d . ?d a* ?d FILTER(?c = kg:UrgentOrder) }",
+    "SELECT 'urn:kg:UrgentOrder' AS c, 'urn:kg:' || d AS d FROM (VALUES ('UrgentOrder'), ('PriorityOrder'), ('Order')) t(d)",
+)
+
+# graphs, forms, services
+
+by_sparql(
+    "kg_graph_const",
+    "SELECT ?c ?d WHERE { GRAPH <urn:kg:graph/ontology> { ?c rdfs:subClassOf ?d } }",
+    """SELECT 'urn:kg:' || c AS c, 'urn:kg:' || d AS d FROM (VALUES ('UrgentOrder', 'PriorityOrder'), ('PriorityOrder', 'Order'), ('Customer', 'Organisation'),
+       ('Supplier', 'Organisation'), ('Nation', 'Place'), ('Region', 'Place')) t(c, d)""",
+)
+_N_TRIPLES = """(SELECT 3 * count(*) FROM nation) + (SELECT 2 * count(*) FROM region) + (SELECT 5 * count(*) FROM customer) + (SELECT 4 * count(*) FROM supplier)
+    + (SELECT 4 * count(*) FROM part) + (SELECT 5 * count(*) FROM orders) + (SELECT count(*) + count(text) + count(source) FROM documents)"""
+by_sparql(
+    "kg_graph_var",
+    "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g",
+    f"SELECT 'urn:kg:graph/data' AS g, {_N_TRIPLES} AS n UNION ALL SELECT 'urn:kg:graph/ontology', {len(dm.AXIOMS)}",
+    n="bigint",
+)
+by_sparql(
+    "kg_construct",
+    "CONSTRUCT { ?r kg:hasPart ?n . ?n kg:name ?l } WHERE { ?n kg:partOf ?r ; rdfs:label ?l }",
+    f"""SELECT 'urn:kg:region/' || n_regionkey AS s, 'urn:kg:hasPart' AS p, 'urn:kg:nation/' || n_nationkey AS o, 'uri' AS o_kind, '' AS o_lang, '' AS o_dt FROM nation
+       UNION ALL SELECT 'urn:kg:nation/' || n_nationkey, 'urn:kg:name', n_name, 'literal', '', '{XSD}string' FROM nation""",
+)
+
+
+@query("kg_describe", f"""
+SELECT 'urn:kg:nation/3' AS s, '{RDF}type' AS p, 'urn:kg:Nation' AS o, 'uri' AS o_kind FROM nation WHERE n_nationkey = 3
+UNION ALL SELECT 'urn:kg:nation/3', '{RDFS}label', n_name, 'literal' FROM nation WHERE n_nationkey = 3
+UNION ALL SELECT 'urn:kg:nation/3', 'urn:kg:partOf', 'urn:kg:region/' || n_regionkey, 'uri' FROM nation WHERE n_nationkey = 3
+UNION ALL (SELECT s, 'urn:kg:locatedIn', 'urn:kg:nation/3', 'uri' FROM (
+  SELECT 'urn:kg:customer/' || c_custkey AS s FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'urn:kg:supplier/' || s_suppkey FROM supplier WHERE s_nationkey = 3)
+  ORDER BY s LIMIT 300)""")
+def kg_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparql.rows(dm.store(spark, sf_dir), "DESCRIBE <urn:kg:nation/3>").select("s", "p", "o", "o_kind")
+
+
+@query("kg_service", """SELECT 'urn:kg:nation/' || n_nationkey AS n, count(*) AS k, round(max(s_acctbal), 6) AS top
+FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1""")
+def kg_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers are in a second store, reached as a service."""
+    parts = dm.mapped(spark, sf_dir)
+    here = [v for k, v in parts.items() if k.startswith("nation.")]
+    there = [v for k, v in parts.items() if k.startswith("supplier.")]
+    union = lambda xs: QuadStore(_union(xs), set())
+    text = "SELECT ?n (COUNT(?s) AS ?k) (MAX(?b) AS ?top) WHERE { ?n a kg:Nation SERVICE <urn:kg:suppliers> { ?s kg:locatedIn ?n ; kg:balance ?b } } GROUP BY ?n"
+    df = sparql.rows(union(here), text, {"urn:kg:suppliers": union(there)})
+    return df.select("n", _typed("k", "bigint"), _typed("top", "double"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("kg_triple_counts", f"""SELECT 'urn:kg:locatedIn' AS p, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n_s
+UNION ALL SELECT 'urn:kg:placedBy', count(*), count(*) FROM orders UNION ALL SELECT 'urn:kg:partOf', count(*), count(*) FROM nation
+UNION ALL SELECT '{RDFS}label', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part),
+  (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part)""")
+def kg_triple_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quads = dm.store(spark, sf_dir).quads.where(F.col("p").isin(KG + "locatedIn", KG + "placedBy", KG + "partOf", RDFS + "label"))
+    return QuadStore(quads).stats().select("p", "n", "n_s")
+
+
+# reasoning
+
+def _some(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Triples of some tables, without the texts of documents."""
+    parts = dm.mapped(spark, sf_dir)
+    return _union([v for k, v in parts.items() if k in names or k.split(".")[0] in names]).drop("g")
+
+
+@query("kg_closure_types", """SELECT c, count(*) AS n FROM (
+SELECT unnest(CASE WHEN o_orderpriority LIKE '1%' THEN ['UrgentOrder', 'PriorityOrder', 'Order'] WHEN o_orderpriority LIKE '2%' THEN ['PriorityOrder', 'Order'] ELSE ['Order'] END) AS c FROM orders) GROUP BY 1""")
+def kg_closure_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = checks.types_of(_some(spark, sf_dir, f"orders.{RDF}type"))
+    every = reason.with_super_types(types, reason.superclasses(dm.ontology(spark)))
+    return every.groupBy(F.substring("c", 8, 99).alias("c")).agg(F.count("*").alias("n"))
+
+
+@query("kg_most_specific", """SELECT 'urn:kg:orders/' || o_orderkey AS s,
+CASE WHEN o_orderpriority LIKE '1%' THEN 'urn:kg:UrgentOrder' WHEN o_orderpriority LIKE '2%' THEN 'urn:kg:PriorityOrder' ELSE 'urn:kg:Order' END AS c FROM orders""")
+def kg_most_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = checks.types_of(_some(spark, sf_dir, f"orders.{RDF}type"))
+    closure = reason.superclasses(dm.ontology(spark))
+    return reason.most_specific(reason.with_super_types(types, closure), closure)
+
+
+@query("kg_rl_inferred_counts", f"""
+SELECT '{RDF}type' AS p, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)
+  + (SELECT coalesce(sum(CASE WHEN o_orderpriority LIKE '1%' THEN 2 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 0 END), 0)::BIGINT FROM orders) AS n
+UNION ALL SELECT 'urn:kg:hasPart', count(*) FROM nation UNION ALL SELECT 'urn:kg:placed', count(*) FROM orders
+UNION ALL SELECT 'urn:kg:relatedTo', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)""")
+def kg_rl_inferred_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _some(spark, sf_dir, "region", "nation", "customer", "supplier", f"orders.{RDF}type", "orders.placedBy")
+    return reason.close(data, dm.ontology(spark)).groupBy("p").agg(F.count("*").alias("n"))
+
+
+def _closed(spark: SparkSession, data: DataFrame, axioms: list[tuple]) -> DataFrame:
+    rows = [(s, p, o, kind, "", "") for s, p, o, kind in axioms]
+    return reason.close(data, spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_lang string, o_dt string"))
+
+
+@query("kg_inverse", "SELECT 'urn:kg:customer/' || o_custkey AS s, 'urn:kg:orders/' || o_orderkey AS o FROM orders")
+def kg_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _closed(spark, _some(spark, sf_dir, "orders.placedBy"), [(KG + "placedBy", OWL + "inverseOf", KG + "placed", "uri")])
+    return out.where(F.col("p") == KG + "placed").select("s", "o")
+
+
+@query("kg_transitive", """SELECT 'urn:kg:customer/' || c_custkey AS s, 'urn:kg:region/' || n_regionkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def kg_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _some(spark, sf_dir, "customer.locatedIn", "nation.partOf").withColumn("p", F.lit(KG + "within"))
+    return _closed(spark, data, [(KG + "within", RDF + "type", OWL + "TransitiveProperty", "uri")]).select("s", "o")
+
+
+@query("kg_chain", """SELECT 'urn:kg:customer/' || c_custkey AS s, 'urn:kg:region/' || n_regionkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'urn:kg:supplier/' || s_suppkey, 'urn:kg:region/' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def kg_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _some(spark, sf_dir, "customer.locatedIn", "supplier.locatedIn", "nation.partOf")
+    chain = [
+        (KG + "locatedIn", OWL + "propertyChainAxiom", "_:a", "bnode"), ("_:a", RDF + "first", KG + "locatedIn", "uri"), ("_:a", RDF + "rest", "_:b", "bnode"),
+        ("_:b", RDF + "first", KG + "partOf", "uri"), ("_:b", RDF + "rest", RDF + "nil", "uri"),
+    ]
+    return _closed(spark, data, chain).where(F.col("p") == KG + "locatedIn").select("s", "o")
+
+
+@query("kg_domain_range", """SELECT 'urn:kg:orders/' || o_orderkey AS s, 'urn:kg:Order' AS c FROM orders UNION ALL SELECT DISTINCT 'urn:kg:customer/' || o_custkey, 'urn:kg:Customer' FROM orders""")
+def kg_domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axioms = [(KG + "placedBy", RDFS + "domain", KG + "Order", "uri"), (KG + "placedBy", RDFS + "range", KG + "Customer", "uri")]
+    return _closed(spark, _some(spark, sf_dir, "orders.placedBy"), axioms).select("s", F.col("o").alias("c"))
+
+
+@query("kg_has_value", "SELECT 'urn:kg:nation/' || n_nationkey AS s, 'urn:kg:earth' AS o FROM nation")
+def kg_has_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axioms = [(KG + "Nation", RDFS + "subClassOf", "_:r", "bnode"), ("_:r", OWL + "onProperty", KG + "planet", "uri"), ("_:r", OWL + "hasValue", KG + "earth", "uri")]
+    return _closed(spark, _some(spark, sf_dir, f"nation.{RDF}type"), axioms).where(F.col("p") == KG + "planet").select("s", "o")
+
+
+# constraints
+
+@query("kg_disjoint_violation", """SELECT 'urn:kg:customer/' || c_custkey AS s, 'urn:kg:Organisation' AS a, 'urn:kg:Place' AS b FROM customer WHERE c_custkey % 97 = 0""")
+def kg_disjoint_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = checks.types_of(_some(spark, sf_dir, f"customer.{RDF}type", f"nation.{RDF}type"))
+    wrong = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 97 = 0").select(dm.node("customer", "c_custkey").alias("s"), F.lit(KG + "Region").alias("c"))
+    axioms = dm.ontology(spark)
+    return checks.disjoint_violations(types.unionByName(wrong), reason.disjoint_pairs(axioms), reason.superclasses(axioms))
+
+
+@query("kg_functional_violation", "SELECT 'urn:kg:orders/' || o_orderkey AS s, 'urn:kg:placedBy' AS p, 2 AS n FROM orders WHERE o_orderkey % 89 = 0 AND o_custkey <> 1")
+def kg_functional_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _some(spark, sf_dir, "orders.placedBy")
+    extra = data.where("cast(substring(s, 15) AS bigint) % 89 = 0").withColumn("o", F.lit(KG + "customer/1"))
+    functional = reason.pairs(dm.ontology(spark), RDF + "type").where(F.col("o") == OWL + "FunctionalProperty").select(F.col("s").alias("p"))
+    return checks.functional_violations(data.unionByName(extra), functional)
+
+
+@query("kg_datatype_violation", f"""SELECT 'urn:kg:orders/' || o_orderkey AS s, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m') || '-32' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS o, '{XSD}date' AS o_dt
+FROM orders WHERE o_orderkey % 50 = 0""")
+def kg_datatype_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _some(spark, sf_dir, "orders.orderDate", "orders.price")
+    key, day = F.expr("cast(substring(s, 15) AS bigint)"), F.col("o")
+    bad = F.when(key % 3 == 0, F.concat(F.substring(day, 1, 7), F.lit("-32"))).otherwise(F.concat(F.substring(day, 9, 2), F.lit("/"), F.substring(day, 6, 2), F.lit("/"), F.substring(day, 1, 4)))
+    data = data.withColumn("o", F.when((key % 50 == 0) & (F.col("o_dt") == XSD + "date"), bad).otherwise(day))
+    return checks.datatype_violations(data).select("s", "o", "o_dt")
+
+
+def _shaped(spark: SparkSession, sf_dir: str, names: tuple[str, ...], shape: checks.Shape) -> DataFrame:
+    return checks.shape_violations(_some(spark, sf_dir, *names), [shape]).select("focus", "component", "n")
+
+
+@query("kg_shape_mincount", f"""SELECT 'urn:kg:customer/' || c_custkey AS focus, CASE WHEN n = 0 THEN 'minCount' ELSE 'maxCount' END AS component, n FROM
+(SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN ({_F_ORDERS}) ON o_custkey = c_custkey GROUP BY 1) WHERE n = 0 OR n > 8""")
+def kg_shape_mincount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = _some(spark, sf_dir, "orders.status").where("o = 'F'").select("s")
+    placed = _some(spark, sf_dir, "orders.placedBy").join(closed, "s", "left_semi")
+    mine = placed.select(F.col("o").alias("s"), F.lit(KG + "closed").alias("p"), F.col("s").alias("o"), "o_kind", "o_lang", "o_dt")
+    data = _some(spark, sf_dir, f"customer.{RDF}type").unionByName(mine)
+    shape = checks.Shape(target_class=KG + "Customer", properties=[checks.Property(KG + "closed", min_count=1, max_count=8)])
+    return checks.shape_violations(data, [shape]).select("focus", "component", "n")
+
+
+@query("kg_shape_range", """SELECT 'urn:kg:customer/' || c_custkey AS focus, CASE WHEN c_acctbal < 0 THEN 'minInclusive' ELSE 'maxInclusive' END AS component, 1 AS n FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000""")
+def kg_shape_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shaped(spark, sf_dir, ("customer.balance",), checks.Shape(KG + "balance", None, [checks.Property(KG + "balance", datatype=XSD + "double", min_inclusive=0, max_inclusive=9000)]))
+
+
+@query("kg_shape_lang", """SELECT 'urn:kg:documents/' || doc_id AS focus, unnest(['languageIn', 'qualifiedMinCount']) AS component, unnest([1, 0]) AS n FROM documents WHERE coalesce(lang, '') NOT IN ('en', 'fr')""")
+def kg_shape_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = checks.Property(KG + "content", languages=["en", "fr"], qualified=(["en", "fr"], 1))
+    return _shaped(spark, sf_dir, ("documents.content",), checks.Shape(KG + "content", None, [shape]))
+
+
+@query("kg_shape_nodekind", "SELECT 'urn:kg:nation/' || n_nationkey AS focus, 'nodeKind' AS component, 1 AS n FROM nation")
+def kg_shape_nodekind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    properties = [checks.Property(RDFS + "label", node_kind="IRI"), checks.Property(KG + "partOf", node_kind="IRI")]
+    return _shaped(spark, sf_dir, ("nation",), checks.Shape(KG + "partOf", None, properties))
+
+
+# labels, facts
+
+@query("kg_label_pref", """SELECT source AS s, text AS label FROM (
+SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, text) AS r FROM documents) WHERE r = 1""")
+def kg_label_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    quads = docs.select(F.lit("g").alias("g"), F.col("source").alias("s"), F.lit(RDFS + "label").alias("p"), F.col("text").alias("o"), F.lit("literal").alias("o_kind"), F.col("lang").alias("o_lang"), F.lit("").alias("o_dt"))
+    return QuadStore(quads, set()).labels(("fr", "de"))
+
+
+@query("kg_asserted_over_inferred", """SELECT 'urn:kg:Nation' AS o, false AS inferred UNION ALL SELECT 'urn:kg:Place', true""")
+def kg_asserted_over_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _some(spark, sf_dir, f"nation.{RDF}type")
+    derived = reason.close(data, dm.ontology(spark))
+    quads = data.withColumn("g", F.lit(dm.DATA)).unionByName(derived.unionByName(data).withColumn("g", F.lit(dm.INFERRED)))
+    return QuadStore(quads).facts("urn:kg:nation/2", dm.INFERRED).select("o", "inferred")
+
+
+@query("crawl_depth", """WITH RECURSIVE e AS (SELECT 'region/' || n_regionkey AS a, 'nation/' || n_nationkey AS b FROM nation UNION ALL SELECT 'nation/' || c_nationkey, 'customer/' || c_custkey FROM customer
+  UNION ALL SELECT 'customer/' || o_custkey, 'orders/' || o_orderkey FROM orders),
+w AS (SELECT 'region/1' AS node, 0 AS level UNION ALL SELECT 'nation/2', 0 UNION ALL SELECT b, level + 1 FROM w JOIN e ON node = a WHERE level < 2)
+SELECT node, min(level) AS level FROM w GROUP BY 1""")
+def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    edge = lambda t, a, ka, b, kb: read(t).select(F.concat(F.lit(a + "/"), ka).alias("parent"), F.concat(F.lit(b + "/"), kb).alias("child"))
+    edges = _union([edge("nation", "region", "n_regionkey", "nation", "n_nationkey"), edge("customer", "nation", "c_nationkey", "customer", "c_custkey"), edge("orders", "customer", "o_custkey", "orders", "o_orderkey")])
+    roots = spark.createDataFrame([("region/1", 2), ("nation/2", 2)], "node string, depth int")
+    return paths.crawl(roots, edges).select("node", "level")
