@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import U, mix, pieces
@@ -137,7 +137,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     tables = classes.select("cls", F.explode(F.array(*cells)).alias("key"))
     by_key = tables.selectExpr("cls", "min(cls) OVER (PARTITION BY key) AS least")
     # rows that share an id are one document: their classes meet in that id
-    families = components(by_key.where("least < cls").distinct(), "cls", "least")
+    pairs = written(by_key.where("least < cls").distinct())
+    # a class meets one least class per table; these are few, so they are joined to the least of them instead of to the class
+    met = pairs.withColumn("first", F.expr("min(least) OVER (PARTITION BY cls)"))
+    families = components(met.selectExpr("cls AS a", "first AS b").unionByName(met.where("least > first").selectExpr("least AS a", "first AS b")))
     sizes = written(families.groupBy(F.col("root").alias("fam")).agg(F.count("*").alias("n_fam")))
     total = sizes.agg(F.sum("n_fam")).first()[0] or 0
     pools = max(1, total // (2 * BLOCK))
@@ -164,3 +167,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def without_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one with the least id; of rows that share an id one
+    stays. Rows with null ids stay."""
+    kept = near_duplicates(docs, shingle, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = named.withColumn("_place", F.row_number().over(one)).where("_place = 1").select(*docs.columns)
+    return first.unionByName(docs.where("doc_id IS NULL"))

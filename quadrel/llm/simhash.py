@@ -28,13 +28,15 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 CHUNK_BITS, LANES, MASK = 14, 16, 0x0001000100010001
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 #: Rows of a range, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 256, 8192
 BLOCKS, RADIUS = 6, 3
+#: Rows whose ids this divides are the queries of the search.
+SEARCHED = 100
 
 
 def _range_of(doc_id: Column, cuts: list[int]) -> Column:
@@ -107,7 +109,9 @@ def hexed(fp: Column) -> Column:
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near of every row of docs.
+
+    n_near: for ids divisible by SEARCHED, how many other fingerprints of docs are within RADIUS; else null."""
     rows = with_next(docs).withColumn("n", F.length("text").cast("bigint"))
     cut = F.expr("cast(n div 4 AS int)")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - cut), F.substring("next_text", F.lit(1), cut))
@@ -123,10 +127,14 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     )
     nxt = one.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("bucket").orderBy("rn"))).where("sentinel = 0")
     sha = F.concat(*(F.lower(F.lpad(F.hex(f"s{i}"), 8, "0")) for i in range(8)))
-    return nxt.select(
+    out = written(nxt.select(
         "doc_id", F.col("n").alias("n_chars"), sha.alias("edited_sha256"), hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-    )
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "fp",
+    ))
+    searched = F.coalesce(F.col("doc_id") % SEARCHED == 0, F.lit(False))
+    near = within_radius(out, out.where(searched)).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_near"))
+    asked = out.where(searched).join(near, "fp", "left").na.fill(0, ["n_near"]).drop("fp")
+    return asked.unionByName(out.where(~searched).drop("fp").withColumn("n_near", F.lit(None).cast("bigint")))
 
 
 def _masks(blocks: int, radius: int) -> list[int]:

@@ -13,7 +13,7 @@ def test_edited_texts_and_likeness(spark, monkeypatch):
     rng = random.Random(2)
     vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(500)]
     rows = [(i * 3 % 400, " ".join(rng.choice(vocab) for _ in range(rng.randint(60, 200)))) for i in range(1, 130)]
-    rows += [(900, None), (901, ""), (902, "one"), (903, "😀 é  x\ny"), (904, rows[5][1]), (7001, rows[5][1])]
+    rows += [(900, None), (901, ""), (902, "one"), (903, "😀 é  x\ny"), (800, rows[5][1] + " x"), (904, rows[5][1]), (7001, rows[5][1])]
     got = {r.doc_id: r for r in simhash.edited_neighbours(docs_of(spark, rows).repartition(3)).collect()}
     assert len(got) == len(rows)
     ordered = sorted(rows)
@@ -28,6 +28,10 @@ def test_edited_texts_and_likeness(spark, monkeypatch):
         assert fp.setdefault(t, r.fingerprint) == r.fingerprint
         following = int(got[ordered[(k + 1) % len(ordered)][0]].fingerprint, 16)
         assert abs(r.near_next - (1 - (int(r.fingerprint, 16) ^ following).bit_count() / 64)) < 1e-12
+    values = {int(r.fingerprint, 16) for r in got.values()}
+    for i, r in got.items():
+        mine = int(r.fingerprint, 16)
+        assert r.n_near == (sum(0 < (mine ^ v).bit_count() <= 3 for v in values) if i % 100 == 0 else None)
     usual = [got[i] for i, t in rows[:129]]
     assert sum(r.near_edited for r in usual) / len(usual) > sum(r.near_next for r in usual) / len(usual) + 0.15
 
