@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -422,3 +423,267 @@ def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _union([edge("nation", "region", "n_regionkey", "nation", "n_nationkey"), edge("customer", "nation", "c_nationkey", "customer", "c_custkey"), edge("orders", "customer", "o_custkey", "orders", "o_orderkey")])
     roots = spark.createDataFrame([("region/1", 2), ("nation/2", 2)], "node string, depth int")
     return paths.crawl(roots, edges).select("node", "level")
+
+
+# extraction, profiles and linking over the driver's tables
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("kg_nt_roundtrip", f"""SELECT 'urn:kg:documents/' || doc_id AS s, text AS o, coalesce(lang, '') AS o_lang FROM documents WHERE source IN ('src1', 'src2')""")
+def kg_nt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads of texts written as N-Triples lines and read again."""
+    from quadrel.operators.state import settled
+    from quadrel.sources import ntriples
+
+    docs = _table(spark, sf_dir, "documents").where("source IN ('src1', 'src2')").select("doc_id")
+    mine = docs.select(dm.node("documents", "doc_id").alias("s"))
+    quads = dm.mapped(spark, sf_dir)["documents.content"].join(mine, "s", "left_semi")
+    lines = settled(ntriples.as_lines(quads.drop("g")))
+    path = lines.inputFiles()[0].rsplit("/", 1)[0] + "-lines"
+    lines.write.mode("overwrite").text(path)
+    return ntriples.read_ntriples(spark, path).select("s", "o", "o_lang")
+
+
+@query("kg_search", """SELECT 'urn:kg:nation/' || n_nationkey AS s, n_name AS label FROM nation WHERE contains(lower(n_name), 'at')
+UNION ALL SELECT 'urn:kg:region/' || r_regionkey, r_name FROM region WHERE contains(lower(r_name), 'at')""")
+def kg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = dm.mapped(spark, sf_dir)
+    return QuadStore(parts[f"nation.{RDFS}label"].unionByName(parts[f"region.{RDFS}label"]), set()).search("ÁT", 100).select("s", "label")
+
+
+@query("rule_classify", """SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' AND p_name LIKE 'a%' THEN NULL WHEN p_brand IN ('Brand#11', 'Brand#21') THEN 'Branded' WHEN lower(p_type) LIKE 'small%' THEN 'Small' WHEN p_type LIKE '%BRASS%' THEN 'Brass' END AS cls FROM part""")
+def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import mapping
+
+    part = _table(spark, sf_dir, "part").withColumn("cats", F.array("p_brand"))
+    blocked = (F.contains("p_type", F.lit("STEEL")) & F.startswith("p_name", F.lit("a")))
+    rules = [{"source_category": "Brand#11", "class": "Branded"}, {"source_category": "Brand#21", "class": "Branded"}, {"title_prefix": "small", "class": "Small"}, {"title_contains": "brass", "class": "Brass"}]
+    return part.select("p_partkey", F.when(~blocked, mapping.first_rule(rules, F.col("p_type"), F.col("cats"))["cls"]).alias("cls"))
+
+
+@query("parse_year", "SELECT o_orderkey, CAST(nullif(regexp_extract(CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN 'in ' || strftime(o_orderdate, '%Y') WHEN 2 THEN 'x' ELSE strftime(o_orderdate, '%Y-%m-%d') END, '\\b(1\\d{3}|20\\d{2})\\b', 1), '') AS INTEGER) AS y FROM orders")
+def parse_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    return _date_forms(spark, sf_dir).select("o_orderkey", linking.year_of(F.col("form")).alias("y"))
+
+
+def _date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    form = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.concat(F.lit("in "), F.date_format(d, "yyyy"))).when(k == 2, F.lit("x")).otherwise(F.date_format(d, "yyyy-MM-dd"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", form.alias("form"))
+
+
+@query("parse_date_forms", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS v, CASE o_orderkey % 4 WHEN 1 THEN 'gYear' ELSE 'date' END AS kind FROM orders WHERE o_orderkey % 4 <> 2")
+def parse_date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.functions import parsers
+
+    forms = _date_forms(spark, sf_dir).withColumn("v", F.explode(parsers.parsed(F.col("form"), "date")))
+    return forms.select("o_orderkey", "v.v", "v.kind")
+
+
+@query("parse_number_vi", "SELECT c_custkey, CAST(abs(c_acctbal)::BIGINT AS DOUBLE) AS num FROM customer")
+def parse_number_vi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.functions import parsers
+
+    n = F.format_number(F.abs("c_acctbal").cast("decimal(20,2)").cast("decimal(20,0)"), 0)
+    raw = F.when(F.col("c_custkey") % 2 == 0, n).otherwise(F.translate(n, ",", "."))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.explode(parsers.parsed(F.concat(raw, F.lit(" '''x'''")), "int")).alias("v")).select("c_custkey", "v.num")
+
+
+@query("parse_url_host", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\d?\.', '') AS host FROM pages")
+def parse_url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    return _table(spark, sf_dir, "pages").select("page_id", linking.domain(F.col("url")).alias("host"))
+
+
+@query("page_link_counts", """SELECT page_id, count(*) AS n, count(DISTINCT h) AS n_targets FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) GROUP BY 1""")
+def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hrefs = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("h"))
+    return hrefs.groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("h").alias("n_targets"))
+
+
+@query("text_lead", r"SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), ' +', ' ', 'g')) AS head FROM documents WHERE NOT regexp_matches(text, '[\[\]{}<>|]|''''|&|  ')")
+def text_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.functions import wikitext
+
+    @F.pandas_udf("string")
+    def lead(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: wikitext.lead(t.replace("\n", "\n== h ==\n", 1), 1 << 30))
+
+    docs = _table(spark, sf_dir, "documents").where(r"NOT text RLIKE '[\\[\\]{}<>|]|\'\'|&|  '")
+    return docs.select("doc_id", lead("text").alias("head"))
+
+
+@query("fold_name", "SELECT doc_id, replace(replace(lower(strip_accents(substr(text, 1, 200))), 'đ', 'd'), 'ß', 'ss') AS f FROM documents")
+def fold_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.functions.terms import fold
+
+    return _table(spark, sf_dir, "documents").select("doc_id", F.replace(fold(F.substring("text", 1, 200)), F.lit("ß"), F.lit("ss")).alias("f"))
+
+
+@query("profile_shares", """SELECT event_type, n, rank, round(n / total, 6) AS share, round(run / total, 6) AS running FROM (
+SELECT event_type, n, row_number() OVER o AS rank, sum(n) OVER () AS total, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) WINDOW o AS (ORDER BY n DESC, event_type))""")
+def profile_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import profile
+
+    df = profile.shares(profile.frequencies(_table(spark, sf_dir, "events"), "event_type"), "event_type")
+    return df.select("event_type", "n", "rank", F.round("share", 6).alias("share"), F.round("running", 6).alias("running"))
+
+
+@query("profile_top_per_key", """SELECT source, lang, n, rank FROM (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS rank FROM documents GROUP BY 1, 2) WHERE rank <= 2""")
+def profile_top_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import profile
+
+    return profile.top_per_key(_table(spark, sf_dir, "documents"), "source", "lang", 2)
+
+
+@query("keyword_prefix", "SELECT k AS keyword, count(*) AS n FROM part JOIN (VALUES ('SMALL'), ('SMALL PLATED'), ('ECONOMY'), ('STANDARD')) t(k) ON p_type = k OR starts_with(p_type, k || ' ') GROUP BY 1")
+def keyword_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import profile
+
+    return profile.keyword_groups(_table(spark, sf_dir, "part"), "p_type", ["SMALL", "SMALL PLATED", "ECONOMY", "STANDARD"]).groupBy("keyword").agg(F.count("*").alias("n"))
+
+
+_PLACES = """WITH a AS (SELECT c_custkey, c_nationkey, c_name, (c_custkey * 7 % 180) - 90.0 AS lat, (c_custkey * 13 % 360) - 180.0 AS lon FROM customer),
+b AS (SELECT s_suppkey, s_nationkey, s_name, (s_suppkey * 11 % 180) - 90.0 AS lat, (s_suppkey * 17 % 360) - 180.0 AS lon FROM supplier)"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    a = _table(spark, sf_dir, "customer").selectExpr("c_nationkey AS block", "c_custkey", "c_name", "double(c_custkey * 7 % 180 - 90) AS lat", "double(c_custkey * 13 % 360 - 180) AS lon")
+    b = _table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS block", "s_suppkey", "s_name", "double(s_suppkey * 11 % 180 - 90) AS lat2", "double(s_suppkey * 17 % 360 - 180) AS lon2")
+    return linking.block_pairs(a, b)
+
+
+_KM = "12742 * asin(least(1, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"
+
+
+@query("haversine", f"{_PLACES} SELECT c_custkey, s_suppkey, round({_KM}, 3) AS km FROM a JOIN b ON c_nationkey = s_nationkey")
+def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    km = linking.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    return _places(spark, sf_dir).select("c_custkey", "s_suppkey", F.round(km, 3).alias("km"))
+
+
+@query("weighted_score", f"""{_PLACES}, m AS (SELECT c_custkey, s_suppkey, greatest(0, least(1, 1 - ({_KM} - 800) / 7200)) AS geo, CASE abs(c_custkey % 50 - s_suppkey % 50) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS yr,
+CASE WHEN c_custkey % 5 = s_suppkey % 5 THEN 1.0 END AS hp FROM a JOIN b ON c_nationkey = s_nationkey)
+SELECT c_custkey, s_suppkey, round(CASE WHEN hp >= 1 THEN greatest(0.9, (0.25 + 0.1 * geo + 0.05 * yr) / 0.4) ELSE (0.1 * geo + 0.05 * yr) / (0.1 + 0.05) END, 6) AS score FROM m""")
+def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    km = linking.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    measures = {
+        "geo": linking.geo_similarity(km, F.lit(800.0)), "year": linking.year_similarity(F.col("c_custkey") % 50, F.col("s_suppkey") % 50),
+        "homepage": F.when(F.col("c_custkey") % 5 == F.col("s_suppkey") % 5, 1.0),
+    }
+    return _places(spark, sf_dir).select("c_custkey", "s_suppkey", F.round(linking.weighted(measures), 6).alias("score"))
+
+
+@query("token_jaccard", """SELECT a.p_partkey AS x, b.p_partkey AS y, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS j
+FROM (SELECT *, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part) a JOIN (SELECT *, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part) b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_size").alias("block"), F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    pairs = linking.block_pairs(part.withColumnsRenamed({"p_partkey": "x", "t": "a"}), part.withColumnsRenamed({"p_partkey": "y", "t": "b"})).where("x < y")
+    return pairs.select("x", "y", F.round(linking.token_jaccard(F.col("a"), F.col("b")), 6).alias("j"))
+
+
+@query("seqmatch_ratio")
+def seqmatch_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_size").alias("block"), F.col("p_name").alias("t"))
+    pairs = linking.block_pairs(part.withColumnsRenamed({"p_partkey": "x", "t": "a"}), part.withColumnsRenamed({"p_partkey": "y", "t": "b"})).where("x < y")
+    return pairs.select("x", "y", linking.name_similarity(F.lower("a"), F.lower("b")).alias("sim"))
+
+
+@query("greedy_one_to_one")
+def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    km = linking.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    pairs = _places(spark, sf_dir).select(F.col("c_custkey").alias("s"), F.col("s_suppkey").alias("u"), F.round(1 - km / 20016, 4).alias("score"))
+    return linking.assign(pairs)
+
+
+_BEST = "(SELECT doc_id AS s, doc_id % 3 AS u, (doc_id * 37 % 101) / 100.0 AS score, source FROM documents)"
+_GOLD = "(SELECT doc_id AS s, quality AS g FROM labels)"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    best = _table(spark, sf_dir, "documents").selectExpr("doc_id AS s", "doc_id % 3 AS u", "(doc_id * 37 % 101) / 100D AS score")
+    return best, _table(spark, sf_dir, "labels").selectExpr("doc_id AS s", "quality AS g")
+
+
+@query("threshold_sweep", f"""SELECT threshold, judged, correct, gold, "new", round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM (
+SELECT *, CASE WHEN judged = 0 THEN 0 ELSE correct / judged END AS p, CASE WHEN gold = 0 THEN 0 ELSE correct / gold END AS r FROM (
+SELECT t AS threshold, count(*) FILTER (score >= t AND g IS NOT NULL) AS judged, count(*) FILTER (score >= t AND u = g) AS correct, count(g) AS gold, count(*) FILTER (score >= t AND g IS NULL) AS "new"
+FROM {_BEST} b FULL JOIN {_GOLD} g USING (s) CROSS JOIN (VALUES (0.5::DOUBLE), (0.75), (0.9)) v(t) GROUP BY 1))""")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    df = linking.evaluate(*_judged(spark, sf_dir), [0.5, 0.75, 0.9])
+    return df.select("threshold", "judged", "correct", "gold", "new", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("wilson_interval", """WITH k AS (SELECT source, count(*) AS n, sum(quality)::BIGINT AS good FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+SELECT source, n, round(greatest(0, (good / n + 3.8416 / (2 * n) - 1.96 * sqrt(good / n * (1 - good / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 6) AS low,
+round(least(1, (good / n + 3.8416 / (2 * n) + 1.96 * sqrt(good / n * (1 - good / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 6) AS high FROM k""")
+def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    k = _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
+    low, high = linking.wilson(F.col("good"), F.col("n"))
+    return k.select("source", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("link_status", """SELECT status, count(*) AS n, count(DISTINCT target) AS n_targets FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'redirect' WHEN c_nationkey < 20 THEN 'exists' ELSE 'missing' END AS status,
+CASE WHEN c_custkey % 10 = 0 THEN 'r' || c_custkey ELSE 'n' || c_custkey END AS target FROM customer) GROUP BY 1""")
+def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import linking
+
+    c = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS s", "concat('n', c_custkey) AS o", "c_nationkey")
+    seen = c.where("c_nationkey < 20").select(F.col("o").alias("iri"))
+    moved = c.where("s % 10 = 0").selectExpr("o AS source", "concat('r', s) AS target")
+    return linking.validated(c.select("s", "o"), seen, moved).groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("target").alias("n_targets"))
+
+
+@query("graph_union_dedupe", "SELECT count(*) AS n FROM (SELECT DISTINCT text, lang FROM documents)")
+def graph_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.lit("x").alias("s"), F.lit("p").alias("p"), F.col("text").alias("o"), F.lit("literal").alias("o_kind"), F.col("lang").alias("o_lang"), F.lit("").alias("o_dt"))
+    store = QuadStore(docs.withColumn("g", F.lit("a"))).add("b", docs)
+    return store.scan(None, "p").agg(F.count("*").alias("n"))
+
+
+@query("intersect_sets", "SELECT count(*) AS n FROM (SELECT text FROM documents WHERE source = 'src1' INTERSECT SELECT text FROM documents WHERE source <> 'src1')")
+def intersect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.where("source = 'src1'").select("text").intersect(d.where("source <> 'src1'").select("text")).agg(F.count("*").alias("n"))
+
+
+@query("except_asserted", "SELECT 'urn:kg:' || c AS c FROM (VALUES ('PriorityOrder'), ('Order'), ('Organisation'), ('Place')) t(c)")
+def except_asserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superclasses that no axiom names as a subclass or that are only derived for some class."""
+    axioms = dm.ontology(spark)
+    return reason.superclasses(axioms).where("c <> super").select(F.col("super").alias("c")).distinct()
+
+
+@query("seeded_sample")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import profile
+
+    return profile.seeded_sample(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50, 7)
+
+
+@query("windowed_events", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.streaming import windowed_counts
+
+    return windowed_counts(_table(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))

@@ -76,12 +76,31 @@ def mapped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
-def store(spark: SparkSession, sf_dir: str, extra: list[DataFrame] = ()) -> QuadStore:
-    """The mapped tables and their ontology. The keys of the tables are unique, so no graph repeats a triple, and only
-    the predicates of extra graphs can be shared."""
-    quads = reduce(DataFrame.unionByName, [*mapped(spark, sf_dir).values(), ontology(spark), *extra])
-    # rdf:type is in both the data and the ontology, about different subjects
-    return QuadStore(quads, set() if not extra else None, _COUNTS)
+class MappedStore(QuadStore):
+    """The mapped tables and their ontology: a scan with a constant predicate only plans the projections that have it.
+
+    The keys of the tables are unique and only rdf:type is in both graphs, about different subjects, so the union of the
+    graphs has no duplicates."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.parts, self.schema_part = mapped(spark, sf_dir), ontology(spark)
+        self.by_predicate: dict[str, list[DataFrame]] = {}
+        for name, df in self.parts.items():
+            p = name.partition(".")[2]
+            self.by_predicate.setdefault(p if ":" in p else KG + p, []).append(df)
+        for p in {p if ":" in p else KG + p for _, p, _ in AXIOMS}:
+            self.by_predicate.setdefault(p, []).append(self.schema_part)
+        super().__init__(reduce(DataFrame.unionByName, [*self.parts.values(), self.schema_part]), set(), _COUNTS)
+
+    def scan(self, graph, predicate: str | None) -> DataFrame:
+        if predicate not in self.by_predicate:
+            return super().scan(graph, predicate)
+        df = reduce(DataFrame.unionByName, self.by_predicate[predicate]).where(F.col("p") == predicate)
+        return df.select(COLUMNS[1:]) if graph is None else df.where(F.col("g") == graph[2]) if graph[0] == "term" else df
+
+
+def store(spark: SparkSession, sf_dir: str) -> MappedStore:
+    return MappedStore(spark, sf_dir)
 
 
 #: Relative sizes, for the order of joins.
