@@ -25,7 +25,7 @@ from .common import table
 from .letters import folded, letter_runs
 from .quality import fit as fit_logistic
 
-SAMPLE, SEGMENT, PURE, SURE, HINT, SEGMENTS = 1500, 32, 0.9, 34.0, 16.0, 4000
+SAMPLE, SEGMENT, PURE, SURE, HINT, SEGMENTS = 1200, 32, 0.9, 34.0, 16.0, 4000
 PREFIXES = (4, 5, 6)
 TOLERANCE = 1e-9
 
@@ -135,47 +135,51 @@ def learn(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds
     """Fit on texts and their labels; clean_weight: documents that each sampled clean one stands for, against a toxic one."""
     if not len(texts) or toxic.all() or not toxic.any():
         return None
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    f, _, _, row = features(data, offs)
-    bad = toxic[row]
-    # documents of either label per feature, each counted once
-    flat, owner = f.reshape(-1), np.repeat(row, f.shape[1])
-    seen = flat > 0
-    order = np.lexsort((owner[seen], flat[seen]))
-    k, o = flat[seen][order], owner[seen][order]
-    once = np.ones(len(k), bool)
-    once[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-    k, o = k[once], o[once]
-    keys, at = np.unique(k, return_inverse=True)
-    hits = np.bincount(at, toxic[o], minlength=len(keys))
-    misses = np.bincount(at, ~toxic[o], minlength=len(keys)) * clean_weight
+    column = pa.array(texts, pa.string())
+    # documents of either label per feature, each counted once; piece by piece, as the driver's memory is small
+    keys, hits, misses = np.zeros(0, U), np.zeros(0), np.zeros(0)
+    segments = 0
+    for i, _, data, offs in pieces(column, 1 << 18):
+        f, _, _, row = features(data, offs)
+        segments += int((-(-np.bincount(row, minlength=1) // SEGMENT)).sum())
+        pair = np.unique(np.stack([f.reshape(-1), np.repeat(row, f.shape[1]).astype(U)]), axis=1)
+        bad = toxic[i + pair[1].astype(np.int64)]
+        every = np.concatenate([keys, pair[0]])
+        keys, at = np.unique(every, return_inverse=True)
+        hits = np.bincount(at, np.concatenate([hits, bad]), minlength=len(keys))
+        misses = np.bincount(at, np.concatenate([misses, ~bad * clean_weight]), minlength=len(keys))
     n, rate = hits + misses, np.array([toxic.sum(), (~toxic).sum() * clean_weight])
     rate = rate / rate.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * (np.where(hits > 0, hits * np.log(hits / (n * rate[0])), 0) + np.where(misses > 0, misses * np.log(misses / (n * rate[1])), 0))
-    pure = (ratio > SURE) & (hits >= PURE * n)
-    label = np.zeros(len(f), bool)
-    for c in range(f.shape[1]):
-        i = np.minimum(np.searchsorted(keys, f[:, c]), len(keys) - 1)
-        label |= (keys[i] == f[:, c]) & pure[i]
-    label &= bad
-    keys = keys[ratio > HINT]
-    # segments: all with a toxic token, and others by order, up to SEGMENTS
-    first = np.searchsorted(row, np.arange(len(texts)))
-    seg = (np.arange(len(row)) - first[row]) // SEGMENT + row * (1 << 32)
-    _, begin = np.unique(seg, return_index=True)
-    size = np.diff(np.append(begin, len(row)))
-    marked = np.add.reduceat(label, begin) > 0 if len(begin) else np.zeros(0, bool)
-    spread = np.argsort(mix(np.arange(len(begin), dtype=U)))
-    chosen = np.concatenate([np.flatnonzero(marked)[:SEGMENTS], spread[~marked[spread]]])[: 2 * SEGMENTS]
-    begin, size = begin[chosen], size[chosen]
-    mask = np.arange(SEGMENT) < size[:, None]
-    tok = np.where(mask, begin[:, None] + np.arange(SEGMENT), 0)
-    ids = np.minimum(np.searchsorted(keys, f), max(0, len(keys) - 1))
-    ids = np.where(len(keys) and keys[ids] == f, ids, len(keys)) if len(keys) else np.full(f.shape, 0)
-    ids, y = ids[tok], (label[tok] & mask).astype(np.int64)
+    used = (ratio > HINT) & (keys > 0)
+    pure = ((ratio > SURE) & (hits >= PURE * n))[used]
+    keys = keys[used]
+    # segments: those with a toxic token up to SEGMENTS, and about as many others, chosen by hash
+    ids_of, label_of, held = [], [], 0
+    for i, _, data, offs in pieces(column, 1 << 18):
+        f, _, _, row = features(data, offs)
+        if not len(f):
+            continue
+        at = np.minimum(np.searchsorted(keys, f), max(0, len(keys) - 1))
+        at = np.where(keys[at] == f, at, len(keys)) if len(keys) else np.zeros(f.shape, np.int64)
+        label = np.append(pure, False)[at].any(1) & toxic[i + row]
+        first = np.searchsorted(row, np.arange(len(offs) - 1))
+        seg = (np.arange(len(row)) - first[row]) // SEGMENT + row * (1 << 32)
+        _, begin = np.unique(seg, return_index=True)
+        size = np.diff(np.append(begin, len(row)))
+        marked = np.add.reduceat(label, begin) > 0
+        chance = (mix(seg[begin].astype(U) + U(i)) >> U(40)).astype(np.float64) / (1 << 24) < SEGMENTS / max(1, segments)
+        keep = np.flatnonzero(marked & (held + np.cumsum(marked) <= SEGMENTS) | ~marked & chance)
+        held += int(marked.sum())
+        mask = np.arange(SEGMENT) < size[keep][:, None]
+        tok = np.where(mask, begin[keep][:, None] + np.arange(SEGMENT), 0)
+        ids_of.append(np.where(mask[..., None], at[tok], len(keys)))
+        label_of.append(np.where(mask, label[tok].astype(np.int64), -1))
+    ids, y = np.concatenate(ids_of or [np.zeros((0, SEGMENT, 1), np.int64)]), np.concatenate(label_of or [np.zeros((0, SEGMENT), np.int64)])
+    mask, y = y >= 0, np.maximum(y, 0)
+    if not len(ids):
+        return None
     w, a, bias = np.zeros(len(keys) + 1), np.zeros((2, 2)), -4.0
     m1, m2 = [np.zeros_like(w), np.zeros((2, 2)), 0.0], [np.zeros_like(w), np.zeros((2, 2)), 0.0]
     for t in range(1, rounds + 1):
@@ -194,10 +198,13 @@ def learn(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds
         w[-1] = 0
     big = np.abs(w[:-1]) > 1e-3
     field = Field(keys[big], w[:-1][big], a, float(bias), None)
-    odds, _, _, row = field.tag(data, offs)
-    x = Field.summary(odds, row, len(texts))
+    parts = []
+    for i, j, data, offs in pieces(column, 1 << 18):
+        odds, _, _, row = field.tag(data, offs)
+        parts.append(Field.summary(odds, row, j - i))
+    x = np.concatenate(parts)
     copies = np.concatenate([np.arange(len(texts))] + [np.flatnonzero(~toxic)] * max(0, round(clean_weight) - 1))
-    field.calibration = fit_logistic(x[copies], toxic[copies].astype(float))
+    field.calibration = fit_logistic(x[copies], toxic[copies].astype(float), ridge=0.01)
     return field
 
 
