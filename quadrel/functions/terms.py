@@ -63,7 +63,7 @@ def norm_key(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)[_\s]+", " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

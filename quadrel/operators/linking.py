@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrel.functions.terms import fold_name
 from quadrel.operators.state import settled
@@ -18,7 +19,7 @@ KEPT, THRESHOLD, SURE_NAME, HOMEPAGE_FLOOR = 0.3, 0.75, 0.95, 0.9
 EARTH_DIAMETER_KM = 12742.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp; the order of the arguments counts. Pairs repeat within a batch, so they are remembered."""
     known: dict[tuple[str, str], float] = {}

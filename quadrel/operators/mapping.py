@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrel.functions import parsers, wikitext
 from quadrel.functions.terms import RDF, RDFS, XSD, clean_title, norm_key, resource_iri
@@ -128,7 +129,7 @@ def long_params(parsed: DataFrame, last_of_template: bool) -> DataFrame:
     return rows.select("s", "id", "title", "template", F.col("x.name").alias("param"), F.col("x.raw").alias("raw")).where("trim(raw) <> ''")
 
 
-@F.pandas_udf("struct<links: array<string>, text: string>")
+@F.pandas_udf(T.StructType([T.StructField("links", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())]))
 def _raw_value(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([{"links": [t for t, _ in wikitext.links(x)], "text": wikitext.plain(x)[:500]} for x in s], columns=["links", "text"])
 

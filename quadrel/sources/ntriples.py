@@ -154,7 +154,8 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str, str]]:
             if x.lower().endswith("base"):
                 base = take()[1][1:-1]
             else:
-                prefixes[take()[1][:-1]] = take()[1][1:-1]
+                name = take()[1][:-1]
+                prefixes[name] = take()[1][1:-1]
             if peek("."):
                 take()
             continue
