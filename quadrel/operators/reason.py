@@ -12,6 +12,8 @@ from quadrel.operators.paths import transitive
 from quadrel.operators.state import settled
 from quadrel.operators.store import TRIPLE
 
+#: Schemas up to this many triples are closed on the driver and joined as local tables; larger ones are closed by Spark.
+LOCAL_SCHEMA = 20_000
 TYPE, SUBCLASS, SUBPROPERTY = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf"
 
 
@@ -20,8 +22,69 @@ def pairs(axioms: DataFrame, p: str) -> DataFrame:
     return axioms.where((F.col("p") == p) & (F.col("o_kind") == "uri") & ~F.startswith("s", F.lit("_:"))).select("s", "o").distinct()
 
 
+def _collected(axioms: DataFrame) -> list[tuple] | None:
+    """The rows of a schema whose size is within LOCAL_SCHEMA."""
+    rows = axioms.select(TRIPLE).limit(LOCAL_SCHEMA + 1).collect()
+    return list({tuple(r) for r in rows}) if len(rows) <= LOCAL_SCHEMA else None
+
+
+def _local_lists(rows: list[tuple]) -> dict[str, list[str]]:
+    first = {s: o for s, p, o, *_ in rows if p == RDF + "first"}
+    rest = {s: o for s, p, o, *_ in rows if p == RDF + "rest"}
+    out = {}
+    for head in first.keys() - set(rest.values()):
+        cell, out[head], seen = head, [], set()
+        while cell in first and cell not in seen:
+            seen.add(cell)
+            out[head].append(first[cell])
+            cell = rest.get(cell)
+    return out
+
+
+def _local_closure(edges: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    above: dict[str, set[str]] = {}
+    for a, b in edges:
+        above.setdefault(a, set()).add(b)
+    out = set()
+    for a in above:
+        todo, seen = list(above[a]), set()
+        while todo:
+            b = todo.pop()
+            if b not in seen:
+                seen.add(b)
+                todo += above.get(b, ())
+        out |= {(a, b) for b in seen}
+    return out
+
+
+def _local_superclasses(rows: list[tuple]) -> set[tuple[str, str]]:
+    """Strict or cyclic pairs, without the reflexive ones that superclasses() adds."""
+    named = [(s, p, o) for s, p, o, k, *_ in rows if k == "uri" and not s.startswith("_:")]
+    edges = {(s, o) for s, p, o in named if p == SUBCLASS}
+    for s, p, o in named:
+        if p == OWL + "equivalentClass":
+            edges |= {(s, o), (o, s)}
+    members = _local_lists(rows)
+    alias = {}
+    for s, p, o, *_ in rows:
+        if p == OWL + "equivalentClass" and o.startswith("_:"):
+            alias.setdefault(o, []).append(s)
+    for s, p, o, *_ in rows:
+        if p == OWL + "unionOf":
+            edges |= {(m, u) for m in members.get(o, ()) for u in alias.get(s, [s])}
+    return _local_closure(edges)
+
+
+def _frame(axioms: DataFrame, rows, fields: str) -> DataFrame:
+    return axioms.sparkSession.createDataFrame(sorted(rows), ", ".join(f"{f} string" for f in fields.split()))
+
+
 def lists(axioms: DataFrame) -> DataFrame:
     """(head, member, place) of RDF lists."""
+    rows = _collected(axioms)
+    if rows is not None:
+        found = [(h, m, i) for h, ms in _local_lists(rows).items() for i, m in enumerate(ms)]
+        return axioms.sparkSession.createDataFrame(found, "head string, member string, place int")
     first = axioms.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("member"))
     rest = axioms.where((F.col("p") == RDF + "rest") & (F.col("o") != RDF + "nil")).select(F.col("s").alias("cell"), F.col("o").alias("next"))
     heads = first.join(rest.select(F.col("next").alias("cell")), "cell", "left_anti").select(F.col("cell").alias("head"), "cell")
@@ -37,6 +100,10 @@ def lists(axioms: DataFrame) -> DataFrame:
 
 def superclasses(axioms: DataFrame) -> DataFrame:
     """(c, super): reflexive and transitive over IRIs; equivalent classes and union members count as below each other and the union."""
+    rows = _collected(axioms)
+    if rows is not None:
+        up = _local_superclasses(rows)
+        return _frame(axioms, up | {(x, x) for pair in up for x in pair}, "c super")
     edges = pairs(axioms, SUBCLASS)
     same = pairs(axioms, OWL + "equivalentClass")
     members = lists(axioms)
@@ -77,6 +144,33 @@ class Rules:
     """The schema of an ontology, closed once; its tables are small against the data and joined as they are."""
 
     def __init__(self, axioms: DataFrame):
+        rows = _collected(axioms)
+        if rows is not None:
+            self._from_rows(axioms, rows)
+        else:
+            self._from_frame(axioms)
+
+    def _from_rows(self, axioms: DataFrame, rows: list[tuple]) -> None:
+        """Tables that have no rows are None, and their rules are left out of the plan."""
+        named = [(s, p, o) for s, p, o, k, *_ in rows if k == "uri" and not s.startswith("_:")]
+        of = lambda *ps: {(s, o) for s, p, o in named if p in ps}
+        table = lambda found, fields: _frame(axioms, found, fields) if found else None
+        self.classes = table({(a, b) for a, b in _local_superclasses(rows) if a != b}, "c super")
+        self.properties = table(_local_closure(of(SUBPROPERTY)), "s o")
+        inverse = of(OWL + "inverseOf")
+        self.inverse = table(inverse | {(b, a) for a, b in inverse}, "s o")
+        self.domain, self.range = table(of(RDFS + "domain"), "s o"), table(of(RDFS + "range"), "s o")
+        kinds = lambda k: sorted(s for s, o in of(TYPE) if o == OWL + k)
+        self.transitive = kinds("TransitiveProperty")
+        self.symmetric = table({(s,) for s in kinds("SymmetricProperty")}, "s")
+        members = _local_lists(rows)
+        self.chains = {(s, o): members[o] for s, p, o, *_ in rows if p == OWL + "propertyChainAxiom" and o in members}
+        on = {s: o for s, p, o, *_ in rows if p == OWL + "onProperty"}
+        values = {s: (o, *rest) for s, p, o, *rest in rows if p == OWL + "hasValue"}
+        found = {(s, on[o], *values[o]) for s, p, o, *_ in rows if p in (SUBCLASS, OWL + "equivalentClass") and o in on and o in values}
+        self.has_value = table(found, "c p o o_kind o_lang o_dt")
+
+    def _from_frame(self, axioms: DataFrame) -> None:
         self.classes = settled(superclasses(axioms).where("c <> super"))
         props = pairs(axioms, SUBPROPERTY)
         self.properties = settled(transitive(props))
@@ -86,7 +180,6 @@ class Rules:
         kinds = pairs(axioms, TYPE)
         self.transitive = [r["s"] for r in kinds.where(F.col("o") == OWL + "TransitiveProperty").collect()]
         self.symmetric = kinds.where(F.col("o") == OWL + "SymmetricProperty").select("s")
-        self.functional = kinds.where(F.col("o") == OWL + "FunctionalProperty").select("s")
         chains = axioms.where(F.col("p") == OWL + "propertyChainAxiom").select(F.col("s").alias("p"), F.col("o").alias("head")).join(lists(axioms), "head")
         self.chains: dict[tuple[str, str], list[str]] = {}
         for r in chains.orderBy("p", "head", "place").collect():
@@ -102,15 +195,19 @@ class Rules:
         objects = delta.where("o_kind = 'uri'")
         blank = [F.lit("uri").alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt")]
         named = lambda df, a, b: df.select(F.col("s").alias(a), F.col("o").alias(b))
-        out = [
-            typed.select("s", F.col("o").alias("c")).join(self.classes, "c").select("s", F.lit(TYPE).alias("p"), F.col("super").alias("o"), *blank),
-            delta.join(named(self.properties, "p", "q"), "p").select("s", F.col("q").alias("p"), "o", "o_kind", "o_lang", "o_dt"),
-            objects.join(named(self.inverse, "p", "q"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), *blank),
-            objects.join(self.symmetric.select(F.col("s").alias("p")), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), *blank),
-            delta.join(named(self.domain, "p", "c"), "p").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"), *blank),
-            objects.join(named(self.range, "p", "c"), "p").select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"), *blank),
-            typed.select("s", F.col("o").alias("c")).join(self.has_value, "c").select(*TRIPLE),
-        ]
+        out = []
+
+        def rule(table: DataFrame | None, build) -> None:
+            if table is not None:
+                out.append(build(table))
+
+        rule(self.classes, lambda t: typed.select("s", F.col("o").alias("c")).join(t, "c").select("s", F.lit(TYPE).alias("p"), F.col("super").alias("o"), *blank))
+        rule(self.properties, lambda t: delta.join(named(t, "p", "q"), "p").select("s", F.col("q").alias("p"), "o", "o_kind", "o_lang", "o_dt"))
+        rule(self.inverse, lambda t: objects.join(named(t, "p", "q"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), *blank))
+        rule(self.symmetric, lambda t: objects.join(t.select(F.col("s").alias("p")), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), *blank))
+        rule(self.domain, lambda t: delta.join(named(t, "p", "c"), "p").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"), *blank))
+        rule(self.range, lambda t: objects.join(named(t, "p", "c"), "p").select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"), *blank))
+        rule(self.has_value, lambda t: typed.select("s", F.col("o").alias("c")).join(t, "c").select(*TRIPLE))
         links = total.where("o_kind = 'uri'")
         two = [(p, [p, p]) for p in self.transitive] + [(p, c) for (p, _), c in self.chains.items() if len(c) == 2]
         for p, (first, second) in two:
@@ -118,7 +215,7 @@ class Rules:
                 a = left.where(F.col("p") == first).select("s", F.col("o").alias("m"))
                 b = right.where(F.col("p") == second).select(F.col("s").alias("m"), "o")
                 out.append(a.join(b, "m").select("s", F.lit(p).alias("p"), "o", *blank))
-        return reduce(DataFrame.unionByName, out).distinct()
+        return reduce(DataFrame.unionByName, out, delta.limit(0)).distinct()
 
 
 def close(triples: DataFrame, axioms: DataFrame, max_rounds: int = 32) -> DataFrame:

@@ -34,7 +34,10 @@ def axioms(spark):
 X = "http://ex/"
 
 
-def test_rules(spark, axioms):
+@pytest.mark.parametrize("local", [True, False])
+def test_rules(spark, axioms, monkeypatch, local):
+    if not local:
+        monkeypatch.setattr(reason, "LOCAL_SCHEMA", 0)
     data = triples(spark, [(X + "a", RDF + "type", X + "City"), (X + "u", X + "seatIn", X + "w"), (X + "w", X + "partOf", X + "d"), (X + "d", X + "partOf", X + "c")])
     got = {(r.s[10:], r.p.rsplit("/", 1)[-1], r.o.rsplit("/", 1)[-1]) for r in reason.close(data, axioms).collect()}
     for want in [("a", "country", "VN"), ("w", "partOf", "c"), ("c", "hasPart", "w"), ("u", "locatedIn", "w"), ("u", "locatedIn", "d"), ("u", "locatedIn", "c")]:
