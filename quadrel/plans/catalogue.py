@@ -63,8 +63,8 @@ by_sparql(
 )
 by_sparql(
     "kg_bgp_chain",
-    "SELECT ?region (COUNT(?o) AS ?n) (SUM(?price) AS ?total) WHERE { ?o kg:placedBy ?c ; kg:price ?price . ?c kg:locatedIn/kg:partOf ?r . ?r rdfs:label ?region } GROUP BY ?region",
-    "SELECT r_name AS region, count(*) AS n, round(sum(o_totalprice), 6) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+    "SELECT ?region (COUNT(?o) AS ?n) (ROUND(SUM(?price)) AS ?total) WHERE { ?o kg:placedBy ?c ; kg:price ?price . ?c kg:locatedIn/kg:partOf ?r . ?r rdfs:label ?region } GROUP BY ?region",
+    "SELECT r_name AS region, count(*) AS n, floor(sum(o_totalprice) + 0.5) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     n="bigint", total="double",
 )
 _F_ORDERS = "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"
@@ -484,11 +484,11 @@ def parse_date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("o_orderkey", "v.v", "v.kind")
 
 
-@query("parse_number_vi", "SELECT c_custkey, CAST(abs(c_acctbal)::BIGINT AS DOUBLE) AS num FROM customer")
+@query("parse_number_vi", "SELECT c_custkey, floor(abs(c_acctbal)) AS num FROM customer")
 def parse_number_vi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrel.functions import parsers
 
-    n = F.format_number(F.abs("c_acctbal").cast("decimal(20,2)").cast("decimal(20,0)"), 0)
+    n = F.format_number(F.floor(F.abs("c_acctbal")), 0)
     raw = F.when(F.col("c_custkey") % 2 == 0, n).otherwise(F.translate(n, ",", "."))
     return _table(spark, sf_dir, "customer").select("c_custkey", F.explode(parsers.parsed(F.concat(raw, F.lit(" '''x'''")), "int")).alias("v")).select("c_custkey", "v.num")
 
