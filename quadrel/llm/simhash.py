@@ -63,12 +63,12 @@ def with_next(docs: DataFrame) -> DataFrame:
         found = docs.agg(F.percentile_approx("doc_id", share, 20 * MOST_RANGES)).first()[0] or []
         cuts = sorted({c for c in found if c > seen["low"] or seen["nulls"]})
     first = F.col("doc_id").isNull() if seen["nulls"] else F.col("doc_id") == F.lit(seen["low"])
-    own = F.struct(_range_of(F.col("doc_id"), cuts).alias("bucket"), F.lit(0).alias("sentinel"))
-    before = F.struct((own["bucket"] - 1).alias("bucket"), F.lit(1).alias("sentinel"))
+    own = F.struct(F.col("own").alias("bucket"), F.lit(0).alias("sentinel"))
+    before = F.struct((F.col("own") - 1).alias("bucket"), F.lit(1).alias("sentinel"))
     at_end = F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("sentinel"))
-    cut = F.exists(F.array(*(F.lit(c).cast("bigint") for c in cuts)), lambda c: c == F.col("doc_id")) if cuts else F.lit(False)
+    cut = F.get(F.array(*(F.lit(c).cast("bigint") for c in cuts)), F.col("own") - 1) == F.col("doc_id") if cuts else F.lit(False)
     places = F.filter(F.array(own, F.when(cut, before), F.when(first, at_end)), lambda x: x.isNotNull())
-    rows = docs.withColumn("place", F.explode(places)).select("place.*", "doc_id", "text")
+    rows = docs.withColumn("own", _range_of(F.col("doc_id"), cuts)).withColumn("place", F.explode(places)).select("place.*", "doc_id", "text")
     order = Window.partitionBy("bucket").orderBy("sentinel", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return rows.select("*", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("rn"))
 
