@@ -237,8 +237,8 @@ FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1""")
 def kg_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suppliers are in a second store, reached as a service."""
     parts = dm.mapped(spark, sf_dir)
-    here = [v for k, v in parts.items() if k.startswith("nation.")]
-    there = [v for k, v in parts.items() if k.startswith("supplier.")]
+    here = [parts[k] for k in parts if k.startswith("nation.")]
+    there = [parts[k] for k in parts if k.startswith("supplier.")]
     union = lambda xs: QuadStore(_union(xs), set())
     text = "SELECT ?n (COUNT(?s) AS ?k) (MAX(?b) AS ?top) WHERE { ?n a kg:Nation SERVICE <urn:kg:suppliers> { ?s kg:locatedIn ?n ; kg:balance ?b } } GROUP BY ?n"
     df = sparql.rows(union(here), text, {"urn:kg:suppliers": union(there)})
@@ -266,7 +266,7 @@ def kg_triple_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _some(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """Triples of some tables, without the texts of documents."""
     parts = dm.mapped(spark, sf_dir)
-    return _union([v for k, v in parts.items() if k in names or k.split(".")[0] in names]).drop("g")
+    return _union([parts[k] for k in parts if k in names or k.split(".")[0] in names]).drop("g")
 
 
 @query("kg_closure_types", """SELECT c, count(*) AS n FROM (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Mapping
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +42,36 @@ def ontology(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(ONTOLOGY, full(s), full(p), full(o), "uri", "", "") for s, p, o in AXIOMS], ", ".join(f"{c} string" for c in COLUMNS))
 
 
-def mapped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """name -> quads of one predicate of one table."""
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "documents")}
-    out: dict[str, DataFrame] = {}
+class Parts(Mapping):
+    """name -> quads of one predicate of one table; a table is opened and a projection built when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.plans: dict[str, tuple] = {}
+        self.tables: dict[str, DataFrame] = {}
+        self.built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.built:
+            table, *how = self.plans[name]
+            if table not in self.tables:
+                self.tables[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+            self.built[name] = _quads(self.tables[table], *how)
+        return self.built[name]
+
+    def __iter__(self):
+        return iter(self.plans)
+
+    def __len__(self) -> int:
+        return len(self.plans)
+
+
+def mapped(spark: SparkSession, sf_dir: str) -> Parts:
+    """The mapped predicates, named table.predicate."""
+    out = Parts(spark, sf_dir)
 
     def put(table: str, key: str, p: str, o: Column, kind: str = "uri", lang: Column | str = "", dt: str = "") -> None:
-        out[f"{table}.{p}"] = _quads(t[table], node(table, key), p, o, kind, lang, dt)
+        out.plans[f"{table}.{p}"] = (table, node(table, key), p, o, kind, lang, dt)
 
     string, double, integer = XSD + "string", XSD + "double", XSD + "integer"
     keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id"}
@@ -83,19 +107,24 @@ class MappedStore(QuadStore):
     graphs has no duplicates."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.parts, self.schema_part = mapped(spark, sf_dir), ontology(spark)
-        self.by_predicate: dict[str, list[DataFrame]] = {}
-        for name, df in self.parts.items():
+        self.spark, self.parts, self.schema_part = spark, mapped(spark, sf_dir), ontology(spark)
+        self.shared, self.counts = set(), _COUNTS
+        self.by_predicate: dict[str, list[str | None]] = {}  # names of parts; None: the ontology
+        for name in self.parts:
             p = name.partition(".")[2]
-            self.by_predicate.setdefault(p if ":" in p else KG + p, []).append(df)
+            self.by_predicate.setdefault(p if ":" in p else KG + p, []).append(name)
         for p in {p if ":" in p else KG + p for _, p, _ in AXIOMS}:
-            self.by_predicate.setdefault(p, []).append(self.schema_part)
-        super().__init__(reduce(DataFrame.unionByName, [*self.parts.values(), self.schema_part]), set(), _COUNTS)
+            self.by_predicate.setdefault(p, []).append(None)
+
+    @cached_property
+    def quads(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [*self.parts.values(), self.schema_part])
 
     def scan(self, graph, predicate: str | None) -> DataFrame:
         if predicate not in self.by_predicate:
             return super().scan(graph, predicate)
-        df = reduce(DataFrame.unionByName, self.by_predicate[predicate]).where(F.col("p") == predicate)
+        found = [self.schema_part if n is None else self.parts[n] for n in self.by_predicate[predicate]]
+        df = reduce(DataFrame.unionByName, found).where(F.col("p") == predicate)
         return df.select(COLUMNS[1:]) if graph is None else df.where(F.col("g") == graph[2]) if graph[0] == "term" else df
 
 
