@@ -518,11 +518,11 @@ def text_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", lead("text").alias("head"))
 
 
-@query("fold_name", "SELECT doc_id, replace(replace(lower(strip_accents(substr(text, 1, 200))), 'đ', 'd'), 'ß', 'ss') AS f FROM documents")
+@query("fold_name", "SELECT doc_id, replace(replace(lower(strip_accents(text)), 'đ', 'd'), 'ß', 'ss') AS f FROM documents")
 def fold_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrel.functions.terms import fold
 
-    return _table(spark, sf_dir, "documents").select("doc_id", F.replace(fold(F.substring("text", 1, 200)), F.lit("ß"), F.lit("ss")).alias("f"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.replace(fold(F.col("text")), F.lit("ß"), F.lit("ss")).alias("f"))
 
 
 @query("profile_shares", """SELECT event_type, n, rank, round(n / total, 6) AS share, round(run / total, 6) AS running FROM (
