@@ -11,16 +11,17 @@ from quadrel.functions.terms import PREFIXES, RDF, XSD
 from quadrel.operators.store import TRIPLE
 
 # an object literal is the last quoted part of its line, so the loop over it needs no alternation (which would recurse on long texts)
-_LINE = r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]+)|"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>"]*)>)?)\s*\.\s*(?:#[^"]*)?$'
+# (?s): a text may hold line ends of Unicode, which a line of the file does not end at
+_LINE = r'(?s)^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]+)|"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>"]*)>)?)\s*\.\s*(?:#[^"]*)?$'
 
 
 def _unescaped(c: Column) -> Column:
     """The escapes of strings; the rare numeric ones are left to text that has them."""
-    mark = F.lit("\u0000")
-    out = F.replace(c, F.lit("\\\\"), mark)
+    own, mark = F.lit("\u00000"), F.lit("\u00001")  # a U+0000 of the text and an escaped backslash
+    out = F.replace(F.replace(c, F.lit("\u0000"), own), F.lit("\\\\"), mark)
     for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\'", "'")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.replace(out, mark, F.lit("\\"))
+    return F.replace(F.replace(out, mark, F.lit("\\")), own, F.lit("\u0000"))
 
 
 def read_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -22,3 +22,11 @@ def test_fold_name_reaches_the_end_of_a_text(spark, tmp_path):
         return bare.lower().replace("đ", "d").replace("ß", "ss")
 
     assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
+
+
+def test_nt_roundtrip_of_all_sources(spark, tmp_path):
+    hard = ['say "a\\nb" \\', 'x"@en .', "tab\tline\nend\r\n", "", " # <a> <b> <c> .", "\\u0041 \\\\n", "p\u2028q\u2029r\u0085s", "\u0000 \\ \U0001f600", None]
+    rows = [(i, t, [None, "en", "pt-BR"][i % 3], [None, "src1", "hot"][i % 3 if i % 2 else 2]) for i, t in enumerate(hard)]
+    sf = documents(spark, tmp_path, rows)
+    got = {(r.s, r.o, r.o_lang) for r in entry.queries()["kg_nt_roundtrip"](spark, sf).collect()}
+    assert got == {(f"urn:kg:documents/{i}", t, (lang or "").lower()) for i, t, lang, _ in rows if t is not None}
