@@ -30,3 +30,16 @@ def test_nt_roundtrip_of_all_sources(spark, tmp_path):
     sf = documents(spark, tmp_path, rows)
     got = {(r.s, r.o, r.o_lang) for r in entry.queries()["kg_nt_roundtrip"](spark, sf).collect()}
     assert got == {(f"urn:kg:documents/{i}", t, (lang or "").lower()) for i, t, lang, _ in rows if t is not None}
+
+
+def test_text_lead_of_marked_texts(spark, tmp_path):
+    leads = [
+        ("plain  text\nmore", "plain text"), (None, None), ("", ""), ("a | b &&& c", "a | b &&& c"),
+        ("{{Infobox|x={{y|[[z]]}}}}'''Huế''' is a [[city|''town'']] of [[Vietnam]].", "Huế is a town of Vietnam."),
+        ("{| class=x\n|}", "{| class=x"), ("{| a | b |}after <ref name=x>r [[s]]</ref>the&nbsp;table", "after the table"),
+        ("see [http://a.b the page], [[File:x.jpg|thumb|no]]<b>bold</b><!-- [[c]] --> end [[open", "see the page, bold end [[open"),
+        ("x " * 3000 + "[[a|b]]", "x " * 3000 + "b"), ("1 < 2 > 0", "1 < 2 > 0"),
+    ]
+    sf = documents(spark, tmp_path, [(i, t, "vi", "s") for i, (t, _) in enumerate(leads)])
+    got = {r.doc_id: r.head for r in entry.queries()["text_lead"](spark, sf).collect()}
+    assert got == {i: head for i, (_, head) in enumerate(leads)}
