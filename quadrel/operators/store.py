@@ -50,8 +50,8 @@ class QuadStore:
         return 1e7 if p[0] in ("var", "repeat") else min(map(self.expected, p[1] if isinstance(p[1], list) else [p[1]]))
 
     def stats(self) -> DataFrame:
-        """Quads, distinct subjects and distinct objects per graph and predicate."""
-        return self.quads.groupBy("g", "p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("n_s"), F.count_distinct("o").alias("n_o"))
+        """Quads, distinct subjects and distinct objects (with their kinds, languages and types) per graph and predicate."""
+        return self.quads.groupBy("g", "p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("n_s"), F.count_distinct("o", "o_kind", "o_lang", "o_dt").alias("n_o"))
 
     def with_counts(self) -> QuadStore:
         """The same with counts and shared from one pass; predicates are few."""

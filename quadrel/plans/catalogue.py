@@ -252,13 +252,35 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-@query("kg_triple_counts", f"""SELECT 'urn:kg:locatedIn' AS p, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n_s
-UNION ALL SELECT 'urn:kg:placedBy', count(*), count(*) FROM orders UNION ALL SELECT 'urn:kg:partOf', count(*), count(*) FROM nation
-UNION ALL SELECT '{RDFS}label', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part),
-  (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part)""")
+def _counted(p: str, *parts: tuple[str, str, str]) -> str:
+    """SQL that counts the rows, keys and values of columns (table, key, value) of one predicate; rows with nulls are no quads."""
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS t, {k} AS k, {v} AS v FROM {t}" for t, k, v in parts)
+    return f"""SELECT 'urn:kg:graph/data' AS g, '{p}' AS p, count(*) AS n, count(DISTINCT (t, k)) AS n_s, count(DISTINCT v) AS n_o
+FROM ({rows}) WHERE k IS NOT NULL AND v IS NOT NULL HAVING count(*) > 0"""
+
+
+@query("kg_triple_counts", " UNION ALL ".join([
+    _counted(f"{RDF}type", ("region", "r_regionkey", "'Region'"), ("nation", "n_nationkey", "'Nation'"), ("customer", "c_custkey", "'Customer'"),
+        ("supplier", "s_suppkey", "'Supplier'"), ("part", "p_partkey", "'Part'"), ("documents", "doc_id", "'Document'"),
+        ("orders", "o_orderkey", "CASE WHEN o_orderpriority LIKE '1%' THEN 'UrgentOrder' WHEN o_orderpriority LIKE '2%' THEN 'PriorityOrder' ELSE 'Order' END")),
+    _counted(f"{RDFS}label", ("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name")),
+    _counted("urn:kg:partOf", ("nation", "n_nationkey", "n_regionkey")),
+    _counted("urn:kg:locatedIn", ("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey")),
+    _counted("urn:kg:balance", ("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal")),
+    _counted("urn:kg:segment", ("customer", "c_custkey", "c_mktsegment")),
+    _counted("urn:kg:size", ("part", "p_partkey", "p_size")),
+    _counted("urn:kg:brand", ("part", "p_partkey", "p_brand")),
+    _counted("urn:kg:placedBy", ("orders", "o_orderkey", "o_custkey")),
+    _counted("urn:kg:price", ("orders", "o_orderkey", "o_totalprice")),
+    _counted("urn:kg:status", ("orders", "o_orderkey", "o_orderstatus")),
+    _counted("urn:kg:orderDate", ("orders", "o_orderkey", "CAST(o_orderdate AS DATE)")),
+    _counted("urn:kg:content", ("documents", "doc_id", "CASE WHEN text IS NOT NULL THEN (text, coalesce(lang, '')) END")),
+    _counted("urn:kg:source", ("documents", "doc_id", "source")),
+    f"""SELECT 'urn:kg:graph/ontology', * FROM (VALUES ('{RDFS}subClassOf', 6, 6, 4), ('{OWL}disjointWith', 1, 1, 1), ('{RDF}type', 2, 2, 2),
+('{OWL}inverseOf', 2, 2, 2), ('{RDFS}domain', 1, 1, 1), ('{RDFS}range', 1, 1, 1), ('{RDFS}subPropertyOf', 1, 1, 1))""",
+]))
 def kg_triple_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quads = dm.store(spark, sf_dir).quads.where(F.col("p").isin(KG + "locatedIn", KG + "placedBy", KG + "partOf", RDFS + "label"))
-    return QuadStore(quads).stats().select("p", "n", "n_s")
+    return dm.store(spark, sf_dir).stats().select("g", "p", "n", "n_s", "n_o")
 
 
 # reasoning

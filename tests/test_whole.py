@@ -1,7 +1,10 @@
 """Registered queries do the whole job: small tables of our own against plain Python."""
 
+import datetime
 import unicodedata
 
+import duckdb
+
 import __spark_entry__ as entry
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
@@ -12,6 +15,33 @@ def documents(spark, folder, rows):
     return str(folder)
 
 
+def tables(spark, folder, part=()):
+    """All mapped tables with few rows; part: (p_partkey, p_name)."""
+    day = datetime.datetime(2020, 1, 31, 5)
+    made = {
+        "region": ("r_regionkey int, r_name string", [(0, "ATLAS"), (1, None)]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "Kát", 0), (1, "Bat", 0), (2, "at", None)]),
+        "customer": ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(1, "Matt", 0, 1.5, "A"), (2, "Zoe", 1, 1.5, None)]),
+        "supplier": ("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", [(1, "Zoe", 1, 1.5), (2, "Ătx", 2, -2.0)]),
+        "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int", [(k, n, "B", "T", k % 2) for k, n in part]),
+        "orders": (
+            "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+            [(1, 1, "F", 9.0, day, "1-URGENT"), (2, 1, "O", 9.0, day + datetime.timedelta(hours=1), "2-HIGH"), (3, None, "F", 8.0, None, None)],
+        ),
+        "documents": (DOCUMENTS, [(1, "chat", "fr", "a"), (2, "chat", "en", None), (3, None, "en", "a"), (4, "chat", "en", "b")]),
+    }
+    for name, (schema, rows) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def by_sql(name, sf, order):
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet/*.parquet')")
+    return con.execute(f"SELECT {order} FROM ({entry.oracle_sql()[name]})").fetchall()
+
+
 def test_fold_name_reaches_the_end_of_a_text(spark, tmp_path):
     texts = ["Đặng " + "xin chào " * 60 + "Straße ÉCOLE Ñandú Ế", "", None, "A\u0301" * 300 + "đ"]
     sf = documents(spark, tmp_path, [(i, t, "vi", "s") for i, t in enumerate(texts)])
@@ -43,3 +73,18 @@ def test_text_lead_of_marked_texts(spark, tmp_path):
     sf = documents(spark, tmp_path, [(i, t, "vi", "s") for i, (t, _) in enumerate(leads)])
     got = {r.doc_id: r.head for r in entry.queries()["text_lead"](spark, sf).collect()}
     assert got == {i: head for i, (_, head) in enumerate(leads)}
+
+
+def test_triple_counts_of_the_whole_store(spark, tmp_path):
+    sf = tables(spark, tmp_path, [(1, "bolt"), (2, "bolt"), (3, "Zoe")])
+    rows = entry.queries()["kg_triple_counts"](spark, sf).select("g", "p", "n", "n_s", "n_o").collect()
+    want = {
+        "type": (19, 19, 9), "label": (11, 11, 8), "partOf": (2, 2, 1), "locatedIn": (4, 4, 3), "balance": (4, 4, 2), "segment": (1, 1, 1), "size": (3, 3, 2), "brand": (3, 3, 1),
+        "placedBy": (2, 2, 1), "price": (3, 3, 2), "status": (3, 3, 2), "orderDate": (2, 2, 1), "content": (3, 3, 2), "source": (3, 3, 2),
+    }
+    local = lambda p: p.replace("#", "/").replace(":", "/").rsplit("/", 1)[1]
+    assert {local(r.p): (r.n, r.n_s, r.n_o) for r in rows if r.g == "urn:kg:graph/data"} == want
+    assert {local(r.p): (r.n, r.n_s, r.n_o) for r in rows if r.g == "urn:kg:graph/ontology"} == {
+        "subClassOf": (6, 6, 4), "type": (2, 2, 2), "inverseOf": (2, 2, 2), **{p: (1, 1, 1) for p in ("disjointWith", "domain", "range", "subPropertyOf")}
+    }
+    assert sorted(map(tuple, rows)) == sorted(by_sql("kg_triple_counts", sf, "g, p, n, n_s, n_o"))
