@@ -465,11 +465,13 @@ def kg_nt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntriples.read_ntriples(spark, path).select("s", "o", "o_lang")
 
 
-@query("kg_search", """SELECT 'urn:kg:nation/' || n_nationkey AS s, n_name AS label FROM nation WHERE contains(lower(n_name), 'at')
-UNION ALL SELECT 'urn:kg:region/' || r_regionkey, r_name FROM region WHERE contains(lower(r_name), 'at')""")
+@query("kg_search", """SELECT s, label, CASE WHEN f = 'at' THEN 0 WHEN starts_with(f, 'at') THEN 1 ELSE 2 END AS rank FROM (
+SELECT s, label, replace(lower(strip_accents(label)), 'đ', 'd') AS f FROM (SELECT 'urn:kg:region/' || r_regionkey AS s, r_name AS label FROM region
+UNION ALL SELECT 'urn:kg:nation/' || n_nationkey, n_name FROM nation UNION ALL SELECT 'urn:kg:customer/' || c_custkey, c_name FROM customer
+UNION ALL SELECT 'urn:kg:supplier/' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'urn:kg:part/' || p_partkey, p_name FROM part))
+WHERE contains(f, 'at') ORDER BY rank, length(label), s LIMIT 100""")
 def kg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = dm.mapped(spark, sf_dir)
-    return QuadStore(parts[f"nation.{RDFS}label"].unionByName(parts[f"region.{RDFS}label"]), set()).search("ÁT", 100).select("s", "label")
+    return dm.store(spark, sf_dir).search("ÁT", 100)
 
 
 @query("rule_classify", """SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' AND p_name LIKE 'a%' THEN NULL WHEN p_brand IN ('Brand#11', 'Brand#21') THEN 'Branded' WHEN lower(p_type) LIKE 'small%' THEN 'Small' WHEN p_type LIKE '%BRASS%' THEN 'Brass' END AS cls FROM part""")

@@ -88,3 +88,20 @@ def test_triple_counts_of_the_whole_store(spark, tmp_path):
         "subClassOf": (6, 6, 4), "type": (2, 2, 2), "inverseOf": (2, 2, 2), **{p: (1, 1, 1) for p in ("disjointWith", "domain", "range", "subPropertyOf")}
     }
     assert sorted(map(tuple, rows)) == sorted(by_sql("kg_triple_counts", sf, "g, p, n, n_s, n_o"))
+
+
+def test_search_of_all_labels(spark, tmp_path):
+    parts = [(k, ["bolt", "plate", "Attic", "flåt đ", "hat"][k % 5] + "x" * (k % 7)) for k in range(200)]
+    sf = tables(spark, tmp_path, parts)
+    labels = {"region/0": "ATLAS", "nation/0": "Kát", "nation/1": "Bat", "nation/2": "at", "customer/1": "Matt", "customer/2": "Zoe", "supplier/1": "Zoe", "supplier/2": "Ătx"}
+    hits = []
+    for s, label in [*labels.items(), *((f"part/{k}", n) for k, n in parts)]:
+        f = "".join(c for c in unicodedata.normalize("NFD", label.lower()) if unicodedata.category(c) != "Mn")
+        if "at" in f:
+            hits.append((0 if f == "at" else 1 if f.startswith("at") else 2, len(label), f"urn:kg:{s}", label))
+    assert len(hits) > 100
+    best = [(s, label, rank) for rank, _, s, label in sorted(hits)[:100]]
+    assert {r for _, _, r in best} == {0, 1, 2}
+    got = entry.queries()["kg_search"](spark, sf)
+    assert [(r.s, r.label, r["rank"]) for r in got.collect()] == best
+    assert sorted(by_sql("kg_search", sf, "s, label, rank")) == sorted(best)
