@@ -9,6 +9,7 @@ whole text: the messages are ratios of the two states, and all positions are upd
 the exact recursion. The score is a calibrated logistic of the largest marginal log odds and of how many tokens pass 0.5.
 
 The sample is bounded: at most SAMPLE toxic and 2 * SAMPLE other labelled documents, those with the least hash of the id.
+The field learns from all segments of these with a toxic token, and from about SEGMENTS others, chosen by hash.
 Defined cases: null and empty texts have no tokens and get the score of a text without toxic ones; a null id is held out
 of learning; repeated rows score alike; without labels of both kinds every score is 0; an empty table gives an empty result.
 """
@@ -27,6 +28,8 @@ from .quality import fit as fit_logistic
 
 SAMPLE, SEGMENT, PURE, SURE, HINT, SEGMENTS = 1200, 32, 0.9, 34.0, 16.0, 4000
 PREFIXES = (4, 5, 6)
+#: Segments whose likelihood is taken at once.
+STEP = 1 << 13
 TOLERANCE = 1e-9
 
 
@@ -155,8 +158,8 @@ def learn(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds
     used = (ratio > HINT) & (keys > 0)
     pure = ((ratio > SURE) & (hits >= PURE * n))[used]
     keys = keys[used]
-    # segments: those with a toxic token up to SEGMENTS, and about as many others, chosen by hash
-    ids_of, label_of, held = [], [], 0
+    # segments: all with a toxic token, and about SEGMENTS others, chosen by hash
+    ids_of, label_of = [], []
     for i, _, data, offs in pieces(column, 1 << 18):
         f, _, _, row = features(data, offs)
         if not len(f):
@@ -170,24 +173,28 @@ def learn(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds
         size = np.diff(np.append(begin, len(row)))
         marked = np.add.reduceat(label, begin) > 0
         chance = (mix(seg[begin].astype(U) + U(i)) >> U(40)).astype(np.float64) / (1 << 24) < SEGMENTS / max(1, segments)
-        keep = np.flatnonzero(marked & (held + np.cumsum(marked) <= SEGMENTS) | ~marked & chance)
-        held += int(marked.sum())
+        keep = np.flatnonzero(marked | chance)
         mask = np.arange(SEGMENT) < size[keep][:, None]
         tok = np.where(mask, begin[keep][:, None] + np.arange(SEGMENT), 0)
-        ids_of.append(np.where(mask[..., None], at[tok], len(keys)))
-        label_of.append(np.where(mask, label[tok].astype(np.int64), -1))
-    ids, y = np.concatenate(ids_of or [np.zeros((0, SEGMENT, 1), np.int64)]), np.concatenate(label_of or [np.zeros((0, SEGMENT), np.int64)])
-    mask, y = y >= 0, np.maximum(y, 0)
+        ids_of.append(np.where(mask[..., None], at[tok], len(keys)).astype(np.int32))
+        label_of.append(np.where(mask, label[tok], -1).astype(np.int8))
+    ids = np.concatenate(ids_of or [np.zeros((0, SEGMENT, 1), np.int32)])
+    y = np.concatenate(label_of or [np.zeros((0, SEGMENT), np.int8)])
     if not len(ids):
         return None
     w, a, bias = np.zeros(len(keys) + 1), np.zeros((2, 2)), -4.0
     m1, m2 = [np.zeros_like(w), np.zeros((2, 2)), 0.0], [np.zeros_like(w), np.zeros((2, 2)), 0.0]
     for t in range(1, rounds + 1):
-        e = w[ids].sum(-1) + bias
-        _, de, da = likelihood(e, y, mask, a)
-        dw = np.bincount(ids.reshape(-1), np.repeat(de.reshape(-1), ids.shape[-1]), minlength=len(w)) - 2e-6 * w
+        dw, da, db = -2e-6 * w, -1e-4 * a, 0.0
+        for k in range(0, len(ids), STEP):
+            some, label = ids[k : k + STEP], y[k : k + STEP]
+            _, de, da_k = likelihood(w[some].sum(-1) + bias, np.maximum(label, 0).astype(np.int64), label >= 0, a)
+            share = len(some) / len(ids)
+            dw += np.bincount(some.reshape(-1), np.repeat(de.reshape(-1) * share, some.shape[-1]), minlength=len(w))
+            da += da_k * share
+            db += de.sum() * share
         dw[-1] = 0
-        for i, (x, g) in enumerate(((w, dw), (a, da - 1e-4 * a), (bias, de.sum()))):
+        for i, (x, g) in enumerate(((w, dw), (a, da), (bias, db))):
             m1[i] = 0.9 * m1[i] + 0.1 * g
             m2[i] = 0.99 * m2[i] + 0.01 * g * g
             step = 0.2 * (m1[i] / (1 - 0.9**t)) / (np.sqrt(m2[i] / (1 - 0.99**t)) + 1e-8)

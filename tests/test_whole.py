@@ -1,11 +1,16 @@
 """Registered queries do the whole job: small tables of our own against plain Python."""
 
 import datetime
+import random
 import unicodedata
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
+from quadrel.llm import toxicity
+from quadrel.llm.batches import pieces
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
 
@@ -105,3 +110,24 @@ def test_search_of_all_labels(spark, tmp_path):
     got = entry.queries()["kg_search"](spark, sf)
     assert [(r.s, r.label, r["rank"]) for r in got.collect()] == best
     assert sorted(by_sql("kg_search", sf, "s, label, rank")) == sorted(best)
+
+
+def test_toxic_segments_beyond_the_first_thousands_are_learnt():
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+
+    def text(word, n):
+        w = [rng.choice(vocab) for _ in range(n)]
+        if word:
+            w[::24] = [word] * len(w[::24])
+        return " ".join(w)
+
+    # 60 long documents have over 4000 segments with one word; those of the other word come after them
+    texts = [text("grumph", 2400) for _ in range(60)] + [text("vilest", 40) for _ in range(60)] + [text(None, 200) for _ in range(240)]
+    toxic = np.arange(len(texts)) < 120
+    field = toxicity.learn(texts, toxic)
+    ((_, _, data, offs),) = list(pieces(pa.array([text("vilest", 40) for _ in range(20)] + [text(None, 40) for _ in range(20)])))
+    odds, s, e, row = field.tag(data, offs)
+    word = [bytes(data[a:b]) for a, b in zip(s, e)]
+    assert all((o > 0) == (w == b"vilest") for o, w in zip(odds, word))
+    assert ((field.scores(odds, row, 40) > 0.5) == (np.arange(40) < 20)).all()
