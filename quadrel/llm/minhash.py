@@ -1,8 +1,9 @@
 """MinHash near-duplicates by tensored banding, links confirmed on full shingle sets.
 
-A text is a set of word shingles. Two small collections of MinHash sub-keys (A and B, SUB of BAND minhashes each) are
-combined pairwise: table (i, j) is keyed by A_i with B_j, so SUB * SUB tables cost 2 * SUB * BAND minhashes instead of
-2 * SUB * SUB * BAND. A pair of similarity 0.85 shares no table with probability 2 * (1 - 0.85**BAND)**SUB, 4e-4.
+A text is a set of word shingles. Two small collections of MinHash sub-keys (A and B, n of BAND minhashes each) are
+combined pairwise: table (i, j) is keyed by A_i with B_j, so n * n tables cost 2 * n * BAND minhashes instead of
+2 * n * n * BAND. A pair of similarity x shares no table with probability 2 * (1 - x**BAND)**n at most; n is the least
+for which that is MISS or less at the threshold: 9 at 0.85, 12 at 0.8.
 
 Equal sets collapse into one class first. Classes that share a table key become families (connected components of
 edges to the least class of each key). Families are dealt into blocks of about BLOCK classes; every pair of blocks of
@@ -25,17 +26,25 @@ from .batches import U, mix, pieces
 from .common import components, table, written
 from .shingles import shingle_sets
 
-BAND, SUB, BLOCK = 3, 9, 256
-_SEEDS = mix(np.arange(1, 2 * BAND * SUB + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-_ODD = mix(_SEEDS) | U(1)
-_KEYS = [f"k{i}" for i in range(2 * SUB)]
+BAND, MISS, BLOCK = 3, 4e-4, 256
+
+
+def sub_keys(percent: int) -> int:
+    """Sub-keys of a collection."""
+    n = 1
+    while 2 * (1 - (percent / 100) ** BAND) ** n > MISS:
+        n += 1
+    return n
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _signatures(size: int):
+def _signatures(size: int, sub: int):
+    seeds = mix(np.arange(1, 2 * BAND * sub + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    odd = mix(seeds) | U(1)
+
     def run(batches):
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
@@ -45,19 +54,19 @@ def _signatures(size: int):
                 has = np.flatnonzero(n)
                 first = at[:-1][has]
                 h = np.zeros((2, j - i), U)
-                keys = np.zeros((2 * SUB, j - i), U)
+                keys = np.zeros((2 * sub, j - i), U)
                 if len(has):
                     h[0, has] = np.add.reduceat(sets, first)
                     h[1, has] = np.add.reduceat(mix(sets ^ U(0x5851F42D4C957F2D)), first)
-                    for k in range(2 * SUB):
+                    for k in range(2 * sub):
                         key = np.zeros(len(has), U)
                         for b in range(k * BAND, (k + 1) * BAND):
-                            low = np.minimum.reduceat((sets ^ _SEEDS[b]) * _ODD[b], first)
+                            low = np.minimum.reduceat((sets ^ seeds[b]) * odd[b], first)
                             key = mix(key + low + U(b))
                         keys[k, has] = key
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), pa.array(n.astype(np.int64)), _signed(h[0]), _signed(h[1]), *map(_signed, keys)],
-                    ["doc_id", "n", "h1", "h2", *_KEYS],
+                    ["doc_id", "n", "h1", "h2", *(f"k{k}" for k in range(2 * sub))],
                 )
 
     return run
@@ -128,12 +137,14 @@ def _verify(percent: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    keys = ", ".join(f"{k} bigint" for k in _KEYS)
-    sig = written(docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").mapInArrow(_signatures(shingle), f"doc_id bigint, n bigint, h1 bigint, h2 bigint, {keys}"))
+    sub = sub_keys(percent)
+    names = [f"k{i}" for i in range(2 * sub)]
+    keys = ", ".join(f"{k} bigint" for k in names)
+    sig = written(docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").mapInArrow(_signatures(shingle, sub), f"doc_id bigint, n bigint, h1 bigint, h2 bigint, {keys}"))
     classes = written(
-        sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), *(F.min(k).alias(k) for k in _KEYS))
+        sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), *(F.min(k).alias(k) for k in names))
     )
-    cells = [F.xxhash64(F.lit(i * SUB + j), f"k{i}", f"k{SUB + j}") for i in range(SUB) for j in range(SUB)]
+    cells = [F.xxhash64(F.lit(i * sub + j), f"k{i}", f"k{sub + j}") for i in range(sub) for j in range(sub)]
     tables = classes.select("cls", F.explode(F.array(*cells)).alias("key"))
     by_key = tables.selectExpr("cls", "min(cls) OVER (PARTITION BY key) AS least")
     # rows that share an id are one document: their classes meet in that id

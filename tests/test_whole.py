@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 import __spark_entry__ as entry
-from quadrel.llm import toxicity
+from quadrel.llm import minhash, toxicity
 from quadrel.llm.batches import pieces
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
@@ -131,3 +131,18 @@ def test_toxic_segments_beyond_the_first_thousands_are_learnt():
     word = [bytes(data[a:b]) for a, b in zip(s, e)]
     assert all((o > 0) == (w == b"vilest") for o, w in zip(odds, word))
     assert ((field.scores(odds, row, 40) > 0.5) == (np.arange(40) < 20)).all()
+
+
+def test_pairs_at_the_threshold_of_the_pipeline(spark):
+    def pair(seed):
+        rng = random.Random(seed)
+        w = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(50)]
+        return " ".join(w[:45]), " ".join(w[:40] + w[45:])  # 40 of 50 words in both
+
+    # of 4000 such pairs these shared none of 81 tables
+    seeds = [142, 513, 592, 1184, 1594, 1995, 2241, 2622, 3300, 3523, 3984]
+    docs = spark.createDataFrame([(2 * s + i, t) for s in seeds for i, t in enumerate(pair(s))], "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 1, 80).collect()}
+    assert got == {(2 * s + i, 2 * s) for s in seeds for i in (0, 1)}
+    assert minhash.without_copies(docs.limit(0), 1, 80).count() == 0
+    assert [minhash.sub_keys(p) for p in (100, 85, 80)] == [1, 9, 12]
