@@ -1,11 +1,12 @@
-"""Suffix-array dedup: bytes covered by a string of LENGTH bytes that also starts elsewhere are removed.
+"""Repeats by winnowing and hashes: bytes covered by a string of LENGTH bytes that also starts elsewhere are removed.
 
-Suffixes are indexed by their first LENGTH bytes, as only matches of that length count. Winnowing names for every start
+This is in place of a logarithmic family of suffix arrays: entries are in the order of their hashes, not of their suffixes,
+and no common prefixes are compared, as only matches of LENGTH bytes count. Winnowing names for every start
 the GRAM-gram in its LENGTH bytes with the least hash (the leftmost of equals); it depends on those bytes alone, so equal
-strings name equal grams at equal offsets. The runs of starts that name one gram are the entries of a sparse suffix
-array, ordered by (hash of the gram, hash of all bytes of the run's strings).
+strings name equal grams at equal offsets. The runs of starts that name one gram are the entries,
+ordered by (hash of the gram, hash of all bytes of the run's strings).
 
-Entries are dealt out by gram. Each task keeps a logarithmic index family: every batch is sorted into a suffix array
+Entries are dealt out by gram. Each task keeps levels for its own batches, none across calls: every batch is sorted
 and becomes a level; levels of equal size are merge-scanned for equal entries, and merged geometrically. Equal entries are repeats
 as a whole. Entries that share the gram but not the whole run (at the edges of a repeat) are divided and go through further
 indexes of the same kind, in parts of STEPS starts: parts with equal bytes are repeats as a whole, parts whose common bytes
