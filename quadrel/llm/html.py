@@ -1,18 +1,26 @@
 """Main text of HTML pages by two-pass block rules.
 
-Blocks are the texts between block-level tags. The first pass decides by container (menus, headers, footers, sidebars,
-forms, adverts, notices, comments are out; with an article or main element all that is outside it is out), by link
-density, length and stop-word density. Short or middling blocks stay undecided; the second pass gives them the label of
-the nearest decided blocks, within the article if there is one.
+Blocks are the texts between block-level tags. Containers go first: menus, headers, footers, sidebars, forms, adverts,
+notices and comments are out, and with an article or main element all that is outside it. The first pass judges every
+other block by link density, length and stop-word density: link-dense ones are out, long ones with the stop words of
+running text are in, long ones without any are out unless they stand in an article; headings and short or middling blocks
+stay undecided. In the second pass these take the label of the nearest decided block, in or out, before or after them
+among the judged blocks of the same article (of equals, in wins); the ends of an article count as decided text, and a page on which nothing is decided is kept. Both
+passes are single sweeps, and tags are scanned in linear time.
 
 References are decoded, white space inside a block becomes one space, blocks are joined by two line feeds in page order.
-Defined cases: null and empty html give ''; unclosed elements end with the one around them; a '<' that opens no tag is
-text; equal pages give equal texts; an empty table gives an empty result; extra columns are dropped.
+Defined cases: null and empty html give ''; unclosed elements end with the one around them; an element whose text is
+skipped (button, select, svg, ...) and that has no end tag before the next of its kind skips only its own tag, and an
+unclosed script, style or comment reaches to the end; a tag that never ends is cut at the next '>' whatever its quotes, and
+without one it is text, as is a '<' that opens no tag; equal pages give equal texts and repeated rows are rows of
+their own; pages of any length and depth are scanned whole; of blocks at equal distance the one that is in counts; an
+empty table gives an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -21,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 LINKS, SHORT, STOPS_HIGH, STOPS_LOW = 0.4, 70, 0.25, 0.1
+#: Link density from which a block of an article is out at once.
+LINKED = 0.9
 #: Function words of the languages served.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i in is it its no not of on or she so that the their there they this to was we were what when which who will with you "
@@ -28,12 +38,21 @@ STOP_WORDS = frozenset(
     "aber als am an auch auf aus bei das dem den der des die ein eine einen er es für hat ich im ist mit nicht noch nur sich sie sind über um und uns von vor war wie wird zu zum zur "
     "al como con del el entre era es esta fue ha hay las lo los más mi muy no o para pero por porque se sin sobre su sus también todo y ya".split()
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+'|["'])*?)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: What follows a tag's name: quotes are strings only after '='.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mover mrow ms mspace msqrt mroot mstyle msub msup "
+    "msubsup mtext munder munderover nobr q s samp semantics small span strike strong sub sup time tt u var wbr".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript template iframe object svg math select button canvas audio video head".split())
+#: Elements whose text is skipped to their end tag; the second kind to the end of the page where there is none.
+_SKIPPED = frozenset("title textarea noscript template iframe object svg select datalist button canvas audio video annotation annotation-xml".split())
+_ENDLESS = frozenset(("script", "style"))
 _OUT = frozenset("nav footer aside form dialog menu".split())
+#: An open one at the top ends when the next begins.
+_ITEMS = frozenset("li dt dd tr td th".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
 #: Parts of class names and ids of what is no main text.
 _HINTS = frozenset(
@@ -43,10 +62,13 @@ _HINTS = frozenset(
 )
 _PARTS = re.compile(r"[^a-z0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_NEXT = {tag: re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*+>?+", re.I) for tag in _SKIPPED | _ENDLESS}
 IN, OUT, OPEN = 1, 0, 2
 
 
-class _Block:
+class Block:
+    """parts: raw texts; linked: characters within links; out: in a container that is out; main: number of its article, 0 outside."""
+
     __slots__ = ("parts", "linked", "out", "main", "heading")
 
     def __init__(self, out: bool, main: int, heading: bool):
@@ -71,114 +93,176 @@ def _outside(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[_Block]:
+def tokens(html: str):
+    """(text, closing, tag, attributes) in page order: each tag with the text before it; a last one with tag ''."""
+    said, at, end, blind = 0, html.find("<"), len(html), False
+    while 0 <= at:
+        if html.startswith("<!--", at):
+            stop = html.find("-->", at + 4)
+            yield html[said:at], "", "!", ""
+            said = end if stop < 0 else stop + 3
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            stop = html.find(">", at)
+            if stop < 0:
+                break
+            yield html[said:at], "", "!", ""
+            said = stop + 1
+        elif m := _NAME.match(html, at + 1):
+            rest = None if blind else _REST.match(html, m.end())
+            stop = rest.end() if rest else html.find(">", m.end()) + 1
+            blind |= rest is None  # an open quote runs to the end of the page: from here on it counts for nothing
+            if not stop:
+                break
+            tag = m[2].lower()
+            yield html[said:at], m[1], tag, html[m.end() : stop - 1]
+            said = stop
+            if not m[1] and tag in _NEXT:
+                close = _NEXT[tag].search(html, stop)
+                if close and close[1]:
+                    said = close.end()
+                elif tag in _ENDLESS:
+                    said = _NEXT_CLOSE[tag](html, stop, end)
+        else:
+            at = html.find("<", at + 1)
+            continue
+        at = html.find("<", said)
+    yield html[said:], "", "", ""
+
+
+def _close_of(tag: str):
+    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?+", re.I)
+
+    def found(html: str, at: int, end: int) -> int:
+        m = close.search(html, at)
+        return m.end() if m else end
+
+    return found
+
+
+_NEXT_CLOSE = {tag: _close_of(tag) for tag in _ENDLESS}
+
+
+def blocks(html: str) -> list[Block]:
     """The blocks of a page in order."""
-    found: list[_Block] = []
+    found: list[Block] = []
     stack: list[tuple[str, bool, int, bool]] = []  # tag, out, number of the main element, in the header of an article
-    out, main, header, mains, links, heading = False, 0, False, 0, 0, False
-    block = _Block(False, 0, False)
+    opened: Counter[str] = Counter()
+    out, main, header, mains, heading = False, 0, False, 0, False
+    linked = -1  # depth of the stack at the open link
+    hushed: list[str] = []  # open inline elements from one that is out
+    block = Block(False, 0, False)
 
-    def fresh() -> None:
-        nonlocal block
-        if block.parts:
-            found.append(block)
-        block = _Block(out or header and not heading, main, heading)
+    def pop(k: int) -> None:
+        nonlocal out, main, header, linked
+        _, out, main, header = stack[k]
+        for t, *_ in stack[k:]:
+            opened[t] -= 1
+        del stack[k:]
+        if linked > k:
+            linked = -1
 
-    def say(text: str) -> None:
-        if text:
+    for text, closing, tag, attrs in tokens(html):
+        if text and not hushed:
             block.parts.append(text)
-            if links:
+            if linked >= 0:
                 block.linked += len(text.strip())
-
-    at, end = 0, len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if not m:
-            say(html[at:])
-            break
-        say(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if tag == "!":
             continue
-        closing, tag = m[1], m[2].lower()
-        if tag in _RAW and not closing:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if not (m[3].endswith("/") and tag in ("svg", "math")):
-                at = close.end() if close else (at if tag == "head" else end)
-            if tag not in ("button", "svg", "math"):
-                fresh()
-            continue
-        if tag == "a":
-            links = 0 if closing else 1
         if tag in _INLINE:
-            if tag == "br":
+            if hushed:
+                if closing and tag == hushed[-1]:
+                    hushed.pop()
+                elif not closing and tag == hushed[0]:
+                    hushed.append(tag)
+            elif tag == "a":
+                linked = -1 if closing else len(stack)
+            elif tag == "br":
                 block.parts.append(" ")
-            elif tag != "a" and not closing and m[3] and tag not in _VOID and _outside(tag, m[3], bool(main)):
-                close = html.find(f"</{tag}>", at)
-                at = close if close >= 0 else at
+            elif not closing and attrs and tag not in _VOID and not attrs.endswith("/") and _outside(tag, attrs, bool(main)):
+                hushed.append(tag)
+            continue
+        if tag in _SKIPPED and tag not in ("title", "template", "noscript"):
             continue
+        hushed.clear()
         heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
         if closing:
-            links = 0
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0:
-                _, out, main, header = stack[k]
-                del stack[k:]
-        elif tag not in _VOID and tag not in ("p", "html", "body"):
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop(k)
+        elif tag not in _VOID and tag not in ("p", "html", "body", "head", "script", "style", "title", "template", "noscript", ""):
+            if tag in _ITEMS and stack and stack[-1][0] == tag:
+                pop(len(stack) - 1)
             stack.append((tag, out, main, header))
-            if tag in ("article", "main") and not out and not _outside(tag, m[3], True):
+            opened[tag] += 1
+            if tag in ("article", "main") and not out and not _outside(tag, attrs, True):
                 if not main:
                     mains += 1
                     main = mains
-            elif _outside(tag, m[3], bool(main)):
+            elif _outside(tag, attrs, bool(main)):
                 out = True
             elif tag == "header":
                 header = True
-        fresh()
-    fresh()
+        if block.parts:
+            found.append(block)
+        block = Block(out or header and not heading, main, heading)
     return found
 
 
+def judged(n: int, link: float, stops: float, words: int, heading: bool, in_main: bool) -> int:
+    """The first pass: IN, OUT or OPEN for a block of n characters."""
+    if link > LINKS:
+        return OPEN if in_main and link < LINKED else OUT
+    if heading or n < SHORT:
+        return OPEN
+    if stops >= STOPS_HIGH:
+        return IN
+    return OUT if words and stops < STOPS_LOW and not in_main else OPEN
+
+
+def inherited(labels: list[int], edge: int | None) -> list[int]:
+    """The second pass over the judged blocks of one article (edge: the label of its ends) or page (None): every OPEN
+    one takes the label of the nearest decided one. Without any decided one, and no edge, nothing speaks against it."""
+    n = len(labels)
+    if edge is None and IN not in labels and OUT not in labels:
+        return [IN] * n
+    far = n + 2
+    before: list[tuple[int, int]] = []
+    at, label = (-1, edge) if edge is not None else (-far, OUT)
+    for i, x in enumerate(labels):
+        if x != OPEN:
+            at, label = i, x
+        before.append((i - at, label))
+    out = [OUT] * n
+    at, label = (n, edge) if edge is not None else (n + far, OUT)
+    for i in range(n - 1, -1, -1):
+        if labels[i] != OPEN:
+            at, label = i, labels[i]
+        gap, other = before[i]
+        out[i] = other if gap < at - i else label if at - i < gap else IN if IN in (other, label) else OUT
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    texts, first, kept = [], [], []
     found = blocks(html)
     has_main = any(b.main for b in found)
+    texts: list[str] = []
+    groups: dict[int, tuple[list[int], list[int]]] = {}  # by article: places and labels of the judged blocks
     for b in found:
         text = " ".join(unescape("".join(b.parts)).split())
-        if not text:
+        if not text or b.out or has_main and not b.main:
             continue
-        n, link = len(text), b.linked / len(text)
         words = _WORD.findall(text.lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.out or has_main and not b.main:
-            label = OUT
-        elif link > LINKS:
-            label = OPEN if b.main and link < 0.9 else OUT
-        elif n < SHORT or b.heading:
-            label = OPEN
-        elif b.main or stops >= STOPS_HIGH:
-            label = IN
-        else:
-            label = OPEN if stops >= STOPS_LOW or not words else OUT
+        places, labels = groups.setdefault(b.main, ([], []))
+        places.append(len(texts))
+        labels.append(judged(len(text), b.linked / len(text), stops, len(words), b.heading, bool(b.main)))
         texts.append(text)
-        first.append((label, b.main if has_main else 0))
-    for i, (label, main) in enumerate(first):
-        if label == OPEN:
-            label = _nearest(first, i, main)
-        kept.append(label == IN)
-    return "\n\n".join(t for t, k in zip(texts, kept, strict=True) if k)
-
-
-def _nearest(first: list[tuple[int, int]], i: int, main: int) -> int:
-    """Of the nearest decided blocks before and after (within the same main element) the closer; of equals IN wins.
-    An element without decided blocks is IN, a page without one OUT."""
-    for d in range(1, len(first)):
-        near = {first[k][0] for k in (i - d, i + d) if 0 <= k < len(first) and (not main or first[k][1] == main and first[k][0] == IN)} - {OPEN}
-        if near:
-            return IN if IN in near else OUT
-    return IN if main else OUT
+    kept = sorted(p for main, (places, labels) in groups.items() for p, x in zip(places, inherited(labels, IN if main else None), strict=True) if x == IN)
+    return "\n\n".join(texts[p] for p in kept)
 
 
 def _texts(batches):

@@ -1,3 +1,6 @@
+import random
+import time
+
 from quadrel.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
@@ -42,3 +45,64 @@ def test_odd_pages(spark):
     got = {r.page_id: r for r in html.extract(pages).collect()}
     assert got[1].text == got[2].text == "" and got[4].n_chars == 15 * 60_000 - 1 and got[None].text == html.main_text(PAGE)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def brute(kinds, article):
+    """Labels of blocks by a plain search: kinds are 'text', 'links', 'some', 'noise' and 'short'."""
+    first = {"text": 1, "links": 0, "some": 2 if article else 0, "noise": 2 if article else 0, "short": 2}
+    labels = [first[k] for k in kinds]
+    if not article and set(labels) <= {2}:
+        return [1] * len(labels)
+    out = []
+    for i, x in enumerate(labels):
+        near = {}
+        for k, y in [(-1, 1), *enumerate(labels), (len(labels), 1)] if article else enumerate(labels):
+            if y != 2:
+                near.setdefault(abs(k - i), set()).add(y)
+        out.append(x if x != 2 else int(1 in near[min(near)]))
+    return out
+
+
+def test_passes_match_brute_force():
+    rng = random.Random(4)
+    made = {
+        "text": lambda i: f"<p>The block {i} is of the kind that has all of the words that it should have for this.</p>",
+        "links": lambda i: f"<div><a href=x>Link number {i} to some of the other pages</a></div>",
+        "some": lambda i: f"<p>Head {i} <a href=x>with a link that is about half of all that it has</a> and more words after it</p>",
+        "noise": lambda i: f"<p>{i} Qwx zzk rrt pphh vvw ssd ffg hhjj kkl zzx ccv bbn mmq wwe rrtt yyu iio ppaa qwx zzk</p>",
+        "short": lambda i: f"<p>Short {i}</p>",
+    }
+    for article in (True, False):
+        for _ in range(300):
+            kinds = [rng.choice(list(made)) for _ in range(rng.randint(1, 14))]
+            page = "".join(made[k](i) for i, k in enumerate(kinds))
+            got = html.main_text(f"<body><article>{page}</article></body>" if article else f"<body>{page}</body>")
+            want = [i for i, x in enumerate(brute(kinds, article)) if x]
+            assert [int(next(w for w in b.split() if w.isdigit())) for b in got.split("\n\n") if b] == want, kinds
+
+
+def test_an_article_holds_all_of_its_text():
+    body = "<p>The energy E=<math><mi>m</mi><mi>c</mi><annotation>m c</annotation></math> is as the theory says that it is.</p>"
+    assert html.main_text(f"<article>{body}</article>") == "The energy E=mc is as the theory says that it is."
+    for tag in ("button", "select", "object", "canvas", "noscript", "audio", "video", "svg", "iframe", "textarea"):
+        page = f"<article><p>The first of the paragraphs is here.</p><{tag} x=1><p>The second of the paragraphs is here.</p></article>"
+        assert html.main_text(page).count("paragraphs") == 2, tag
+        page = f"<article><p>One is here.</p><{tag.upper()}>gone</{tag.upper()} ><p>Two is here.</p></article>"
+        assert html.main_text(page) == "One is here.\n\nTwo is here.", tag
+    page = '<article><p>The text of it. <SPAN CLASS="share">Tweet <span>this</span> now</SPAN> And on.</p></article>'
+    assert html.main_text(page) == "The text of it. And on."
+    assert html.main_text("<article><h1>Head</h1><ul><li><a href=1>One</a></li></ul><p>Tail</p></article>") == "Head\n\nTail"
+    assert html.main_text('<article><ul><li class=ad>Buy<li>The item</ul><p a="x>y" b=\'">\'>p</p></article>') == "The item\n\np"
+
+
+def test_time_is_linear():
+    pages = ["<a " + '"x" ' * 200_000, "<li>x" * 100_000, "<div>" * 50_000 + "</p></ul>" * 50_000, '<a b="x>"' * 100_000, "<a " * 200_000, "<button>" * 100_000, "<p>short</p>" * 100_000, '<p ="' * 100_000]
+    for page in pages:
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "x", 1, 2)] * 2, "page_id bigint, url string, html string, text string, n_chars int, main int")
+    assert [(r.page_id, r.text) for r in html.extract(pages).collect()] == [(1, html.main_text(PAGE))] * 2
