@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,21 +51,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-@lru_cache(4)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    b = _BASES[base]
-    one = np.ones(1, U)
-    up = np.concatenate([one, np.cumprod(np.full(n, b, U))])
-    down = np.concatenate([one, np.cumprod(np.full(n, pow(b, -1, 1 << 64), U))])
-    return up, down
+#: Powers that a worker keeps; longer texts compute their own.
+_KEPT_BITS = 20
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n, at least, of a base and of its inverse."""
+    if base in _kept and n < len(_kept[base][0]):
+        return _kept[base]
+    bits = max(16, n.bit_length())
+    b, one = _BASES[base], np.ones(1, U)
+    both = tuple(np.concatenate([one, np.cumprod(np.full(1 << bits, x, U))]) for x in (b, pow(b, -1, 1 << 64)))
+    if bits <= _KEPT_BITS:
+        _kept[base] = both
+    return both
 
 
 class Rolling:
     """Hashes of any byte ranges of a piece, from one running sum modulo 2**64."""
 
     def __init__(self, data: np.ndarray, base: int = 0):
-        self.up, self.down = _powers(base, max(20, int(len(data)).bit_length()))
+        self.up, self.down = _powers(base, len(data))
         term = (data.astype(U) + U(1)) * self.up[: len(data)]
         self.total = np.concatenate([np.zeros(1, U), np.cumsum(term, dtype=U)])
 

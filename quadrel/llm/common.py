@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,30 +15,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a local one is made."""
+    """The folder all executors share. Only where a local session names none (tests) one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadrel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _path_of(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df below the shared folder and read it back. Deleted when the JVM ends."""
+    """Cut the lineage: write df below the shared folder and read it back. Deleted by discard(), at the latest when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    hadoop, files = _path_of(spark, path)
+    files.deleteOnExit(hadoop)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quadrel_table = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        hadoop, files = _path_of(t.sparkSession, t._quadrel_table)
+        files.delete(hadoop, True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: rows (v, root), root being the least vertex reachable.
 
     Min-label propagation with pointer jumping; every round is a join and a partially aggregated
-    minimum, its result a written table. Vertices without an edge do not appear.
+    minimum, its result a written table; it ends when no label moves. Vertices without an edge do not appear.
     """
     both = written(
         edges.select(F.col(a).alias("s"), F.col(b).alias("d"))
@@ -46,7 +62,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         .distinct()
     )
     labels = written(both.groupBy(F.col("s").alias("v")).agg(F.min("d").alias("m")).selectExpr("v", "least(v, m) AS root"))
-    for _ in range(max_rounds):
+    while True:
         heard = (
             both.join(labels.withColumnRenamed("v", "s"), "s")
             .groupBy(F.col("d").alias("v"))
@@ -57,7 +73,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         new = written(
             lower.join(jump, "low", "left").select("v", "old", F.least("low", F.coalesce("far", "low")).alias("root"))
         )
+        discard(labels)
         labels = new.select("v", "root")
+        labels._quadrel_table = new._quadrel_table
         if new.where("root <> old").isEmpty():
+            discard(both)
             return labels
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")

@@ -49,9 +49,10 @@ def corpus(seed):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    for seed, batch in ((1, 1 << 16), (2, 5)):
+    for seed, batch, hot, piece in ((1, 1 << 16, 32, 1 << 18), (2, 5, 2, 300), (3, 40, 1, 1000)):
         monkeypatch.setattr(repeats, "BATCH", batch)
-        monkeypatch.setattr(repeats, "ROWS", batch)
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "PIECE", piece)
         rows = corpus(seed)
         docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id bigint, text string, kind string, start int").repartition(3)
         assert result(repeats.remove_repeats(docs, ["doc_id"], texts=False)) == brute(rows)
@@ -63,7 +64,7 @@ def test_levels_merge_geometrically():
     f = repeats.Family()
     for k in range(64):
         z = np.arange(8) + 8 * k
-        f.add({"g": z, "c": z, "row": z, "at": z, "known": np.zeros(8, bool)})
+        f.add({"g": z, "c": z, "row": z, "at": z, "bits": np.zeros(8, np.int8)})
         assert len(f.levels) <= 7
     assert len(f.whole()["g"]) == 512 and not f.found
 
@@ -76,3 +77,24 @@ def test_empty_table_and_a_long_text(spark):
     rows = [(1, long), (2, "Q" + long[1000:1400] + "R")]
     got = result(repeats.remove_repeats(spark.createDataFrame(rows, kind), ["doc_id"], texts=False))
     assert [r[2:4] for r in got] == [(len(long[1000:1400].encode()), 1)] * 2
+
+
+def test_a_gram_in_many_contexts(spark, monkeypatch):
+    rng = random.Random(9)
+    shared, passage = prose(rng, 30)[:120], prose(rng, 60)[:260]
+    rows = [(i, prose(rng, 40) + shared + prose(rng, 40)) for i in range(150)]
+    rows += [(200 + i, prose(rng, 20) + passage + prose(rng, 20) + shared + prose(rng, 9)) for i in range(20)]
+    rows += [(300 + i, rows[i][1][:-5] + "x") for i in range(10)]
+    want = brute(rows)
+    for hot in (2, 32):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        assert result(repeats.remove_repeats(docs, ["doc_id"], texts=False)) == want
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    kind = "doc_id bigint, text string, row bigint, spans string, packed int, _k0 int"
+    rows = [(7, "a" * 300, 1, "s", 2, 3)] * 3 + [(8, "b" * 150, 4, None, None, None)]
+    out = repeats.remove_repeats(spark.createDataFrame(rows, kind), ["doc_id", "row", "spans", "packed", "_k0"])
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(7, 1, "s", 2, 3, 300, 300, 1, "")] * 3 + [(8, 4, None, None, None, 150, 0, 0, "b" * 150)]
