@@ -5,28 +5,39 @@ combined pairwise: table (i, j) is keyed by A_i with B_j, so n * n tables cost 2
 2 * n * n * BAND. A pair of similarity x shares no table with probability 2 * (1 - x**BAND)**n at most; n is the least
 for which that is MISS or less at the threshold: 9 at 0.85, 12 at 0.8.
 
-Equal sets collapse into one class first. Classes that share a table key become families (connected components of
-edges to the least class of each key). Families are dealt into blocks of about BLOCK classes; every pair of blocks of
-a family compares its full sets exactly, so no link is lost to a hot key, and no task holds more than two blocks.
+Equal sets collapse into one class first. Candidates are verified on full sets before anything is joined up, in two steps:
+1. Every class meets the least class of each of its keys, if their sizes allow a link. The classes that meet one least class
+   are dealt into chunks of about BLOCK with it; a chunk compares its sets exactly. A template with any number of near copies is
+   settled here in linear work, as its copies are linked to the least of them.
+2. Keys whose classes are still in several components are left, mostly chance agreements. Their classes are cut by size
+   (linked sets differ by one size class at most), equal groups are taken once, and a group is dealt into blocks of
+   about BLOCK classes, every pair of which is compared exactly.
+So each pair that shares a key is compared or already connected: no link is lost to a hot key, chance agreements are never
+chained into larger groups, and no task holds more than two blocks. Step 2 is quadratic in the classes of one key that are close in size but
+not linked to its least class.
 
 Defined cases: null or empty texts and texts without words have empty sets, are linked with nothing and are kept;
-rows with a null id take no part and are kept; rows that share an id are one document; exact copies are one class;
+rows with a null id take no part and are kept; rows that share an id are one document: its texts' groups become one group; exact
+copies, and repeated rows, are one class; ties do not arise, as the least id names a group; texts of any length count in full;
 an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import U, mix, pieces
-from .common import components, table, written
+from .batches import U, mix, pieces, utf8
+from .common import components, discard, table, written
 from .shingles import shingle_sets
 
 BAND, MISS, BLOCK = 3, 4e-4, 256
+#: Shingles of a block, at which it is cut smaller.
+HELD = 1 << 21
 
 
 def sub_keys(percent: int) -> int:
@@ -47,7 +58,7 @@ def _signatures(size: int, sub: int):
 
     def run(batches):
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
+            ids, marks, text = batch.column(0), batch.column(1), batch.column(2)
             for i, j, data, offs in pieces(text):
                 sets, at = shingle_sets(data, offs, size)
                 n = np.diff(at)
@@ -65,22 +76,8 @@ def _signatures(size: int, sub: int):
                             key = mix(key + low + U(b))
                         keys[k, has] = key
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n.astype(np.int64)), _signed(h[0]), _signed(h[1]), *map(_signed, keys)],
-                    ["doc_id", "n", "h1", "h2", *(f"k{k}" for k in range(2 * sub))],
-                )
-
-    return run
-
-
-def _full_sets(size: int):
-    def run(batches):
-        for batch in batches:
-            for i, j, data, offs in pieces(batch.column("text")):
-                sets, at = shingle_sets(data, offs, size)
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("v"), part.column("fam"), part.column("nb"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _signed(sets))],
-                    ["v", "fam", "nb", "shingles"],
+                    [ids.slice(i, j - i), marks.slice(i, j - i), pa.array(n.astype(np.int64)), _signed(h[0]), _signed(h[1]), *map(_signed, keys)],
+                    ["doc_id", "mark", "n", "h1", "h2", *(f"k{k}" for k in range(2 * sub))],
                 )
 
     return run
@@ -120,57 +117,114 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = low
 
 
-def _verify(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, part in pdf.groupby("fam", sort=False):
+def _verify(size: int, percent: int):
+    """Edges (a, b) of the links among the rows (fam, v, text) of each fam."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        fams, ids = rows["fam"].to_numpy(), rows["v"].to_numpy()
+        order = np.lexsort((ids, fams))
+        cuts = np.flatnonzero(np.diff(fams[order])) + 1
+        text = rows["text"].combine_chunks()
+        for part in np.split(order, cuts):
+            part = part[np.append(True, np.diff(ids[part]) != 0)]
             if len(part) > 1:
-                ids = part["v"].to_numpy()
-                root = linked([np.asarray(s) for s in part["shingles"]], percent)
+                sets, at = shingle_sets(*utf8(text.take(pa.array(part))), size)
+                root = linked(np.split(sets, at[1:-1]), percent)
                 moved = np.flatnonzero(root != np.arange(len(root)))
-                a.append(ids[moved])
-                b.append(ids[root[moved]])
-        return pd.DataFrame({"a": np.concatenate(a or [[]]).astype("int64"), "b": np.concatenate(b or [[]]).astype("int64")})
+                a.append(ids[part[moved]])
+                b.append(ids[part[root[moved]]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+def _confirmed(fams: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among the classes of each fam: fams has (fam, v), texts (v, text)."""
+    pools = max(1, fams.count() // (2 * BLOCK))
+    rows = fams.join(texts, "v").select(F.pmod("fam", F.lit(pools)).alias("cell"), "fam", "v", "text")
+    return written(rows.groupBy("cell").applyInArrow(_verify(shingle, percent), "a bigint, b bigint"))
+
+
+def _blocks(count: str, total: str) -> str:
+    """Blocks for count classes of total shingles."""
+    return f"cast(greatest(ceil({count} / {BLOCK}), ceil({total} / {HELD})) AS int)"
+
+
+def _links(classes: DataFrame, docs: DataFrame, sub: int, shingle: int, percent: int) -> DataFrame:
+    """(v, root) of the classes that have links: connected components of all links between classes that share a key."""
+    cells = [F.xxhash64(F.lit(i * sub + j), f"k{i}", f"k{sub + j}") for i in range(sub) for j in range(sub)]
+    tables = classes.select("v", "n", F.explode(F.array(*cells)).alias("key"))
+    least = F.min(F.struct("v", "n"))
+    shared = tables.groupBy("key").agg(least.alias("first"), F.max("v").alias("most")).where("first.v < most").select("key", "first")
+    live = written(tables.join(shared, "key").selectExpr("key", "v", "n", "first.v AS first", "first.n AS first_n"))
+    seen = live.select("v").distinct()
+    owners = classes.join(seen, "v").select("v", F.col("first_row.doc_id").alias("doc_id"), F.col("first_row.mark").alias("mark"))
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    texts = written(named.join(owners, ["doc_id", "mark"]).select("v", "text"))
+
+    pairs = live.where(f"v <> first AND 100 * least(n, first_n) >= {percent} * greatest(n, first_n)").select("first", "first_n", "v", "n").distinct()
+    stars = written(pairs)
+    sizes = stars.groupBy("first").agg(F.expr(_blocks("count(*)", "sum(n + first_n)")).alias("nb"))
+    leaves = stars.join(sizes, "first").select("first", F.expr("pmod(xxhash64(v), nb)").cast("int").alias("part"), "v")
+    hubs = sizes.select("first", F.explode(F.expr("sequence(0, nb - 1)")).alias("part"), F.col("first").alias("v"))
+    fams = written(leaves.unionByName(hubs).select(F.xxhash64("first", "part").alias("fam"), "v"))
+    links = _confirmed(fams, texts, shingle, percent)
+    roots = components(links)
+    discard(stars, fams)
+
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int") if percent < 100 else F.col("n")
+    found = live.select("key", "v", "n").join(roots, "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root"))
+    open_ = found.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    cut = found.join(open_, "key").withColumn("bucket", bucket).withColumn("bucket", F.explode(F.expr("array(bucket, bucket - 1)")))
+    cut = written(cut.select(F.xxhash64("key", "bucket").alias("grp"), "v", "n", "root"))
+    groups = cut.groupBy("grp").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m"), F.sum("n").alias("total"),
+        F.expr("bit_xor(xxhash64(v))").alias("x"), F.expr("bit_xor(xxhash64(v, 7))").alias("y"),
+    ).where("a < b")
+    once = groups.groupBy("x", "y", "m").agg(F.min(F.struct("grp", "total")).alias("g")).selectExpr("g.grp AS grp", f"{_blocks('m', 'g.total')} AS nb")
+    dealt = cut.join(once, "grp").withColumn("own", F.expr("pmod(xxhash64(v), nb)").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    fams = written(dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("fam"), "v"))
+    more = _confirmed(fams, texts, shingle, percent)
+    out = roots if more.isEmpty() else components(links.unionByName(more))
+    discard(live, texts, cut, fams, links, more)
+    return out
+
+
+def _signed_rows(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures of the rows, (h1, h2, n, v, first, root) of their classes); first is the least row of the class,
+    root the class that names its component."""
     sub = sub_keys(percent)
     names = [f"k{i}" for i in range(2 * sub)]
     keys = ", ".join(f"{k} bigint" for k in names)
-    sig = written(docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").mapInArrow(_signatures(shingle, sub), f"doc_id bigint, n bigint, h1 bigint, h2 bigint, {keys}"))
-    classes = written(
-        sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), *(F.min(k).alias(k) for k in names))
-    )
-    cells = [F.xxhash64(F.lit(i * sub + j), f"k{i}", f"k{sub + j}") for i in range(sub) for j in range(sub)]
-    tables = classes.select("cls", F.explode(F.array(*cells)).alias("key"))
-    by_key = tables.selectExpr("cls", "min(cls) OVER (PARTITION BY key) AS least")
-    # rows that share an id are one document: their classes meet in that id
-    pairs = written(by_key.where("least < cls").distinct())
-    # a class meets one least class per table; these are few, so they are joined to the least of them instead of to the class
-    met = pairs.withColumn("first", F.expr("min(least) OVER (PARTITION BY cls)"))
-    families = components(met.selectExpr("cls AS a", "first AS b").unionByName(met.where("least > first").selectExpr("least AS a", "first AS b")))
-    sizes = written(families.groupBy(F.col("root").alias("fam")).agg(F.count("*").alias("n_fam")))
-    total = sizes.agg(F.sum("n_fam")).first()[0] or 0
-    pools = max(1, total // (2 * BLOCK))
-    members = families.withColumnRenamed("root", "fam").join(sizes, "fam").select("v", "fam", F.expr(f"cast(ceil(n_fam / {BLOCK}) AS int) AS nb"))
-    sets = (
-        docs.selectExpr("cast(doc_id as bigint) AS v", "text")
-        .join(members, "v")
-        .mapInArrow(_full_sets(shingle), "v bigint, fam bigint, nb int, shingles array<bigint>")
-        .withColumn("own", F.expr("pmod(xxhash64(v), nb)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-        .withColumn("cell", F.when(F.col("nb") == 1, F.expr(f"pmod(xxhash64(fam), {pools})")).otherwise(F.xxhash64("fam", F.least("own", "other"), F.greatest("own", "other"))))
-        .select("cell", "v", "fam", "shingles")
-    )
-    edges = written(sets.groupBy("cell").applyInPandas(_verify(percent), "a bigint, b bigint"))
-    roots = components(edges)
-    named = written(classes.select("h1", "h2", "n", "cls").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("h1", "h2", "n", F.coalesce("root", "cls").alias("component")))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sig = written(rows.mapInArrow(_signatures(shingle, sub), f"doc_id bigint, mark bigint, n bigint, h1 bigint, h2 bigint, {keys}"))
+    classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first_row"), *(F.min(k).alias(k) for k in names))
+    classes = written(classes.withColumn("v", F.monotonically_increasing_id()))
+    roots = _links(classes, docs, sub, shingle, percent)
+    named = classes.select("h1", "h2", "n", "v", "first_row").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    done = written(named)
+    discard(classes, roots)
+    return sig, done
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    sig, classes = _signed_rows(docs, shingle, percent)
+    rows = sig.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "root"), ["h1", "h2", "n"], "left")
+    rows = rows.withColumn("root", F.when(F.col("doc_id").isNotNull(), F.col("root")))
+    # rows that share an id are one document: the components of its texts become one
+    shared = rows.where("root IS NOT NULL").groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    bridges = written(rows.join(shared.select("doc_id", "a"), "doc_id").where("root > a").select("a", F.col("root").alias("b")).distinct())
+    names = classes.groupBy("root").agg(F.min("first_row.doc_id").alias("component"))
+    if not bridges.isEmpty():
+        joined = components(bridges).selectExpr("v AS root", "root AS top")
+        names = names.join(joined, "root", "left").withColumn("top", F.coalesce("top", "root"))
+        least = names.groupBy("top").agg(F.min("component").alias("component"))
+        names = names.select("root", "top").join(least, "top").select("root", "component")
     return (
-        sig.select("doc_id", "n", "h1", "h2")
-        .join(named, ["h1", "h2", "n"], "left")
+        rows.join(names, "root", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component, doc_id) END AS component_id"))
         .withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
     )
@@ -181,10 +235,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near-duplicates, the one with the least id; of rows that share an id one
-    stays. Rows with null ids stay."""
-    kept = near_duplicates(docs, shingle, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = named.withColumn("_place", F.row_number().over(one)).where("_place = 1").select(*docs.columns)
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    """docs with one row of each group of near-duplicates: the one with the least id, of these the one with the least hash
+    of the text. Rows count by their text here, so no text is lost to another one of the same id. Rows without words and rows with null ids stay."""
+    sig, classes = _signed_rows(docs, shingle, percent)
+    first = classes.groupBy("root").agg(F.min("first_row").alias("f")).select(F.col("f.doc_id").alias("_quadrel_id"), F.col("f.mark").alias("_quadrel_mark"))
+    alone = sig.where("n = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_quadrel_id"), F.col("mark").alias("_quadrel_mark")).distinct()
+    marked = docs.withColumn("_quadrel_mark", F.xxhash64("text"))
+    on = lambda other: (marked["doc_id"] == other["_quadrel_id"]) & (marked["_quadrel_mark"] == other["_quadrel_mark"])
+    plain = [f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    one = Window.partitionBy("doc_id", "_quadrel_mark").orderBy(F.xxhash64(*(docs[c] for c in plain)))
+    kept = marked.join(first, on(first), "left_semi").withColumn("_place", F.row_number().over(one)).where("_place = 1")
+    empty = marked.join(alone, on(alone), "left_semi")
+    out = kept.select(*docs.columns).unionByName(empty.select(*docs.columns))
+    return out.unionByName(docs.where("doc_id IS NULL"))
