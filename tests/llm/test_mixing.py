@@ -57,4 +57,41 @@ def test_repeated_rows_and_empty_table(spark):
     assert out.columns == docs.columns
     assert abs(out.count() - 1.5 * 91) <= 1
     none = spark.createDataFrame([], "doc_id bigint, text string, source string")
-    assert mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.repeated(none).count() == 0
+
+
+def test_rows_of_one_id_in_two_sources(spark):
+    kind = "doc_id bigint, text string, source string, n int, mark int, copies string"
+    docs = spark.createDataFrame([(i, "a b c", k, 1, 2, "x") for i in range(40) for k in ("s1", "s2")], kind)
+    words = {k: sum(r.copies for r in mixing.mix(docs.where(f"source = '{k}'")).collect()) for k in ("s1", "s2")}
+    assert words == {"s1": 60, "s2": 60}  # a source of its own takes 150 %
+    out = mixing.repeated(docs).groupBy("source").count().collect()
+    assert dict(map(tuple, out)) == {"s1": 80, "s2": 40} and mixing.repeated(docs).columns == docs.columns
+
+
+def test_many_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "en")] * 5000 + [(1, "a b", "s", "fr")] * 10 + [(2, None, None, None)] * 9, "doc_id bigint, text string, source string, lang string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 5019 and sum(r.copies for r in got) in (7515, 7514) and {r.copies for r in got if r.size} <= {1, 2}
+    assert abs(mixing.repeated(docs).count() - 7515) <= 1
+
+
+def test_copies_have_their_expectation():
+    rng = random.Random(8)
+    sizes, p = [rng.randint(1, 30) for _ in range(12)], [rng.random() for _ in range(12)]
+    import numpy as np
+
+    total, runs = np.zeros(12), 20_000
+    for seed in range(runs):
+        done, q = mixing.pivot(sizes, p, np.random.default_rng(seed))
+        total += [q if d is None else d for d in done]
+    assert np.abs(total / runs - p).max() < 0.02
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    sizes = {f"{rng.choice('aZé~')}{i}": rng.choice([0, 1, 5, 10**rng.randint(0, 9)]) for i in range(300)} | {None: 77}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size bigint").repartition(7)
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    want = water_fill(sizes)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, want[k]) for k in want)
