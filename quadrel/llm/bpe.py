@@ -5,8 +5,13 @@ pair that starts there, or NONE; inner nodes hold the minimum, so the root is th
 A merge rewrites three leaves and their paths to the root; it ends when the root is NONE. Pre-tokens of the
 same tree width are merged side by side in numpy; those over WIDE symbols one at a time.
 
-Null and empty texts have no tokens and decode to ''. Whole texts are encoded; rows, ties and repeated rows are
-independent of each other. Extra columns are dropped by the query and kept by encode().
+The tokenizer file says how texts are cut: a byte-level pre-tokenizer with its built-in pattern, and added tokens that are found as
+they stand. A file that asks for anything else is refused. Letters and digits are those of Unicode 16.
+
+A worker keeps what it has encoded in a cache of two generations, bounded in entries and characters; pre-tokens over LONG characters
+are not kept. Null and empty texts have no tokens and decode to ''. Whole texts are encoded, those without blanks too; rows, ties and
+repeated rows are independent of each other; an empty table gives an empty result. Extra columns are dropped by the query and kept by
+encode(), whatever their names.
 """
 
 from __future__ import annotations
@@ -15,23 +20,63 @@ import gc
 import hashlib
 import json
 import re
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 NONE = np.int64(1) << np.int64(62)
 SHIFT = 20
 WIDE = 64
-#: Fixed value: the pre-tokenisation pattern of the public byte-level vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of one generation of a worker's cache.
-CACHED = 150_000
+#: Fixed value: the pre-tokenisation pattern of byte-level vocabularies, over shadows (see shadow()).
+PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: Code points that are letters (L) and numbers (N) from Unicode 16 on.
+NEW_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 "
+    "11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+)
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Entries, and characters, of one generation of a worker's cache; longer pre-tokens are not kept.
+CACHED, CACHED_CHARS, LONG = 100_000, 1 << 20, 256
+
+
+def _ranges(listed: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (r.partition("-") for r in listed.split())]
+
+
+class _Shadow(dict):
+    """Code point -> code point for str.translate: ASCII stays (four separators count as marks), others by category."""
+
+    new = [("X", _ranges(NEW_LETTERS)), ("0", _ranges(NEW_NUMBERS))]
+
+    def __missing__(self, cp: int) -> int:
+        kind = unicodedata.category(chr(cp))[0]
+        found = next((c for c, rs in self.new if any(a <= cp <= b for a, b in rs)), None)
+        if cp < 128:
+            out = "!" if 0x1C <= cp <= 0x1F else chr(cp)
+        elif found or kind in "LN":
+            out = found or ("X" if kind == "L" else "0")
+        else:
+            out = "\t" if chr(cp).isspace() else "!"
+        self[cp] = ord(out)
+        return self[cp]
+
+
+_SHADOW = _Shadow()
+
+
+def shadow(text: str) -> str:
+    """text with every letter outside ASCII as X, number as 0, white space as a tab and other character as !."""
+    return text if text.isascii() and not _SEPARATORS.search(text) else text.translate(_SHADOW)
+
+
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -44,11 +89,24 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
+def _served(spec: dict) -> None:
+    """Raise ValueError for what a tokenizer file may ask for and is not done here."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("normalizer", "post_processor") if spec.get(k) and spec[k].get("type") != "ByteLevel"]
+    odd += [f"pre_tokenizer {before.get('type')}"] if before.get("type") != "ByteLevel" or not before.get("use_regex", True) else []
+    odd += [f"model {model.get('type')}"] if model.get("type", "BPE") != "BPE" else []
+    odd += [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [f"{k} of {t['content']}" for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+    if odd:
+        raise ValueError(f"the tokenizer file asks for what is not served: {', '.join(odd)}")
+
+
 class Codec:
     """The vocabulary, its pair ranks as an open-addressing table, and the merge loop."""
 
     def __init__(self, spec: str):
         spec = json.loads(spec)
+        _served(spec)
         model = spec["model"]
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         symbols = byte_symbols()
@@ -61,12 +119,14 @@ class Codec:
         self.bytes.update({i: t.encode() for t, i in self.added.items()})
         self.size = max(self.size, *self.added.values(), 0) + 1
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pattern = regex.compile(PATTERN)
+        self.spaced = bool(spec["pre_tokenizer"].get("add_prefix_space"))
         left = np.array([vocab[a] for a, _ in merges], np.int64)
         right = np.array([vocab[b] for _, b in merges], np.int64)
         self._hash_pairs(left * self.size + right)
         self.names = {i: str(i) for i in range(self.size)}
         self.words, self.old_words, self.chunks, self.old_chunks = {}, {}, {}, {}
+        self.chars = {"words": 0, "chunks": 0}
+        self.passing: tuple[list[str], list[str]] = [], []
 
     def _hash_pairs(self, keys: np.ndarray) -> None:
         bits = int(len(keys)).bit_length() + 3
@@ -264,7 +324,7 @@ class Codec:
             return [piece]
         if body[-1:] in _ENDS and body[:-1].isalpha():
             return [piece[:-1], piece[-1]]
-        return self.pattern.findall(piece)
+        return [piece[m.start() : m.end()] for m in PATTERN.finditer(shadow(piece))]
 
     def entry(self, ids: list[int]) -> tuple[str, int, bytes, bytes]:
         name, raw = self.names, self.bytes
@@ -272,22 +332,28 @@ class Codec:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Put the pieces of a batch into the cache: (ids as text, their number, bytes decoded from them, ids).
-        Of two generations the older is dropped when the younger is full."""
-        for kind in ("words", "chunks"):
-            if len(getattr(self, kind)) > CACHED:
+        Of two generations the older is dropped when the younger is full; long pieces stay until the next batch."""
+        for kind, long in zip(("words", "chunks"), self.passing, strict=True):
+            for p in long:
+                getattr(self, kind).pop(p, None)
+            long.clear()
+            if len(getattr(self, kind)) > CACHED or self.chars[kind] > CACHED_CHARS:
                 setattr(self, f"old_{kind}", getattr(self, kind))
                 setattr(self, kind, {})
+                self.chars[kind] = 0
         known, old, words, old_words = self.chunks, self.old_chunks, self.words, self.old_words
         new = []
         for p in set(chain.from_iterable(texts)).difference(known):
             if (x := old.get(p)) is not None:
                 known[p] = x
+                self.chars["chunks"] += len(p)
             else:
                 new.append((p, self.cut(p)))
         missing = []
         for w in {w for _, ws in new for w in ws}.difference(words):
             if (x := old_words.get(w)) is not None:
                 words[w] = x
+                self.chars["words"] += len(w)
             else:
                 missing.append(w)
         for w, ids in zip(missing, self.encode_words(missing), strict=True):
@@ -298,20 +364,26 @@ class Codec:
             else:
                 parts = [words[w] for w in ws]
                 known[p] = (",".join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts]), b"".join([x[3] for x in parts]))
+        for kind, long, added in (("words", self.passing[0], missing), ("chunks", self.passing[1], [p for p, _ in new])):
+            self.chars[kind] += sum([len(p) for p in added if len(p) <= LONG])
+            long += [p for p in added if len(p) > LONG]
         for t, i in self.added.items():
             known[_MARK + t] = self.entry([i])
 
     def pieces_of(self, text: str) -> list[str]:
         if self.split is None or not any(t in text for t in self.added):
-            return self.pieces(text)
+            return self.pieces(self.prefixed(text))
         out: list[str] = []
         for k, part in enumerate(self.split.split(text)):
             if k % 2:
                 out.append(_MARK + part)
             elif part:
-                out += self.pieces(part)
+                out += self.pieces(self.prefixed(part))
         return out
 
+    def prefixed(self, part: str) -> str:
+        return " " + part if self.spaced and not part[0].isspace() else part
+
 
 #: A blank that another white space or the end follows.
 _LOOSE = re.compile(r" (?:\s|$)")
@@ -338,30 +410,33 @@ def read_spec(path: str | None = None) -> str:
 
 def _encoded(spec, columns: list[str], digests: bool):
     def run(batches):
-        gc.disable()  # the cache is millions of tuples without cycles, which collections would walk again and again
         c = codec(spec.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts = [c.pieces_of(t) if t else [] for t in part.column("text").to_pylist()]
-                c.learn(texts)
-                get = c.chunks
-                rows = [[get[p] for p in ps] for ps in texts]
-                cols = [part.column(k) for k in columns]
-                cols.append(pa.array([sum([r[1] for r in rs]) for rs in rows], pa.int64()))
-                if digests:
-                    cols.append(pa.array([hashlib.sha256(",".join([r[0] for r in rs]).encode()).hexdigest() for rs in rows], pa.string()))
-                    cols.append(
-                        pa.array([hashlib.sha256(b"".join([r[2] for r in rs]).decode("utf-8", "replace").encode()).hexdigest() for rs in rows], pa.string())
-                    )
-                    names = [*columns, "n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    ids = [b"".join([r[3] for r in rs]) for rs in rows]
-                    offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(ids), np.int32))))
-                    cols.append(pa.array([b"".join([r[2] for r in rs]).decode("utf-8", "replace") for rs in rows], pa.string()))
-                    names = [*columns, "n_tokens", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        gc.disable()  # the cache is many tuples without cycles, which collections would walk again and again
+        try:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 512):
+                    yield encoded(c, batch.slice(i, 512))
+        finally:
+            gc.enable()  # the worker goes on to other tasks
+
+    def encoded(c: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [c.pieces_of(t) if t else [] for t in part.column("text").to_pylist()]
+        c.learn(texts)
+        get = c.chunks
+        rows = [[get[p] for p in ps] for ps in texts]
+        cols = [part.column(k) for k in columns]
+        cols.append(pa.array([sum([r[1] for r in rs]) for rs in rows], pa.int64()))
+        if digests:
+            cols.append(pa.array([hashlib.sha256(",".join([r[0] for r in rs]).encode()).hexdigest() for rs in rows], pa.string()))
+            cols.append(pa.array([hashlib.sha256(b"".join([r[2] for r in rs]).decode("utf-8", "replace").encode()).hexdigest() for rs in rows], pa.string()))
+            names = [*columns, "n_tokens", "ids_sha256", "decoded_sha256"]
+        else:
+            ids = [b"".join([r[3] for r in rs]) for rs in rows]
+            offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(ids), np.int32))))
+            cols.append(pa.array([b"".join([r[2] for r in rs]).decode("utf-8", "replace") for rs in rows], pa.string()))
+            names = [*columns, "n_tokens", "ids", "decoded"]
+        return pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -369,9 +444,12 @@ def _encoded(spec, columns: list[str], digests: bool):
 def encode(docs: DataFrame, keep: list[str], digests: bool = False, path: str | None = None) -> DataFrame:
     """keep, n_tokens and either (ids, decoded) or the digests of both, for the column text."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, names, strict=True)), "text")
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
     extra = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select(*keep, "text").mapInArrow(_encoded(spec, keep, digests), f"{fields}, n_tokens bigint, {extra}")
+    out = rows.mapInArrow(_encoded(spec, names, digests), f"{fields}n_tokens bigint, {extra}")
+    return out.select(*(F.col(n).alias(k) for k, n in zip(keep, names, strict=True)), *out.columns[len(names) :])
 
 
 def decode(lists: list[list[int]], path: str | None = None) -> list[str]:
