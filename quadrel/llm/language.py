@@ -5,9 +5,13 @@ each bit. Decoding is loss-weighted: the language whose codeword has the least s
 The score is its share in the softmax of the negated losses; ambiguous marks scores under CLEAR. Up to EXHAUSTIVE
 languages every split of them is a bit; more get random words of 10 * log2 bits from a fixed seed.
 
-The classifiers are fitted on at most SAMPLE documents, those with the least hash of the id.
+The classifiers are fitted on a sample in strata: of each of the k languages the SAMPLE / k documents (LEAST at least) with the
+least hash of id and text, so a rare language is learned too; texts over LEARNED bytes are not learned from. The sample is bounded
+by max(SAMPLE, k * LEAST) rows of counts, whatever the lengths and repetitions of rows are.
 Defined cases: null texts and texts without a letter are 'und' with score 0; rows with a null id or lang are never
-learned from; without any such row everything is 'und'; an empty table gives an empty result; extra columns are ignored.
+learned from; without any such row everything is 'und'; texts of any length are counted whole, a piece of ROWS rows at a time; of
+languages at equal loss the first by code point wins; repeated rows count once in learning and are predicted alike; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,14 +20,16 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import U, mix, pieces
 from .common import table
 from .letters import folded, has_letter
 
-SAMPLE, DIMS, CLEAR, EXHAUSTIVE = 3000, 4096, 0.75, 6
+SAMPLE, LEAST, LEARNED, DIMS, CLEAR, EXHAUSTIVE = 3000, 50, 1 << 20, 4096, 0.75, 6
+#: Rows whose counts are held at once.
+ROWS = 256
 _MASK = U(DIMS - 1)
 
 
@@ -89,14 +95,14 @@ def decode(margins: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batches):
     for batch in batches:
-        for i, j, data, offs in pieces(batch.column("text")):
+        for i, j, data, offs in pieces(batch.column("text"), rows=ROWS):
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array([r.tobytes() for r in grams(data, offs).astype(np.float16)], pa.binary())], ["lang", "x"])
 
 
 def _predicted(langs, m, w):
     def run(batches):
         for batch in batches:
-            for i, j, data, offs in pieces(batch.column("text")):
+            for i, j, data, offs in pieces(batch.column("text"), rows=ROWS):
                 part = batch.slice(i, j - i)
                 ascii_letter = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
                 has = ascii_letter[offs[1:]] > ascii_letter[offs[:-1]]
@@ -113,13 +119,24 @@ def _predicted(langs, m, w):
     return run
 
 
+def sampled(docs: DataFrame, kind: str, sample: int, least: int, most_bytes: int) -> DataFrame:
+    """(doc_id, mark, kind, text) of a sample of docs (doc_id, kind, text) in strata: of each value of kind the documents with the
+    least hash, each once; rows without id or kind and texts over most_bytes take no part."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(kind).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text")).where(f"doc_id IS NOT NULL AND kind IS NOT NULL AND octet_length(text) <= {most_bytes}")
+    keys = rows.select("doc_id", "mark", "kind").distinct()
+    kinds = max(1, keys.select("kind").distinct().count())
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark")
+    chosen = keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(least, sample // kinds)).drop("place")
+    # bounded by max(sample, kinds * least) rows, so it may be broadcast
+    return rows.join(F.broadcast(chosen), ["doc_id", "mark", "kind"]).dropDuplicates(["doc_id", "mark", "kind"])
+
+
 def identify(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every row of docs; rows held out are never learned from."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    chosen = docs.where("NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # bounded by sample, so it may be broadcast
-    learn = docs.where("NOT held_out AND lang IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(map(tuple, learn.select("lang", "text").mapInArrow(_counted, "lang string, x binary").collect()))
+    learn = sampled(docs.where("NOT held_out"), "lang", sample, LEAST, LEARNED).select(F.col("kind").alias("lang"), "text")
+    rows = sorted(map(tuple, learn.mapInArrow(_counted, "lang string, x binary").collect()))
     langs = sorted({r[0] for r in rows}, key=lambda s: s.encode())
     m = w = None
     if langs:

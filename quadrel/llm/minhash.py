@@ -6,15 +6,14 @@ combined pairwise: table (i, j) is keyed by A_i with B_j, so n * n tables cost 2
 for which that is MISS or less at the threshold: 9 at 0.85, 12 at 0.8.
 
 Equal sets collapse into one class first. Candidates are verified on full sets before anything is joined up, in two steps:
-1. Every class meets the least class of each of its keys, if their sizes allow a link. The classes that meet one least class
-   are dealt into chunks of about BLOCK with it; a chunk compares its sets exactly. A template with any number of near copies is
-   settled here in linear work, as its copies are linked to the least of them.
-2. Keys whose classes are still in several components are left, mostly chance agreements. Their classes are cut by size
-   (linked sets differ by one size class at most), equal groups are taken once, and a group is dealt into blocks of
-   about BLOCK classes, every pair of which is compared exactly.
+1. Every class meets the least class of each of its keys. The classes that meet one least class are its star; all that share a key are
+   in one. A star is dealt into chunks of about BLOCK classes and the least one, and a chunk compares its sets exactly. Most stars are one
+   chunk; a template with any number of near copies is settled here in linear work, as its copies are linked to the least of them.
+2. Stars of several chunks whose classes are still in several components are left. Their classes are cut by size (linked sets
+   differ by one size class at most) and dealt into blocks of about BLOCK classes, every pair of which is compared exactly.
 So each pair that shares a key is compared or already connected: no link is lost to a hot key, chance agreements are never
-chained into larger groups, and no task holds more than two blocks. Step 2 is quadratic in the classes of one key that are close in size but
-not linked to its least class.
+chained into larger groups, and no task holds more than two blocks. Step 2 is quadratic in the classes of one star that are close in size but
+not all linked.
 
 Defined cases: null or empty texts and texts without words have empty sets, are linked with nothing and are kept;
 rows with a null id take no part and are kept; rows that share an id are one document: its texts' groups become one group; exact
@@ -35,7 +34,7 @@ from .batches import U, mix, pieces, utf8
 from .common import components, discard, table, written
 from .shingles import shingle_sets
 
-BAND, MISS, BLOCK = 3, 4e-4, 256
+BAND, MISS, BLOCK = 3, 4e-4, 1024
 #: Shingles of a block, at which it is cut smaller.
 HELD = 1 << 21
 
@@ -163,32 +162,29 @@ def _links(classes: DataFrame, docs: DataFrame, sub: int, shingle: int, percent:
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     texts = written(named.join(owners, ["doc_id", "mark"]).select("v", "text"))
 
-    pairs = live.where(f"v <> first AND 100 * least(n, first_n) >= {percent} * greatest(n, first_n)").select("first", "first_n", "v", "n").distinct()
-    stars = written(pairs)
+    stars = written(live.where("v <> first").select("first", "first_n", "v", "n").distinct())
+    discard(live)
     sizes = stars.groupBy("first").agg(F.expr(_blocks("count(*)", "sum(n + first_n)")).alias("nb"))
     leaves = stars.join(sizes, "first").select("first", F.expr("pmod(xxhash64(v), nb)").cast("int").alias("part"), "v")
     hubs = sizes.select("first", F.explode(F.expr("sequence(0, nb - 1)")).alias("part"), F.col("first").alias("v"))
     fams = written(leaves.unionByName(hubs).select(F.xxhash64("first", "part").alias("fam"), "v"))
     links = _confirmed(fams, texts, shingle, percent)
     roots = components(links)
-    discard(stars, fams)
-
-    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int") if percent < 100 else F.col("n")
-    found = live.select("key", "v", "n").join(roots, "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root"))
-    open_ = found.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    cut = found.join(open_, "key").withColumn("bucket", bucket).withColumn("bucket", F.explode(F.expr("array(bucket, bucket - 1)")))
-    cut = written(cut.select(F.xxhash64("key", "bucket").alias("grp"), "v", "n", "root"))
-    groups = cut.groupBy("grp").agg(
-        F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m"), F.sum("n").alias("total"),
-        F.expr("bit_xor(xxhash64(v))").alias("x"), F.expr("bit_xor(xxhash64(v, 7))").alias("y"),
-    ).where("a < b")
-    once = groups.groupBy("x", "y", "m").agg(F.min(F.struct("grp", "total")).alias("g")).selectExpr("g.grp AS grp", f"{_blocks('m', 'g.total')} AS nb")
-    dealt = cut.join(once, "grp").withColumn("own", F.expr("pmod(xxhash64(v), nb)").cast("int"))
+    discard(fams)
+
+    large = stars.join(sizes.where("nb > 1").select("first"), "first").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    found = written(large.select("first", "v", "n", "root"))
+    open_ = found.groupBy("first").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("first")
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
+    cut = found.join(open_, "first").withColumn("bucket", bucket).withColumn("bucket", F.explode(F.expr("array(bucket, bucket - 1)")))
+    cut = written(cut.select(F.xxhash64("first", "bucket").alias("grp"), "v", "n", "root"))
+    groups = cut.groupBy("grp").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.expr(_blocks("count(*)", "sum(n)")).alias("nb")).where("a < b").select("grp", "nb")
+    dealt = cut.join(groups, "grp").withColumn("own", F.expr("pmod(xxhash64(v), nb)").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     fams = written(dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("fam"), "v"))
     more = _confirmed(fams, texts, shingle, percent)
     out = roots if more.isEmpty() else components(links.unionByName(more))
-    discard(live, texts, cut, fams, links, more)
+    discard(stars, texts, found, cut, fams, links, more)
     return out
 
 
@@ -203,28 +199,34 @@ def _signed_rows(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
     classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first_row"), *(F.min(k).alias(k) for k in names))
     classes = written(classes.withColumn("v", F.monotonically_increasing_id()))
     roots = _links(classes, docs, sub, shingle, percent)
-    named = classes.select("h1", "h2", "n", "v", "first_row").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    done = written(named)
+    done = written(classes.select("h1", "h2", "n", "v", "first_row").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")))
     discard(classes, roots)
     return sig, done
 
 
+def _bridged(sig: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes with the roots of components that rows of one id connect as one root."""
+    equal = F.struct("h1", "h2", "n")
+    several = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(equal).alias("a"), F.max(equal).alias("b")).where("a <> b").select("doc_id")
+    several = written(several)
+    if several.isEmpty():
+        return classes
+    rows = sig.join(several, "doc_id").where("n > 0").join(classes.select("h1", "h2", "n", "root"), ["h1", "h2", "n"])
+    ends = written(rows.select("doc_id", "root").distinct())
+    least = ends.groupBy("doc_id").agg(F.min("root").alias("a"))
+    tops = components(ends.join(least, "doc_id").where("root > a").select("a", F.col("root").alias("b")).distinct()).selectExpr("v AS root", "root AS top")
+    return written(classes.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     sig, classes = _signed_rows(docs, shingle, percent)
-    rows = sig.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "root"), ["h1", "h2", "n"], "left")
-    rows = rows.withColumn("root", F.when(F.col("doc_id").isNotNull(), F.col("root")))
-    # rows that share an id are one document: the components of its texts become one
-    shared = rows.where("root IS NOT NULL").groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    bridges = written(rows.join(shared.select("doc_id", "a"), "doc_id").where("root > a").select("a", F.col("root").alias("b")).distinct())
+    classes = _bridged(sig, classes)
     names = classes.groupBy("root").agg(F.min("first_row.doc_id").alias("component"))
-    if not bridges.isEmpty():
-        joined = components(bridges).selectExpr("v AS root", "root AS top")
-        names = names.join(joined, "root", "left").withColumn("top", F.coalesce("top", "root"))
-        least = names.groupBy("top").agg(F.min("component").alias("component"))
-        names = names.select("root", "top").join(least, "top").select("root", "component")
+    named = written(classes.join(names, "root").select("h1", "h2", "n", "component"))
     return (
-        rows.join(names, "root", "left")
+        sig.select("doc_id", "n", "h1", "h2")
+        .join(named, ["h1", "h2", "n"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component, doc_id) END AS component_id"))
         .withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
     )

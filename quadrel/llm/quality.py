@@ -1,15 +1,16 @@
 """Quality classifier: hierarchical empirical Bayes over document evidence, hosts and paths.
 
-A logistic model over measures of the whole text (symbols, capitals, repeated words, word lengths, ...) gives each
-document the probability of label 1. It is fitted on at most SAMPLE labelled rows, the ones with the least hash of the
-id. Every document counts towards its site: the mean of a host (source) is shrunk towards the global mean, that of a
-path (source and lang) towards its host, each with a prior strength estimated by moments from the spread of all sites,
-so sparse sites stay near their prior. The score shifts the document's log odds by what its path differs from the global
-mean; documents under CUT are rejected.
+A logistic model over hashed n-grams of the whole text gives each document the probability of label 1: log counts of runs of one
+to three bytes and of words, both normalised, and the spectrum of how often words recur. It is fitted on at most SAMPLE labelled
+documents, the ones with the least hash of id and text; texts over LEARNED bytes are not learned from. Every document counts
+towards its site: the mean of a host (source) is shrunk towards the global mean, that of a path (source and lang) towards its host, each
+with a prior strength estimated by moments from the spread of all sites, so sparse sites stay near their prior. The score shifts the
+document's log odds by what its path differs from the global mean; documents under CUT are rejected.
 
 Defined cases: null text is empty; null source or lang is a site of its own; rows with null ids are scored and never
-sampled; repeated rows count as often as they occur; without labels of both kinds all evidence is neutral and all rows
-are kept; an empty table gives an empty result.
+sampled; repeated rows count as often as they occur for their sites and once in learning; of several labels of an id the largest counts;
+texts of any length are counted whole, a piece of ROWS rows at a time; ties do not arise; without labels of both kinds all evidence is
+neutral and all rows are kept; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,63 +20,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Rolling, lowered, pieces, words
+from .batches import Rolling, U, lowered, mix, pieces, words
 from .common import table, written
 
-SAMPLE = 6000
+SAMPLE, LEARNED = 6000, 1 << 20
 CUT = 0.5
-MEASURES = ("symbols", "capitals", "same_word", "marked_words", "word_length", "digits", "lines", "log_words", "short_words", "wide", "bars", "same_later")
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[[ord(c) for c in "|%#*&$!~^=<>{}[]\\_@+"]] = True
+#: Hashed places of byte runs, and as many of words; classes of recurrence; rows whose counts are held at once.
+DIMS, SPECTRUM, ROWS = 2048, 8, 256
+_MASK = U(DIMS - 1)
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[48:58] = 48
 
 
-def measures(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """MEASURES of each row of a piece."""
-    n = np.diff(offs)
-    rows = len(n)
-
-    def share(mask: np.ndarray, of: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return (total[offs[1:]] - total[offs[:-1]]) / np.maximum(of, 1)
-
-    s, e, row = words(data, offs)
+def spectrum(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Shares of the words of each row: equal to the word before; the first, second, third or fourth, ... occurrence of
+    their kind by powers of two; and the log of their number."""
+    out = np.zeros((rows, SPECTRUM))
     count = np.bincount(row, minlength=rows)
-
-    def by_word(x: np.ndarray) -> np.ndarray:
-        return np.bincount(row, x, minlength=rows) / np.maximum(count, 1)
-
-    capital = (data >= 65) & (data <= 90)
-    small = (data >= 97) & (data <= 122)
-    letters = share(small | capital, np.ones(rows))
-    if len(s):
-        h = Rolling(lowered(data)).of(s, e)
-        same = np.zeros(len(s), bool)
+    if len(h):
+        same = np.zeros(len(h))
         same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
         order = np.lexsort((h, row))
-        again = np.zeros(len(s), bool)
-        again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]]) & ((e - s)[order[1:]] > 6)
-        last = _SYMBOL[data[e - 1]]
-    else:
-        same = again = last = np.zeros(0, bool)
-    return np.column_stack(
-        [
-            share(_SYMBOL[data], n), share(capital, letters), by_word(same), by_word(last), by_word(e - s), share((data >= 48) & (data <= 57), n),
-            share(data == 10, count), np.log1p(count), by_word((e - s) <= 3), share(data >= 128, n), share(data == 124, count), by_word(again),
-        ]
-    )
-
-
-def _measured(batches):
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+        first = np.flatnonzero(new)
+        place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h)))) + 1
+        kind = np.minimum(np.log2(place).astype(np.int64), SPECTRUM - 3)
+        out[:, 0] = np.bincount(row, same, minlength=rows)
+        out[:, 1:-1] = np.bincount(row[order] * (SPECTRUM - 2) + kind, minlength=rows * (SPECTRUM - 2)).reshape(rows, -1)
+        out[:, :-1] /= np.maximum(count, 1)[:, None]
+    out[:, -1] = np.log1p(count) / 8
+    return out
+
+
+def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Normalised log counts of hashed byte runs and of hashed words, and the spectrum, of each row of a piece."""
+    rows = len(offs) - 1
+    out = np.zeros((rows, 2 * DIMS + SPECTRUM), np.float32)
+    plain = _PLAIN[data].astype(U)
+    keys = [mix(plain + U(1)) & _MASK]
+    if len(plain) > 1:
+        two = plain[:-1] << U(8) | plain[1:]
+        keys.append(mix(two + U(1 << 20)) & _MASK)
+    if len(plain) > 2:
+        keys.append(mix((two[:-1] << U(8) | plain[2:]) + U(1 << 40)) & _MASK)
+    keys = [k.astype(np.int32) for k in keys]
+    s, e, row = words(data, offs)
+    h = Rolling(lowered(data)).of(s, e) if len(s) else np.zeros(0, U)
+    at, word = np.searchsorted(row, np.arange(rows + 1)), (h & _MASK).astype(np.int32)
+    for r in range(rows):
+        a, b = offs[r], offs[r + 1]
+        for order, k in enumerate(keys):
+            if b - a > order:
+                out[r, :DIMS] += np.bincount(k[a : b - order], minlength=DIMS)
+        out[r, DIMS : 2 * DIMS] = np.bincount(word[at[r] : at[r + 1]], minlength=DIMS)
+    np.log1p(out, out)
+    for part in (out[:, :DIMS], out[:, DIMS : 2 * DIMS]):
+        part /= np.sqrt(np.maximum((part * part).sum(1, keepdims=True), 1e-9))
+    out[:, 2 * DIMS :] = spectrum(h, row, rows)
+    return out
+
+
+def _counted(batches):
     for batch in batches:
-        for i, j, data, offs in pieces(batch.column("text")):
-            part = batch.slice(i, j - i)
-            x = measures(data, offs)
-            cols = [part.column(k) for k in ("doc_id", "source", "lang", "mark")] + [pa.array(np.ascontiguousarray(x[:, k])) for k in range(x.shape[1])]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "lang", "mark", *MEASURES])
+        for i, j, data, offs in pieces(batch.column("text"), rows=ROWS):
+            yield pa.RecordBatch.from_arrays([batch.column("quality").slice(i, j - i), pa.array([r.tobytes() for r in features(data, offs).astype(np.float16)], pa.binary())], ["quality", "x"])
+
+
+def _judged(w: np.ndarray | None):
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offs in pieces(batch.column("text"), rows=ROWS):
+                part = batch.slice(i, j - i)
+                p = np.full(j - i, 0.5) if w is None else 1 / (1 + np.exp(-np.clip(features(data, offs) @ w[:-1] + w[-1], -30, 30)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "source", "lang", "mark")), pa.array(p.astype(np.float64))], ["doc_id", "source", "lang", "mark", "evidence"])
+
+    return run
+
+
+def learn(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights, the intercept last, of a ridge logistic model, by Adam on all rows."""
+    y = y.astype(np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        slope = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) - y) / len(x)
+        g = np.append(x.T @ slope + 1e-5 * w[:-1], slope.sum()).astype(np.float32)
+        first = 0.9 * first + 0.1 * g
+        second = 0.99 * second + 0.01 * g * g
+        w -= 0.3 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
+    return w
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the intercept last) of a ridge logistic regression, by Newton steps."""
+    """(mean, scale, weights with the intercept last) of a ridge logistic regression on few columns, by Newton steps."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
@@ -109,24 +147,26 @@ def _posterior(sites: DataFrame, prior: str) -> DataFrame:
     return sites.withColumn("post", (k * F.col(prior) + F.col("good")) / (k + F.col("n")))
 
 
+def _weights(named: DataFrame, labels: DataFrame, sample: int) -> np.ndarray | None:
+    """Weights of the model of evidence, or None without labels of both kinds. named: doc_id, mark, text."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    fit_for = named.where(f"doc_id IS NOT NULL AND octet_length(coalesce(text, '')) <= {LEARNED}").select("doc_id", "mark")
+    keys = fit_for.join(known, "doc_id").distinct()
+    chosen = keys.orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(sample)  # bounded by sample, so it may be broadcast
+    rows = named.select("doc_id", "mark", "text").join(F.broadcast(chosen), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    found = rows.select(F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_counted, "quality int, x binary").collect()
+    found = sorted((r[0] > 0, bytes(r[1])) for r in found)
+    y = np.array([r[0] for r in found], bool)
+    if not len(found) or y.all() or not y.any():
+        return None
+    return learn(np.stack([np.frombuffer(r[1], np.float16) for r in found]).astype(np.float32), y)
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, mark, source, evidence, host_posterior, path_posterior, score, kept of every row of docs."""
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", F.xxhash64("doc_id", "text").alias("mark"), "text")
-    fields = ", ".join(f"{m} double" for m in MEASURES)
-    seen = written(named.mapInArrow(_measured, f"doc_id bigint, source string, lang string, mark bigint, {fields}"))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    rows = seen.join(F.broadcast(known), "doc_id").select("quality", *MEASURES).orderBy(*MEASURES).limit(2 * sample).collect()
-    y = np.array([float(r[0] > 0) for r in rows])
-    if len(rows) and 0 < y.sum() < len(y):
-        mean, scale, w = fit(np.array([r[1:] for r in rows], float), y)
-        logit = F.lit(float(w[-1]))
-        for k, m in enumerate(MEASURES):
-            logit = logit + float(w[k]) * (F.col(m) - float(mean[k])) / float(scale[k])
-        evidence = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
-    else:
-        evidence = F.lit(0.5)
-    seen = written(seen.select("doc_id", "mark", "source", "lang", evidence.alias("evidence")))
+    w = _weights(named, labels, sample)
+    seen = written(named.mapInArrow(_judged(w), "doc_id bigint, source string, lang string, mark bigint, evidence double"))
     sums = [F.count("*").alias("n"), F.sum("evidence").alias("good"), F.sum(F.col("evidence") * F.col("evidence")).alias("square")]
     paths = seen.groupBy("source", "lang").agg(*sums)
     hosts = paths.groupBy("source").agg(*(F.sum(k).alias(k) for k in ("n", "good", "square")))

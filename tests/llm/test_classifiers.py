@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quadrel.llm import language, quality, toxicity
-from quadrel.llm.batches import pieces
+from quadrel.llm.batches import mix, pieces
 
 
 def brute_marginals(e, a):
@@ -111,6 +111,76 @@ def test_language_held_out(spark):
     assert language.identify(docs.limit(0), F.lit(False)).count() == 0
 
 
+def naive_grams(raw):
+    low = [b + 32 if 65 <= b <= 90 else b for b in raw]
+    low = [b + 32 if i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97 else b for i, b in enumerate(low)]
+    low = [32 if b < 97 or 122 < b < 128 else b for b in low]
+    count = np.zeros(language.DIMS)
+    for n, base in ((1, 1), (2, 1 << 20), (3, 1 << 40)):
+        for i in range(len(low) - n + 1):
+            key = sum(b << 8 * (n - 1 - k) for k, b in enumerate(low[i : i + n])) + base
+            x = int(mix(np.array([key], np.uint64))[0])
+            count[x % language.DIMS] += 1
+    x = np.log1p(count)
+    return x / max(np.sqrt((x * x).sum()), 1e-5)
+
+
+def test_grams_and_decoding_match_plain_versions():
+    texts = ["The Quick brown", "ÀÉ×ß ñ", "", "a", "12 ab\n", "日本"]
+    ((_, _, data, offs),) = list(pieces(pa.array(texts)))
+    got = language.grams(data, offs)
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, naive_grams(t.encode()), atol=1e-5), t
+    rng = np.random.default_rng(2)
+    for k in (2, 3, 4, 9):
+        m = language.codewords(k).astype(float)
+        margins = rng.normal(size=(50, m.shape[1])) * 3
+        who, score = language.decode(margins, m)
+        for row, w, s in zip(margins, who, score, strict=True):
+            loss = [sum(np.log(1 + np.exp(-bit * x)) for bit, x in zip(word, row)) for word in m]
+            assert w == int(np.argmin(loss)) and abs(s - np.exp(-min(loss)) / sum(np.exp(-x) for x in loss)) < 1e-9
+
+
+def test_predictions_match_a_plain_version(spark):
+    rows = [(i, "the other thing and a theory" if i % 2 else "que le monde des eaux", "en" if i % 2 else "fr") for i in range(40)] + [(100 + i, t, None) for i, t in enumerate(["the eaux", "monde", "A b", "12"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    held = F.col("doc_id") >= 100
+    got = {r.doc_id: r for r in language.identify(docs, held).collect()}
+    chosen = sorted(((k, language.grams(*list(pieces(pa.array([t])))[0][2:]).astype(np.float16).tobytes()) for _, t, k in rows if k))
+    m = language.codewords(2)
+    w = language.fit(np.stack([np.frombuffer(x, np.float16) for _, x in chosen]).astype(np.float32), m, np.array([["en", "fr"].index(k) for k, _ in chosen])).astype(float)
+    for i, t, _ in rows[40:]:
+        margin = naive_grams(t.encode()) @ w[:-1] + w[-1]
+        loss = [sum(np.log(1 + np.exp(-bit * x)) for bit, x in zip(word, margin)) for word in m.astype(float)]
+        if any(c.isalpha() for c in t):
+            assert got[i].lang_pred == ["en", "fr"][int(np.argmin(loss))] and abs(got[i].score - np.exp(-min(loss)) / sum(np.exp(-x) for x in loss)) < 1e-4
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the other thing and a theory " * 3, "en") for i in range(4000)] + [(9000 + i, "que le monde des eaux claires", "fr") for i in range(6)]
+    rows += [(5, "the other thing and a theory " * 3, "en")] * 500 + [(9999, "que le eaux", None), (9998, "x " * 100_000, "en")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, mark int")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, F.lit(False), sample=100).collect()}
+    assert got[9999] == "fr" and got[1] == "en"
+    sample = language.sampled(docs, "lang", 100, 5, 1 << 20).collect()
+    assert sum(r.kind == "en" for r in sample) == 50 and sum(r.kind == "fr" for r in sample) == 6
+    assert language.identify(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([True] * 10_000), pa.array(["a b"] * 10_000)], ["doc_id", "held_out", "text"])
+    m = language.codewords(2)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in language._predicted(["a", "b"], m, np.zeros((language.DIMS + 1, m.shape[1])))([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 and peak < 60e6
+
+
 def test_quality(spark):
     rng = random.Random(9)
     rows, labels = [(5000, None, None, None), (5001, "", "s", None), (None, "a b", "s", "en")], []
@@ -135,9 +205,69 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), known).count() == 0
 
 
-def test_measures_follow_rows():
-    texts = ["Ab c|c", "", "x x x x", "A" * 9 + "\n"]
+def test_features_follow_rows():
+    texts = ["Ab 12 ab", "", "x x x x", "é"]
     ((_, _, data, offs),) = list(pieces(pa.array(texts)))
-    m = quality.measures(data, offs)
-    name = {k: i for i, k in enumerate(quality.MEASURES)}
-    assert m[0, name["bars"]] == 0.5 and m[2, name["same_word"]] == 0.75 and m[1].sum() == 0 and m[3, name["capitals"]] == 1
+    x = quality.features(data, offs)
+    d = quality.DIMS
+    for t, row in zip(texts, x, strict=True):
+        raw = bytes(48 if 48 <= b < 58 else b for b in t.encode())
+        count = np.zeros(d)
+        for n, base in ((1, 1), (2, 1 << 20), (3, 1 << 40)):
+            for i in range(len(raw) - n + 1):
+                key = sum(b << 8 * (n - 1 - k) for k, b in enumerate(raw[i : i + n])) + base
+                count[int(mix(np.array([key], np.uint64))[0]) % d] += 1
+        want = np.log1p(count)
+        assert np.allclose(row[:d], want / max(np.sqrt((want * want).sum()), 1e-5), atol=1e-5)
+    # ab, 12, ab again: two first occurrences and one second; x: each equal to the one before
+    assert np.allclose(x[0, 2 * d :], [0, 2 / 3, 1 / 3, 0, 0, 0, 0, np.log(4) / 8], atol=1e-6)
+    assert np.allclose(x[2, 2 * d :], [3 / 4, 1 / 4, 2 / 4, 1 / 4, 0, 0, 0, np.log(5) / 8], atol=1e-6)
+    assert not x[1].any() and (x[0, d : 2 * d] > 0).sum() == 2
+
+
+def test_posteriors_match_plain_ones(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(500):
+        bad = rng.random() < 0.3
+        words = ["".join(rng.choice("etaoinsh") for _ in range(rng.randint(2, 9))) + "%" * bad for _ in range(rng.randint(3, 30))]
+        rows.append((i, " ".join(words), rng.choice(["a", "b", "c", None]) if not bad else "b", rng.choice(["en", None]), "x", 0))
+        labels.append((i, int(not bad)))
+    rows += rows[:9] + [(None, "a b", "d", "en", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, mark string, evidence int")
+    got = quality.score(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    assert len(got) == len(rows)
+
+    def shrunk(groups, prior):
+        n = {k: len(v) for k, v in groups.items()}
+        mean = {k: sum(v) / n[k] for k, v in groups.items()}
+        docs_, sites = sum(n.values()), len(groups)
+        within = sum(sum((x - mean[k]) ** 2 for x in v) for k, v in groups.items()) / max(1, docs_ - sites)
+        between = sum(n[k] * (mean[k] - prior[k]) ** 2 for k in groups) / docs_ - within * sites / docs_
+        strength = min(max(within / max(between, 1e-9), 1.0), 1e6)
+        return {k: (strength * prior[k] + sum(v)) / (strength + n[k]) for k, v in groups.items()}
+
+    lang = {r[0]: r[3] for r in rows}
+    hosts, paths = {}, {}
+    for r in got:
+        hosts.setdefault(r.source, []).append(r.evidence)
+        paths.setdefault((r.source, lang[r.doc_id]), []).append(r.evidence)
+    total = sum(r.evidence for r in got) / len(got)
+    host = shrunk(hosts, dict.fromkeys(hosts, total))
+    path = shrunk(paths, {k: host[k[0]] for k in paths})
+    odds = lambda p: np.log(max(p, 1e-12) / max(1 - p, 1e-12))
+    for r in got:
+        k = r.source, lang[r.doc_id]
+        assert abs(r.host_posterior - host[k[0]]) < 1e-9 and abs(r.path_posterior - path[k]) < 1e-9
+        want = 1 / (1 + np.exp(-(odds(r.evidence) + odds(path[k]) - odds(total))))
+        assert abs(r.score - want) < 1e-9 and r.kept == (want >= 0.5)
+
+
+def test_repeated_rows_do_not_crowd_the_sample(spark):
+    rows = [(1, "a b c %%%", "s", "en")] * 3000 + [(10 + i, f"plain word {i} of text", "s", "en") for i in range(60)] + [(200 + i, f"bad%%% word%%% {i}%%%", "s", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    labels = spark.createDataFrame([(r[0], int("%" not in r[1])) for r in rows[2999:]], "doc_id bigint, quality int")
+    got = {r.doc_id: r.evidence for r in quality.score(docs, labels, sample=100).collect()}
+    assert min(got[10 + i] for i in range(60)) > max(got[200 + i] for i in range(60))
+    assert quality.good(docs.limit(0), labels).count() == 0
+    assert quality.good(docs, labels.limit(0)).count() == len(rows)

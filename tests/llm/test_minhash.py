@@ -52,7 +52,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [1024, 4])
 def test_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     rows = corpus(block)
