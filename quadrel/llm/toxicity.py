@@ -8,10 +8,13 @@ tokens. Scoring runs forward-backward over each
 whole text: the messages are ratios of the two states, and all positions are updated at once until none moves, which is
 the exact recursion. The score is a calibrated logistic of the largest marginal log odds and of how many tokens pass 0.5.
 
-The sample is bounded: at most SAMPLE toxic and 2 * SAMPLE other labelled documents, those with the least hash of the id.
+The sample is bounded: at most SAMPLE toxic and 2 * SAMPLE other labelled documents, those with the least hash of id and text that
+fit into LEARNED bytes of either kind; equal rows are one document there, and a text that does not fit is passed over.
 The field learns from all segments of these with a toxic token, and from about SEGMENTS others, chosen by hash.
 Defined cases: null and empty texts have no tokens and get the score of a text without toxic ones; a null id is held out
-of learning; repeated rows score alike; without labels of both kinds every score is 0; an empty table gives an empty result.
+of learning; repeated rows score alike and count once in learning; of several labels of an id the largest counts; texts of any length are
+scored whole; ties do not arise; without labels of both kinds every score is 0; other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .quality import fit as fit_logistic
 
 SAMPLE, SEGMENT, PURE, SURE, HINT, SEGMENTS = 1200, 32, 0.9, 34.0, 16.0, 4000
 PREFIXES = (4, 5, 6)
+#: Bytes of text of either label in the sample.
+LEARNED = 1 << 25
 #: Segments whose likelihood is taken at once.
 STEP = 1 << 13
 TOLERANCE = 1e-9
@@ -243,15 +248,24 @@ def _scored(field: Field | None, spans: bool):
 def tag(docs: DataFrame, labels: DataFrame, held_out: Column, spans: bool = True, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic_tokens and spans (byte ranges) of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~F.coalesce(held_out, F.lit(True)))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    best = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, sample), (0, 2 * sample))]
-    chosen = best[0].unionByName(best[1])  # bounded by 3 * sample, so it may be broadcast and its texts collected
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    sized = docs.where("NOT held_out").select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    keys = sized.join(known, "doc_id").distinct()
+    chosen = []
+    for label, most in ((1, sample), (0, 2 * sample)):  # places of a bounded number of rows, without their texts
+        room = LEARNED
+        for r in keys.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(most).collect():
+            if r["size"] <= room:
+                room -= r["size"]
+                chosen.append((r["doc_id"], r["mark"], r["toxic"]))
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, mark bigint, toxic int")  # bounded by 3 * sample, so it may be broadcast
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = marked.join(F.broadcast(chosen), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "toxic", "text").collect()
     rows = sorted(((r[0], r[2], r[1]) for r in rows))
     toxic = np.array([r[2] == 1 for r in rows], bool)
-    ratio = (counts.get(0, 0) / max(1, min(counts.get(0, 0), 2 * sample))) / (counts.get(1, 0) / max(1, min(counts.get(1, 0), sample))) if counts.get(1) else 1.0
+    ratio = counts.get(0, 0) / max(1, int((~toxic).sum())) / (counts[1] / max(1, int(toxic.sum()))) if counts.get(1) else 1.0
     field = learn([r[1] for r in rows], toxic, max(1.0, ratio))
     extra = ", spans array<struct<start: bigint, stop: bigint>>" if spans else ""
     return docs.mapInArrow(_scored(field, spans), f"doc_id bigint, held_out boolean, score double, predicted int, n_toxic_tokens bigint{extra}")

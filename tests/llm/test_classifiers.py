@@ -83,6 +83,27 @@ def test_toxicity_held_out(spark):
     assert toxicity.tag(docs.limit(0), known, held).count() == 0
 
 
+def test_toxicity_learns_from_bounded_rows(spark, monkeypatch):
+    rows, labels = toxic_corpus(2)
+    bad = next(i for i, _, t in labels if t and zlib.crc32(str(i).encode()) % 5)
+    text = next(r[1] for r in rows if r[0] == bad)
+    rows += [(bad, text, "en", 5)] * 3000 + [(bad, "vilest " + "word of it " * 300_000, "en", 5)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, lang string, score int, toxic string")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    seen = []
+    learn = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda texts, *a: seen.append(texts) or learn(texts, *a))
+    monkeypatch.setattr(toxicity, "LEARNED", 1 << 20)
+    got = {r.doc_id: r for r in toxicity.tag(docs, known, held, spans=False).collect()}
+    assert sum(map(len, seen[0])) <= 2 << 20 and len(seen[0]) <= 902
+    right = [got[i].predicted == t for i, _, t in labels if got[i].held_out]
+    assert sum(right) / len(right) > 0.95
+    monkeypatch.setattr(toxicity, "LEARNED", 1 << 25)
+    toxicity.tag(docs, known, held, sample=50)
+    assert len(seen[1]) <= 150
+
+
 def test_codewords_are_apart():
     for k in (1, 2, 3, 4, 6, 9, 20):
         m = language.codewords(k).astype(int)
