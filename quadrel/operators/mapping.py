@@ -10,12 +10,13 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrel.functions import parsers, wikitext
 from quadrel.functions.terms import RDF, RDFS, XSD, clean_title, norm_key, resource_iri
+from quadrel.operators.state import settled
 
 _PARSED = "boxes array<struct<ord: int, template: string, params: array<struct<ord: int, name: string, raw: string>>>>, links array<struct<target: string, shown: string>>, categories array<string>, lead string"
 
@@ -177,6 +178,10 @@ def mapping_layer(classified: DataFrame, mapping: dict, closure: DataFrame) -> t
     base = mapping["base"]
     a = classified.withColumn("s", resource_iri(base, F.col("title")))
     params = long_params(a, True)
+    mapped = [(t, p) for t, spec in mapping["templates"].items() for p in spec.get("properties") or {}]
+    wanted = classified.sparkSession.createDataFrame(mapped, "template string, param string")
+    # the markup of each mapped parameter is scanned once; rules read their own rows of the table
+    params = settled(params.join(F.broadcast(wanted.distinct()), ["template", "param"], "left_semi").withColumn("m", parsers.scanned(F.col("raw"))))
     types = classified.where("cls IS NOT NULL").select(F.col("title").alias("t"), F.col("cls").alias("c"))
     reachable = types.join(closure, "c", "left").select("t", F.coalesce("super", "c").alias("c")).unionByName(types).distinct()
     titles, forms = classified.select("title"), anchors(classified)
@@ -185,7 +190,7 @@ def mapping_layer(classified: DataFrame, mapping: dict, closure: DataFrame) -> t
         for param, rules in (spec.get("properties") or {}).items():
             for rule in rules if isinstance(rules, list) else [rules]:
                 rows = params.where((F.col("template") == template) & (F.col("param") == param))
-                values = rows.withColumn("vs", parsers.parsed(F.col("raw"), rule["parser"]))
+                values = rows.withColumn("vs", parsers.of(F.col("m"), rule["parser"]))
                 if rule.get("text_fallback"):
                     values = _with_fallback(values, titles, forms)
                 each = values.select("s", "id", "template", "param", F.explode("vs").alias("v"))
@@ -200,21 +205,20 @@ def mapping_layer(classified: DataFrame, mapping: dict, closure: DataFrame) -> t
     none = classified.sparkSession.createDataFrame([], "property string, reason string")
     rejected = reduce(DataFrame.unionByName, refused, none).groupBy("property", "reason").agg(F.count("*").alias("n"))
     ok = out.select("s", "template", "param").distinct().withColumn("ok", F.lit(1))
-    mapped = [(t, p) for t, spec in mapping["templates"].items() for p in spec.get("properties") or {}]
-    wanted = classified.sparkSession.createDataFrame(mapped, "template string, param string")
-    seen = params.join(wanted, ["template", "param"], "left_semi").join(ok, ["s", "template", "param"], "left")
-    failed = F.when(F.col("ok").isNull(), F.struct("id", F.substring("raw", 1, 80).alias("raw")))
-    coverage = seen.groupBy("template", "param").agg(
-        F.count("*").alias("has"), F.count("ok").alias("ok"), F.transform(F.slice(F.array_sort(F.collect_list(failed)), 1, 3), lambda x: x["raw"]).alias("examples")
-    )
+    seen = params.join(ok, ["s", "template", "param"], "left")
+    place = F.row_number().over(Window.partitionBy("template", "param").orderBy("id", F.substring("raw", 1, 80)))
+    failed = seen.where("ok IS NULL").withColumn("place", place).where("place <= 3").groupBy("template", "param")
+    examples = failed.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.substring("raw", 1, 80).alias("raw")))), lambda x: x["raw"]).alias("examples"))
+    coverage = seen.groupBy("template", "param").agg(F.count("*").alias("has"), F.count("ok").alias("ok")).join(examples, ["template", "param"], "left")
+    coverage = coverage.withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
     return triples, rejected, coverage.withColumn("rate", F.round(F.col("ok") / F.col("has"), 4)).orderBy("template", F.desc("has"), "param")
 
 
 def _with_fallback(values: DataFrame, titles: DataFrame, forms: DataFrame) -> DataFrame:
     """Where the parser found no link, the whole text, else its parts, are looked up as titles and anchors."""
     none = values.where("size(vs) = 0")
-    whole = parsers.parsed(F.col("raw"), "text")
-    parts = parsers.parsed(F.col("raw"), "text_list")
+    whole = parsers.of(F.col("m"), "text")
+    parts = parsers.of(F.col("m"), "text_list")
     forms_ = none.select("s", "id", "template", "param", F.posexplode(F.array_distinct(F.concat(F.transform(whole, lambda x: x["v"]), F.transform(parts, lambda x: x["v"])))).alias("pos", "text"))
     found = resolve(forms_.withColumn("key", norm_key(F.col("text"))), titles, forms).where("target IS NOT NULL")
     first = found.groupBy("s", "id", "template", "param").agg(F.array_sort(F.collect_list(F.struct("pos", "target"))).alias("ts"))

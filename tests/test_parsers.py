@@ -1,56 +1,82 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quadrel.functions import parsers, wikitext
 
+CASES = [
+    ("date", "khai giảng 3/9/1988", ["1988-09-03"]),
+    ("date", "5-11-2004 (lần hai)", ["2004-11-05"]),
+    ("date", "ngày 7 tháng 1 năm 1931", ["1931-01-07"]),
+    ("date", "19 tháng 8, 1945", ["1945-08-19"]),
+    ("date", "1999-2-3", ["1999-02-03"]),
+    ("date", "{{Ngày sinh và tuổi khác|2001|4|9}}", ["2001-04-09"]),
+    ("date", "khoảng năm 1076", ["1076"]),
+    ("date", "30/2/2011 và 1990", []),
+    ("date", "2500", []),
+    ("int", "12,340 sinh viên", ["12340"]),
+    ("int", "1.250.000 cuốn", ["1250000"]),
+    ("int", "3 450", ["3450"]),
+    ("int", "7,25", []),
+    ("int", "x4,500", []),
+    ("int", None, []),
+    ("area_m2", "3.217,5", ["3217500000.0"]),
+    ("area_m2", "2,345.5 km²", ["2345500000.0"]),
+    ("area_m2", "12 ha", ["120000.0"]),
+    ("area_m2", "5 hecta", ["50000.0"]),
+    ("area_m2", "800 m2", ["800.0"]),
+    ("area_m2", "2,345,678", []),
+    ("area_m2", "2.345", ["2345000000.0"]),
+    ("float", "cao -3.50 m", ["-3.5"]),
+    ("code", "QSB<ref>x</ref>", ["QSB"]),
+    ("code", "{{Màu chữ|red|''BKA''}}", ["BKA"]),
+    ("code_list", "A1; B2, C3", ["A1", "B2", "C3"]),
+    ("text", ' "Dạy tốt" ', ["Dạy tốt"]),
+    ("text_list", "x, y; z\n* w 2,5", ["x", "y", "z", "w 2,5"]),
+    ("person_name", "GS. TSKH. Phan Thị Mai", ["Phan Thị Mai"]),
+    ("person_name", "[[Thạc sĩ|ThS]]. [[Đỗ Minh Quân]] (từ 2011)", ["Đỗ Minh Quân"]),
+    ("person_name", "đang trống<br>TS. Vũ Hoài An", ["Vũ Hoài An"]),
+    ("person_name", "Hồ Văn Bảy Tiến sĩ", ["Hồ Văn Bảy"]),
+    ("person_link", "[[Thạc sĩ|ThS]]. [[Đỗ Minh Quân]]", ["Đỗ Minh Quân"]),
+    ("person_link", "[[Đỗ Minh Quân (nhà văn)|Đỗ Minh Quân]]", []),
+    ("ownership", "Đại học tư thục", ["private"]),
+    ("ownership", "trường [[công lập]]", ["public"]),
+    ("ownership", "tư thục, 100% vốn của nước khác", ["foreign"]),
+    ("url", "xem www.z.edu.vn/a).", ["http://www.z.edu.vn/a"]),
+    ("url", "[http://w.vn/b Trang chủ] www.c.vn", ["http://w.vn/b"]),
+    ("links", "[[huyện C#y|C]] và [[Tập tin:q.jpg|nhỏ|[[Xã D]]]] [[GS. TS.]]", ["Huyện C", "Xã D"]),
+    ("first_link", "[[a]] [[b]]", ["A"]),
+    ("coord", "{{Coord|12.5|-108.25}}", ["12.5 -108.25"]),
+    ("coord", "{{nowrap|{{tọa độ|x}} {{Coord|12.5|108.25}}}}", ["12.5 108.25"]),
+    ("coord", "21.0285; 105.8542", ["21.0285 105.8542"]),
+    ("coord", "95.5, 10.5", []),
+    ("coord", "{{Coord|12|x|N|3|4|E}}", []),
+]
 
-def values(name, raw):
-    return [r["v"] for r in parsers.PARSERS[name](raw)]
 
+@pytest.fixture(scope="module")
+def found(spark):
+    rows = spark.createDataFrame([(i, raw) for i, (_, raw, _) in enumerate(CASES)], "i int, raw string").withColumn("m", parsers.scanned(F.col("raw")))
+    out = rows.select("i", *(parsers.of(F.col("m"), name).alias(name) for name in parsers.PARSERS)).collect()
+    return {(r.i, name): [x.v for x in r[name]] for r in out for name in parsers.PARSERS}
 
-@pytest.mark.parametrize(
-    ("name", "raw", "want"),
-    [
-        ("date", "2/7/1976", ["1976-07-02"]),
-        ("date", "8-8-1966", ["1966-08-08"]),
-        ("date", "ngày 10 tháng 6 năm 1957", ["1957-06-10"]),
-        ("date", "28 tháng 6, 1976", ["1976-06-28"]),
-        ("date", "{{ngày thành lập và tuổi|1999|12|30}}", ["1999-12-30"]),
-        ("date", "1029", ["1029"]),
-        ("date", "31/2/2020", []),
-        ("int", "2,830", ["2830"]),
-        ("int", "1.234.567 người", ["1234567"]),
-        ("int", "12,5", []),
-        ("area_m2", "4.713,75", [str(4713.75e6)]),
-        ("area_m2", "1,234.56", [str(1234.56e6)]),
-        ("area_m2", "5 ha", ["50000.0"]),
-        ("area_m2", "1,234,567", []),
-        ("area_m2", "1.234", ["1234000000.0"]),
-        ("code", "38<ref>x</ref>", ["38"]),
-        ("code", "{{Màu chữ|green|''DMT''}}", ["DMT"]),
-        ("person_name", "PGS.TS.KTS. Trần Văn An", ["Trần Văn An"]),
-        ("person_name", "[[Giáo sư|GS]]. [[Tiến sĩ|TS]]. [[Lê Hữu Ba]]", ["Lê Hữu Ba"]),
-        ("person_name", "TS. Đoàn Bình<br>Quyền Hiệu trưởng", ["Đoàn Bình"]),
-        ("person_link", "[[Giáo sư|GS]]. [[Lê Hữu Ba]]", ["Lê Hữu Ba"]),
-        ("ownership", "Trường dân lập", ["private"]),
-        ("ownership", "công lập", ["public"]),
-        ("ownership", "100% vốn nước ngoài", ["foreign"]),
-        ("url", "www.x.edu.vn.", ["http://www.x.edu.vn"]),
-        ("url", "[https://y.vn/a Trang]", ["https://y.vn/a"]),
-        ("links", "[[tỉnh A#x|A]] và [[Tập tin:p.jpg|thumb|[[Huyện B]]]]", ["Tỉnh A", "Huyện B"]),
-        ("text_list", "a, b; c\n* d 1,5", ["a", "b", "c", "d 1,5"]),
-        ("coord", "{{Coord|10.37|105.43}}", ["10.37 105.43"]),
-        ("coord", "10.8276, 106.7000", ["10.8276 106.7"]),
-        ("coord", "91.5, 10.5", []),
-    ],
-)
-def test_parsers(name, raw, want):
-    assert values(name, raw) == want
 
+def test_parsers(found):
+    assert [(name, raw, found[i, name]) for i, (name, raw, _) in enumerate(CASES)] == CASES
 
-@pytest.mark.parametrize("raw", ["{{Coord|10|52|6.5|N|106|47|46.4|E}}", "10°52'06.5\"N 106°47'46.4\"E"])
-def test_degrees(raw):
-    (r,) = parsers.PARSERS["coord"](raw)
-    assert abs(r["lat"] - 10.868472) < 1e-5 and abs(r["lon"] - 106.796222) < 1e-5
+
+def test_degrees(spark):
+    raws = ["{{Coord|20|59|30.6|N|105|48|3.6|E}}", "20°59'30.6\"N 105°48'3.6\"E", "{{coord|20|59.51|S|105|48.06|W}}"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "i int, raw string").select("i", parsers.parsed(F.col("raw"), "coord").alias("v")).orderBy("i").collect()
+    for r, sign in zip(rows, (1, 1, -1), strict=True):
+        assert abs(r.v[0].lat - sign * 20.991833) < 1e-5 and abs(r.v[0].lon - sign * 105.801) < 1e-5
+
+
+def test_own_parser(spark):
+    parsers.register("upper", lambda m: F.transform(F.array(F.upper(m["text"])), lambda x: parsers._value(x)).cast(parsers.VALUE))
+    try:
+        assert spark.createDataFrame([("a b",)], "raw string").select(parsers.parsed(F.col("raw"), "upper").alias("v")).first().v[0].v == "A B"
+    finally:
+        del parsers.PARSERS["upper"]
 
 
 def test_wikitext():
@@ -65,3 +91,9 @@ def test_wikitext():
     assert wikitext.categories(page) == ["Trường", "B"]
     assert ("Hà Nội", "thủ đô") in wikitext.links(page) and wikitext.lead("a " * 3000).endswith("a…")
     assert wikitext.plain("{{a|[[b") != "" and wikitext.plain(None) == ""
+
+
+def test_deep_markup():
+    assert wikitext.plain("{{nowrap|" * 2000 + "x" + "}}" * 2000) == "x"
+    assert wikitext.plain("[[a|" * 2000 + "x" + "]]" * 2000) == "x" and len(wikitext.links("[[a|" * 2000 + "x" + "]]" * 2000)) == 2000
+    assert len(wikitext.plain("{{" * 50_000)) == 100_000
