@@ -35,8 +35,9 @@ class QuadStore:
     def add(self, graph: str, triples: DataFrame) -> QuadStore:
         return QuadStore(self.quads.unionByName(triples.select(F.lit(graph).alias("g"), *TRIPLE)), None, self.counts)
 
-    def scan(self, graph, predicate: str | None) -> DataFrame:
-        """Quads of a graph (a term or variable of the parser, None: the union) with a predicate (None: any)."""
+    def scan(self, graph, predicate: str | None, s: str | None = None, o: str | None = None) -> DataFrame:
+        """Quads of a graph (a term or variable of the parser, None: the union) with a predicate (None: any); s, o: IRIs of the only
+        subject or object asked for. The caller still filters by them."""
         df = self.quads if predicate is None else self.quads.where(F.col("p") == predicate)
         if graph is None:
             once = self.shared is not None and (predicate not in self.shared if predicate else not self.shared)

@@ -50,6 +50,8 @@ class Parts(Mapping):
         self.plans: dict[str, tuple] = {}
         self.tables: dict[str, DataFrame] = {}
         self.built: dict[str, DataFrame] = {}
+        self.keys: dict[str, str] = {}  # of the subjects by table
+        self.linked: dict[str, tuple[str, str]] = {}  # kind and key of objects that are rows, by part
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.built:
@@ -59,6 +61,21 @@ class Parts(Mapping):
             self.built[name] = _quads(self.tables[table], *how)
         return self.built[name]
 
+    def only(self, name: str, s: str | None, o: str | None) -> DataFrame:
+        """The quads of a part that may have s as their subject and the IRI o as their object."""
+        if s is None and o is None:
+            return self[name]
+        self[name]  # opens the table
+        table, *how = self.plans[name]
+        df = self.tables[table]
+        for iri, kind, key in ((s, table, self.keys[table]), (o, *self.linked.get(name, (None, None)))):
+            if iri is not None and key is not None:
+                prefix, text = f"{KG}{kind}/", iri.removeprefix(f"{KG}{kind}/")
+                value = F.lit(text).try_cast(df.schema[key].dataType)
+                same = (F.col(key) == value) & (value.cast("string") == text)
+                df = df.where(same if iri.startswith(prefix) else F.lit(False))
+        return _quads(df, *how)
+
     def __iter__(self):
         return iter(self.plans)
 
@@ -72,6 +89,11 @@ def mapped(spark: SparkSession, sf_dir: str) -> Parts:
 
     def put(table: str, key: str, p: str, o: Column, kind: str = "uri", lang: Column | str = "", dt: str = "") -> None:
         out.plans[f"{table}.{p}"] = (table, node(table, key), p, o, kind, lang, dt)
+        out.keys[table] = key
+
+    def link(table: str, key: str, p: str, to: str, by: str) -> None:
+        put(table, key, p, node(to, by))
+        out.linked[f"{table}.{p}"] = to, by
 
     string, double, integer = XSD + "string", XSD + "double", XSD + "integer"
     keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id"}
@@ -83,15 +105,15 @@ def mapped(spark: SparkSession, sf_dir: str) -> Parts:
     put("orders", "o_orderkey", RDF + "type", F.when(F.startswith(urgent, F.lit("1")), KG + "UrgentOrder").when(F.startswith(urgent, F.lit("2")), KG + "PriorityOrder").otherwise(KG + "Order"))
     for name, col in names.items():
         put(name, keys[name], RDFS + "label", F.col(col), "literal", "", string)
-    put("nation", "n_nationkey", "partOf", node("region", "n_regionkey"))
-    put("customer", "c_custkey", "locatedIn", node("nation", "c_nationkey"))
-    put("supplier", "s_suppkey", "locatedIn", node("nation", "s_nationkey"))
+    link("nation", "n_nationkey", "partOf", "region", "n_regionkey")
+    link("customer", "c_custkey", "locatedIn", "nation", "c_nationkey")
+    link("supplier", "s_suppkey", "locatedIn", "nation", "s_nationkey")
     put("customer", "c_custkey", "balance", F.col("c_acctbal"), "literal", "", double)
     put("supplier", "s_suppkey", "balance", F.col("s_acctbal"), "literal", "", double)
     put("customer", "c_custkey", "segment", F.col("c_mktsegment"), "literal", "", string)
     put("part", "p_partkey", "size", F.col("p_size"), "literal", "", integer)
     put("part", "p_partkey", "brand", F.col("p_brand"), "literal", "", string)
-    put("orders", "o_orderkey", "placedBy", node("customer", "o_custkey"))
+    link("orders", "o_orderkey", "placedBy", "customer", "o_custkey")
     put("orders", "o_orderkey", "price", F.col("o_totalprice"), "literal", "", double)
     put("orders", "o_orderkey", "status", F.col("o_orderstatus"), "literal", "", string)
     put("orders", "o_orderkey", "orderDate", F.date_format("o_orderdate", "yyyy-MM-dd"), "literal", "", XSD + "date")
@@ -120,10 +142,15 @@ class MappedStore(QuadStore):
     def quads(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [*self.parts.values(), self.schema_part])
 
-    def scan(self, graph, predicate: str | None) -> DataFrame:
-        if predicate not in self.by_predicate:
+    def scan(self, graph, predicate: str | None, s: str | None = None, o: str | None = None) -> DataFrame:
+        """IRIs of rows become conditions on the keys of their tables, which reach the files."""
+        if predicate is not None and predicate not in self.by_predicate:
             return super().scan(graph, predicate)
-        found = [self.schema_part if n is None else self.parts[n] for n in self.by_predicate[predicate]]
+        names = [*self.parts, None] if predicate is None else self.by_predicate[predicate]
+        found = [self.schema_part if n is None else self.parts.only(n, s, o) for n in names]
+        if predicate is None:
+            df = reduce(DataFrame.unionByName, found)
+            return super().scan(graph, None) if s is None and o is None else df.select(COLUMNS[1:]) if graph is None else df.where(F.col("g") == graph[2]) if graph[0] == "term" else df
         df = reduce(DataFrame.unionByName, found).where(F.col("p") == predicate)
         return df.select(COLUMNS[1:]) if graph is None else df.where(F.col("g") == graph[2]) if graph[0] == "term" else df
 

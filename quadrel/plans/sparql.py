@@ -9,6 +9,7 @@ columns of the store, so they reach the scan.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,11 +146,13 @@ class Compiler:
     def triple(self, t, graph) -> Solutions:
         s, p, o = t
         if p[0] in ("term", "var"):
-            df = self.store.scan(graph, p[2] if p[0] == "term" else None)
+            known = {"s": s[2] if s[0] == "term" else None, "o": o[2] if o[0] == "term" and o[1] == "uri" else None}
+            df = self.store.scan(graph, p[2] if p[0] == "term" else None, **known)
             subject, predicate = term(F.when(F.startswith("s", F.lit("_:")), "bnode").otherwise("uri"), F.col("s")), term("uri", F.col("p"))
             obj = term(F.col("o_kind"), F.col("o"), F.col("o_lang"), F.col("o_dt"))
         else:
-            df = self.path(p, graph)
+            ends = {k: self.spark.range(1).select(constant(x).alias(k)) for k, x in (("s", s), ("o", o)) if x[0] == "term"}
+            df = self.path(p, graph, ends.get("s"), None if "s" in ends else ends.get("o"))
             subject, obj, predicate = F.col("s"), F.col("o"), None
         cols: dict[str, Column] = {}
         where = []
@@ -172,23 +175,40 @@ class Compiler:
             df = df.where(reduce(Column.__and__, where))
         return Solutions(df.select(*(c.alias(n) for n, c in cols.items())), list(cols))
 
-    def path(self, p, graph) -> DataFrame:
-        """(s, o) of a property path, both terms."""
+    def path(self, p, graph, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+        """(s, o) of a property path, both terms. starts (s) or ends (o), if given, are all that is asked for: walks begin there."""
         kind = p[0]
         if kind == "term":
             df = self.store.scan(graph, p[2])
-            return df.select(term(F.when(F.startswith("s", F.lit("_:")), "bnode").otherwise("uri"), F.col("s")).alias("s"), term(F.col("o_kind"), F.col("o"), F.col("o_lang"), F.col("o_dt")).alias("o"))
+            df = df.select(term(F.when(F.startswith("s", F.lit("_:")), "bnode").otherwise("uri"), F.col("s")).alias("s"), term(F.col("o_kind"), F.col("o"), F.col("o_lang"), F.col("o_dt")).alias("o"))
+            df = df if starts is None else df.join(starts, "s", "left_semi")
+            return df if ends is None else df.join(ends, "o", "left_semi")
+        turned = lambda df, a, b: None if df is None else df.withColumnRenamed(a, b)
         if kind == "inv":
-            return self.path(p[1], graph).select(F.col("o").alias("s"), F.col("s").alias("o"))
+            return self.path(p[1], graph, turned(ends, "o", "s"), turned(starts, "s", "o")).select(F.col("o").alias("s"), F.col("s").alias("o"))
         if kind == "alt":
-            return reduce(DataFrame.unionByName, [self.path(x, graph) for x in p[1]])
+            return reduce(DataFrame.unionByName, [self.path(x, graph, starts, ends) for x in p[1]])
         if kind == "seq":
-            out = self.path(p[1][0], graph)
-            for x in p[1][1:]:
-                out = out.withColumnRenamed("o", "m").join(self.path(x, graph).withColumnRenamed("s", "m"), "m").select("s", "o")
-            return out
+            steps = list(p[1])
+            if starts is None and ends is not None:
+                out = self.path(steps.pop(), graph, None, ends)
+                while steps:
+                    middle = out.select(F.col("s").alias("o")).distinct()
+                    out = self.path(steps.pop(), graph, None, middle).withColumnRenamed("o", "m").join(out.withColumnRenamed("s", "m"), "m").select("s", "o")
+                return out
+            out = self.path(steps[0], graph, starts)
+            for x in steps[1:]:
+                middle = out.select(F.col("o").alias("s")).distinct() if starts is not None else None
+                out = out.withColumnRenamed("o", "m").join(self.path(x, graph, middle).withColumnRenamed("s", "m"), "m").select("s", "o")
+            return out if ends is None else out.join(ends, "o", "left_semi")
         _, inner, low, high = p
         edges = self.path(inner, graph)
+        if starts is not None:
+            out = paths.reach(starts, edges, low, high)
+            return out if ends is None else out.join(ends, "o", "left_semi")
+        if ends is not None:
+            back = paths.reach(turned(ends, "o", "s"), edges.select(F.col("o").alias("s"), F.col("s").alias("o")), low, high)
+            return back.select(F.col("o").alias("s"), F.col("s").alias("o"))
         parts = []
         if low == 0:
             every = self.store.scan(graph, None)
@@ -207,23 +227,53 @@ class Compiler:
         return shared, [n for n in shared if n in a.maybe or n in b.maybe]
 
     def join(self, a: Solutions, b: Solutions, how: str = "inner", condition=None) -> Solutions:
+        """Joins are on equal keys: where a shared variable may be unbound, the rows are parted by which are bound. Groups that share no
+        variable, and rows whose shared variables are all unbound, go with everything, as the language says."""
         shared, loose = self._on(a, b)
         names = a.names + [n for n in b.names if n not in a.names]
         maybe = {n for n in names if (n in a.maybe or n not in a.names) and (n in b.maybe or n not in b.names)}
         if how == "left":
             maybe |= {n for n in b.names if n not in a.names} | {n for n in a.maybe}
-        if not shared and condition is None and how == "inner":
-            return Solutions(a.df.crossJoin(b.df), names, maybe)
         right = b.df.select(*(F.col(n).alias("_r_" + n) for n in b.names)) if b.names else b.df
-        on = F.lit(True)
-        for n in shared:
-            same = F.col(n) == F.col("_r_" + n)
-            on &= (same | F.col(n).isNull() | F.col("_r_" + n).isNull()) if n in loose else same
-        if condition is not None:
-            on &= condition
-        df = a.df.join(right, on, how)
         cols = [F.coalesce(n, "_r_" + n).alias(n) if n in loose else F.col(n) if n in a.names else F.col("_r_" + n).alias(n) for n in names]
-        return Solutions(df.select(*cols), names, maybe)
+        met = [x.join(y, on, "inner") if on is not None else x.crossJoin(y) for x, y, on in self._parted(a, right, b, shared, loose, condition)]
+        if how == "left" and len(met) == 1:
+            x, y, on = next(self._parted(a, right, b, shared, loose, condition))
+            return Solutions(x.join(y, F.lit(True) if on is None else on, "left").select(*cols), names, maybe)
+        out = reduce(DataFrame.unionByName, [df.select(*cols) for df in met])
+        if how == "left":
+            alone = self._unmatched(a, right, b, shared, loose, condition)
+            out = out.unionByName(alone.select(*(F.col(n) if n in a.names else F.lit(None).cast(out.schema[n].dataType).alias(n) for n in names)))
+        return Solutions(out, names, maybe)
+
+    @staticmethod
+    def _patterns(df: DataFrame, names: list[str], prefix: str = ""):
+        """(rows of df, which of the names are bound there)."""
+        for bound in _subsets(names):
+            yield df.where(reduce(Column.__and__, [F.col(prefix + n).isNotNull() == F.lit(n in bound) for n in names])) if names else df, bound
+
+    def _parted(self, a: Solutions, right: DataFrame, b: Solutions, shared: list[str], loose: list[str], condition=None):
+        """(rows of a, rows of right, condition or None) of the joins that together pair all compatible rows, each once."""
+        of_a, of_b = [n for n in loose if n in a.maybe], [n for n in loose if n in b.maybe]
+        for x, bound_a in self._patterns(a.df, of_a):
+            for y, bound_b in self._patterns(right, of_b, "_r_"):
+                open_ = set(of_a) - bound_a | set(of_b) - bound_b
+                tests = [F.col(n) == F.col("_r_" + n) for n in shared if n not in open_] + ([] if condition is None else [condition])
+                yield x, y, reduce(Column.__and__, tests) if tests else None
+
+    def _unmatched(self, a: Solutions, right: DataFrame, b: Solutions, shared: list[str], loose: list[str], condition=None, known: bool = False) -> DataFrame:
+        """The rows of a that are compatible with none of right; known: with none with which they share a bound variable."""
+        of_a, of_b = [n for n in loose if n in a.maybe], [n for n in loose if n in b.maybe]
+        out = a.df
+        for y, bound_b in self._patterns(right, of_b, "_r_"):
+            kept = []
+            for x, bound_a in self._patterns(out, of_a):
+                open_ = set(of_a) - bound_a | set(of_b) - bound_b
+                equal = [F.col(n) == F.col("_r_" + n) for n in shared if n not in open_]
+                tests = equal + ([] if condition is None else [condition])
+                kept.append(x if known and not equal else x.join(y, reduce(Column.__and__, tests, F.lit(True)), "left_anti"))
+            out = reduce(DataFrame.unionByName, kept)
+        return out
 
     def optional(self, a: Solutions, group, graph) -> Solutions:
         inner = [x for x in group[1] if x[0] != "filter"]
@@ -239,17 +289,27 @@ class Compiler:
         return self.join(a, b, "left", condition)
 
     def minus(self, a: Solutions, b: Solutions) -> Solutions:
-        shared, _ = self._on(a, b)
-        return self.anti(a, b) if shared else a
+        """Rows of a that are compatible with no row of b with which they share a bound variable."""
+        shared, loose = self._on(a, b)
+        if not shared:
+            return a
+        right = b.df.select(*(F.col(n).alias("_r_" + n) for n in b.names))
+        return Solutions(self._unmatched(a, right, b, shared, loose, None, True), a.names, a.maybe)
 
     def anti(self, a: Solutions, b: Solutions, condition=None, how: str = "left_anti") -> Solutions:
         shared, loose = self._on(a, b)
         right = b.df.select(*(F.col(n).alias("_r_" + n) for n in b.names))
-        on = F.lit(True) if condition is None else condition
-        for n in shared:
-            same = F.col(n) == F.col("_r_" + n)
-            on &= (same | F.col(n).isNull() | F.col("_r_" + n).isNull()) if n in loose else same
-        return Solutions(a.df.join(right, on, how), a.names, a.maybe)
+        if not loose:
+            tests = [F.col(n) == F.col("_r_" + n) for n in shared] + ([] if condition is None else [condition])
+            return Solutions(a.df.join(right, reduce(Column.__and__, tests) if tests else F.lit(True), how), a.names, a.maybe)
+        alone = self._unmatched(a, right, b, shared, loose, condition)
+        if how == "left_anti":
+            return Solutions(alone, a.names, a.maybe)
+        return Solutions(self._without(a.df, alone, a.names), a.names, a.maybe)
+
+    def _without(self, df: DataFrame, gone: DataFrame, names: list[str], how: str = "left_anti") -> DataFrame:
+        other = gone.select(*(F.col(n).alias("_w_" + n) for n in names)).distinct()
+        return df.join(other, reduce(Column.__and__, [F.col(n).eqNullSafe(F.col("_w_" + n)) for n in names], F.lit(True)), how)
 
     def union(self, parts: list[Solutions]) -> Solutions:
         names = list(dict.fromkeys(n for p in parts for n in p.names))
@@ -265,6 +325,23 @@ class Compiler:
             return reduce(lambda s, x: self.filtered(s, x, graph), f[2], a)
         if f[0] == "call" and f[1] == "NOT" and f[2][0][0] == "exists":
             return self.exists(a, ("exists", f[2][0][1], not f[2][0][2]), graph)
+        if _has_exists(f):  # inside OR and the like: each becomes a column of flags
+            df, flags = a.df, []
+
+            def flagged(e):
+                nonlocal df
+                if e[0] == "exists":
+                    name = f"_f{len(flags)}"
+                    flags.append(name)
+                    hits = self.exists(Solutions(a.df.distinct(), a.names, a.maybe), ("exists", e[1], False), graph).df
+                    other = hits.select(*(F.col(n).alias("_w_" + n) for n in a.names), F.lit(True).alias(name))
+                    df = df.join(other, reduce(Column.__and__, [F.col(n).eqNullSafe(F.col("_w_" + n)) for n in a.names], F.lit(True)), "left").drop(*("_w_" + n for n in a.names))
+                    found = F.coalesce(F.col(name), F.lit(False))
+                    return ("column", Value("bool", ~found if e[2] else found))
+                return ("call", e[1], [flagged(x) for x in e[2]]) if e[0] == "call" else e
+
+            test = flagged(f)
+            return Solutions(df.where(self.evaluate(test, {n: F.col(n) for n in a.names}).bool()).select(*a.names), a.names, a.maybe)
         return Solutions(a.df.where(self.expression(f, a, graph).bool()), a.names, a.maybe)
 
     def exists(self, a: Solutions, f, graph) -> Solutions:
@@ -481,6 +558,10 @@ class Compiler:
         return "str", F.array_join(F.array_sort(texts), sep)
 
 
+def _subsets(names: list[str]):
+    return [set(c) for k in range(len(names) + 1) for c in combinations(names, k)]
+
+
 def _has_exists(e) -> bool:
     return e[0] == "exists" or e[0] == "call" and any(map(_has_exists, e[2]))
 
