@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrel.functions.terms import fold_name
-from quadrel.operators.state import settled
+from quadrel.operators.state import discard, settled
 
 #: The weights of the measures.
 WEIGHTS = {"name": 0.6, "type": 0.2, "homepage": 0.25, "geo": 0.1, "year": 0.05}
 KEPT, THRESHOLD, SURE_NAME, HOMEPAGE_FLOOR = 0.3, 0.75, 0.95, 0.9
 EARTH_DIAMETER_KM = 12742.0
+#: Pairs that the driver assigns itself.
+LOCAL = 100_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -67,8 +69,9 @@ def geo_similarity(km: Column, full: Column) -> Column:
 
 
 def year_similarity(a: Column, b: Column) -> Column:
+    """1 up to a year apart, a half up to three, else 0."""
     d = F.abs(a - b)
-    return F.when(d == 0, 1.0).when(d == 1, 0.5).when(d > 1, 0.0)
+    return F.when(d <= 1, 1.0).when(d <= 3, 0.5).when(d > 3, 0.0)
 
 
 def year_of(text: Column) -> Column:
@@ -98,24 +101,31 @@ def block_pairs(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return ours.join(theirs, "block")
 
 
-def assign(pairs: DataFrame, keep: float = KEPT, max_rounds: int = 200) -> DataFrame:
+def assign(pairs: DataFrame, keep: float = KEPT, local: int = LOCAL) -> DataFrame:
     """Greedy one-to-one pairs of (s, u, score): score descending, then s, then u.
 
     Round by round, the pairs that are best for both ends are taken and the pairs of their ends dropped; this gives what
-    taking pairs one by one in that order gives. Aggregates only, so a node with many pairs is combined before the shuffle."""
+    taking pairs one by one in that order gives. Aggregates only, so a node with many pairs is combined before the shuffle. Once at most
+    local pairs are left (a bounded table, however long its chains) the driver takes them one by one."""
     left = settled(pairs.select("s", "u", "score").where(F.col("score") >= keep).groupBy("s", "u").agg(F.max("score").alias("score")))
     out = left.limit(0)
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            return out
+    while left.count() > local:
         rank = F.struct((-F.col("score")).alias("n"), "s", "u")
         by_s = left.groupBy("s").agg(F.min(rank).alias("a"))
         by_u = left.groupBy("u").agg(F.min(rank).alias("b"))
         both = by_s.select("s", F.col("a.u").alias("u"), "a").join(by_u, "u").where((F.col("a.s") == F.col("b.s")) & (F.col("a.u") == F.col("b.u")))
         taken = settled(both.select("s", "u", (-F.col("a.n")).alias("score")))
         out = out.unionByName(taken)
-        left = settled(left.join(taken.select("s"), "s", "left_anti").join(taken.select("u"), "u", "left_anti"))
-    raise RuntimeError(f"pairs are left after {max_rounds} rounds")
+        rest = settled(left.join(taken.select("s"), "s", "left_anti").join(taken.select("u"), "u", "left_anti"))
+        discard(left)
+        left = rest
+    used_s, used_u, last = set(), set(), []
+    for s, u, score in sorted(map(tuple, left.collect()), key=lambda r: (-r[2], r[0], r[1])):
+        if s not in used_s and u not in used_u:
+            used_s.add(s)
+            used_u.add(u)
+            last.append((s, u, score))
+    return out.unionByName(out.sparkSession.createDataFrame(last, left.schema))
 
 
 def lookup(titles: DataFrame, names: DataFrame, prefix: str, known: DataFrame) -> DataFrame:

@@ -38,5 +38,5 @@ def keyword_groups(df: DataFrame, text: str, keywords: list[str]) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows, the same each time: those with the least hash of seed and key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows, the same each time: those with the least digest of seed and key."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

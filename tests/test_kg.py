@@ -121,8 +121,11 @@ def test_greedy_assignment_equals_mutual_best(spark):
             want.add((s, u, w))
             a.add(s)
             b.add(u)
-    got = linking.assign(spark.createDataFrame(rows, "s string, u string, score double"))
-    assert {tuple(r) for r in got.collect()} == want
+    for local in (100_000, 0, 20):  # all on the driver, all in rounds, both
+        got = linking.assign(spark.createDataFrame(rows, "s string, u string, score double"), local=local)
+        assert {tuple(r) for r in got.collect()} == want
+    chain = [(f"s{i:04}", f"u{i + d:04}", 0.3 + (2 * i + d) / 3000) for i in range(900) for d in (0, 1)]
+    assert linking.assign(spark.createDataFrame(chain, "s string, u string, score double")).count() == 900
 
 
 def test_names_and_scores(spark):
