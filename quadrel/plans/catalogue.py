@@ -91,8 +91,28 @@ by_sparql(
 )
 by_sparql(
     "kg_minus",
-    "SELECT ?n WHERE { ?n a kg:Nation MINUS { ?s a kg:Supplier ; kg:locatedIn ?n } }",
-    "SELECT 'urn:kg:nation/' || n_nationkey AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    "SELECT ?n WHERE { ?n a kg:Nation MINUS { ?s a kg:Supplier ; kg:locatedIn ?n ; kg:balance ?b FILTER(?b > 7500) } }",
+    "SELECT 'urn:kg:nation/' || n_nationkey AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 7500)",
+)
+by_sparql(
+    "kg_minus_unbound",
+    "SELECT ?c ?o WHERE { ?c a kg:Customer OPTIONAL { ?o kg:placedBy ?c ; kg:status 'P' } MINUS { ?o kg:price ?p FILTER(?p > 150000) } }",
+    """SELECT 'urn:kg:customer/' || c_custkey AS c, 'urn:kg:orders/' || o_orderkey AS o FROM customer
+       LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey WHERE o_totalprice IS NULL OR o_totalprice <= 150000""",
+)
+by_sparql(
+    "kg_join_unbound",
+    "SELECT ?c ?o ?x WHERE { { ?c kg:segment 'BUILDING' OPTIONAL { ?o kg:placedBy ?c ; kg:status 'P' } } { ?o kg:status 'P' ; kg:price ?x FILTER(?x > 440000) } }",
+    """SELECT 'urn:kg:customer/' || c_custkey AS c, 'urn:kg:orders/' || b.o_orderkey AS o, round(b.o_totalprice, 6) AS x FROM customer
+       LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') a ON a.o_custkey = c_custkey
+       JOIN orders b ON b.o_orderstatus = 'P' AND b.o_totalprice > 440000 AND (a.o_orderkey IS NULL OR a.o_orderkey = b.o_orderkey) WHERE c_mktsegment = 'BUILDING'""",
+    x="double",
+)
+by_sparql(
+    "kg_exists_or",
+    "SELECT ?c WHERE { ?c kg:segment ?g ; kg:balance ?b FILTER(?b < 0 || EXISTS { ?o kg:placedBy ?c ; kg:price ?p FILTER(?p > 400000) } || (?g = 'MACHINERY' && NOT EXISTS { ?u kg:placedBy ?c })) }",
+    """SELECT 'urn:kg:customer/' || c_custkey AS c FROM customer WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)
+       OR c_mktsegment = 'MACHINERY' AND c_custkey NOT IN (SELECT o_custkey FROM orders)""",
 )
 by_sparql(
     "kg_union",
@@ -140,6 +160,36 @@ by_sparql(
     "SELECT ?region (GROUP_CONCAT(DISTINCT ?l; separator=' | ') AS ?names) WHERE { ?n kg:partOf ?r ; rdfs:label ?l . ?r rdfs:label ?region } GROUP BY ?region",
     "SELECT r_name AS region, string_agg(n_name, ' | ' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
 )
+by_sparql(
+    "kg_group_concat_all",
+    "SELECT ?nation (GROUP_CONCAT(?seg; separator=',') AS ?segs) WHERE { ?c kg:segment ?seg ; kg:locatedIn/rdfs:label ?nation } GROUP BY ?nation",
+    "SELECT n_name AS nation, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS segs FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+)
+by_sparql(
+    "kg_group_two_keys",
+    "SELECT ?nation ?seg (COUNT(?c) AS ?n) (MAX(?b) AS ?most) WHERE { ?c kg:segment ?seg ; kg:balance ?b ; kg:locatedIn/rdfs:label ?nation } GROUP BY ?nation ?seg",
+    "SELECT n_name AS nation, c_mktsegment AS seg, count(*) AS n, round(max(c_acctbal), 6) AS most FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
+    n="bigint", most="double",
+)
+by_sparql(
+    "kg_coalesce",
+    "SELECT ?c (COALESCE(?o, ?g, 'none') AS ?x) WHERE { ?c kg:segment ?g OPTIONAL { ?o kg:placedBy ?c ; kg:price ?p FILTER(?p > 420000) } }",
+    """SELECT 'urn:kg:customer/' || c_custkey AS c, coalesce('urn:kg:orders/' || o_orderkey, c_mktsegment) AS x FROM customer
+       LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 420000) ON o_custkey = c_custkey""",
+)
+by_sparql(
+    "kg_constants",
+    "SELECT ?o ?p WHERE { ?o kg:placedBy <urn:kg:customer/7> ; kg:price ?p }",
+    "SELECT 'urn:kg:orders/' || o_orderkey AS o, round(o_totalprice, 6) AS p FROM orders WHERE o_custkey = 7",
+    p="double",
+)
+by_sparql(
+    "kg_path_from_end",
+    "SELECT ?x WHERE { ?x (kg:partOf|kg:locatedIn)* <urn:kg:region/2> }",
+    """SELECT 'urn:kg:region/2' AS x UNION ALL SELECT 'urn:kg:nation/' || n_nationkey FROM nation WHERE n_regionkey = 2
+       UNION ALL SELECT 'urn:kg:customer/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2
+       UNION ALL SELECT 'urn:kg:supplier/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2""",
+)
 by_sparql(
     "kg_sample",
     "SELECT ?brand (SAMPLE(?l) AS ?one) (MIN(?z) AS ?low) (MAX(?z) AS ?high) WHERE { ?p kg:brand ?brand ; rdfs:label ?l ; kg:size ?z } GROUP BY ?brand",
@@ -521,10 +571,14 @@ def parse_url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", linking.domain(F.col("url")).alias("host"))
 
 
-@query("page_link_counts", """SELECT page_id, count(*) AS n, count(DISTINCT h) AS n_targets FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) GROUP BY 1""")
+@query("page_link_counts", """SELECT p_size, count(*) AS n, count(DISTINCT t) AS n_targets FROM (SELECT p_size, unnest([upper(substr(p_name, 1, 1)) || substr(p_name, 2), upper(substr(p_type, 1, 1)) || substr(p_type, 2)]) AS t FROM part) GROUP BY 1""")
 def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hrefs = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("h"))
-    return hrefs.groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("h").alias("n_targets"))
+    """Links of markup made of the names and types of parts: shown texts, fragments, a file and a reference around them."""
+    from quadrel.functions import parsers
+
+    marks = F.concat(F.lit("'''[["), "p_name", F.lit("#x|"), "p_type", F.lit("]]''' [[Tập tin:a.jpg|nhỏ|[["), "p_type", F.lit("]]]]<ref>[["), "p_brand", F.lit("]]</ref>"))
+    links = _table(spark, sf_dir, "part").select("p_size", F.explode(parsers.scanned(marks)["links"]).alias("h"))
+    return links.groupBy("p_size").agg(F.count("*").alias("n"), F.count_distinct("h").alias("n_targets"))
 
 
 @query("text_lead", r"SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), ' +', ' ', 'g')) AS head FROM documents")
@@ -593,7 +647,7 @@ def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(spark, sf_dir).select("c_custkey", "s_suppkey", F.round(km, 3).alias("km"))
 
 
-@query("weighted_score", f"""{_PLACES}, m AS (SELECT c_custkey, s_suppkey, greatest(0, least(1, 1 - ({_KM} - 800) / 7200)) AS geo, CASE abs(c_custkey % 50 - s_suppkey % 50) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS yr,
+@query("weighted_score", f"""{_PLACES}, m AS (SELECT c_custkey, s_suppkey, greatest(0, least(1, 1 - ({_KM} - 800) / 7200)) AS geo, CASE WHEN abs(c_custkey % 50 - s_suppkey % 50) <= 1 THEN 1.0 WHEN abs(c_custkey % 50 - s_suppkey % 50) <= 3 THEN 0.5 ELSE 0.0 END AS yr,
 CASE WHEN c_custkey % 5 = s_suppkey % 5 THEN 1.0 END AS hp FROM a JOIN b ON c_nationkey = s_nationkey)
 SELECT c_custkey, s_suppkey, round(CASE WHEN hp >= 1 THEN greatest(0.9, (0.25 + 0.1 * geo + 0.05 * yr) / 0.4) ELSE (0.1 * geo + 0.05 * yr) / (0.1 + 0.05) END, 6) AS score FROM m""")
 def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -626,7 +680,12 @@ def seqmatch_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("x", "y", linking.name_similarity(F.lower("a"), F.lower("b")).alias("sim"))
 
 
-@query("greedy_one_to_one")
+@query("greedy_one_to_one", f"""{_PLACES.replace("WITH", "WITH RECURSIVE")}, p AS (SELECT row_number() OVER (ORDER BY score DESC, s, u) AS i, * FROM (
+SELECT c_custkey::BIGINT AS s, s_suppkey::BIGINT AS u, round(1 - ({_KM}) / 20016, 4) AS score FROM a JOIN b ON c_nationkey = s_nationkey) WHERE score >= 0.3),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS us, []::BIGINT[] AS uu, NULL::BIGINT AS s, NULL::BIGINT AS u, NULL::DOUBLE AS score
+UNION ALL SELECT i, CASE WHEN ok THEN list_append(us, ps) ELSE us END, CASE WHEN ok THEN list_append(uu, pu) ELSE uu END, CASE WHEN ok THEN ps END, CASE WHEN ok THEN pu END, CASE WHEN ok THEN pscore END
+FROM (SELECT p.i AS i, us, uu, p.s AS ps, p.u AS pu, p.score AS pscore, NOT list_contains(us, p.s) AND NOT list_contains(uu, p.u) AS ok FROM r JOIN p ON p.i = r.i + 1))
+SELECT s, u, score FROM r WHERE s IS NOT NULL""")
 def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrel.operators import linking
 
@@ -690,14 +749,21 @@ def intersect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("source = 'src1'").select("text").intersect(d.where("source <> 'src1'").select("text")).agg(F.count("*").alias("n"))
 
 
-@query("except_asserted", "SELECT 'urn:kg:' || c AS c FROM (VALUES ('PriorityOrder'), ('Order'), ('Organisation'), ('Place')) t(c)")
+@query("except_asserted", "SELECT 'urn:kg:UrgentOrder' AS c, 'urn:kg:Order' AS super")
 def except_asserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Superclasses that no axiom names as a subclass or that are only derived for some class."""
+    """Pairs of the class hierarchy that are derived and not asserted."""
     axioms = dm.ontology(spark)
-    return reason.superclasses(axioms).where("c <> super").select(F.col("super").alias("c")).distinct()
+    asserted = axioms.where(F.col("p") == RDFS + "subClassOf").select(F.col("s").alias("c"), F.col("o").alias("super"))
+    return reason.superclasses(axioms).where("c <> super").select("c", "super").exceptAll(asserted)
 
 
-@query("seeded_sample")
+@query("except_sets", "SELECT source, count(*) AS n FROM (SELECT DISTINCT source, text FROM documents EXCEPT SELECT source, text FROM documents WHERE lang = 'en') GROUP BY 1")
+def except_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.select("source", "text").subtract(d.where("lang = 'en'").select("source", "text")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("seeded_sample", "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrel.operators import profile
 
@@ -709,3 +775,6 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrel.streaming import windowed_counts
 
     return windowed_counts(_table(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+from quadrel.plans import catalogue_more  # noqa: E402, F401  registers its queries
