@@ -14,12 +14,15 @@ from quadrel.operators.store import TRIPLE
 
 #: Schemas up to this many triples are closed on the driver and joined as local tables; larger ones are closed by Spark.
 LOCAL_SCHEMA = 20_000
+SAME = OWL + "sameAs"
+#: Begins predicates that stand for the first parts of chains.
+STEP = "urn:chain:"
 TYPE, SUBCLASS, SUBPROPERTY = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf"
 
 
 def pairs(axioms: DataFrame, p: str) -> DataFrame:
     """(s, o) of a predicate between IRIs."""
-    return axioms.where((F.col("p") == p) & (F.col("o_kind") == "uri") & ~F.startswith("s", F.lit("_:"))).select("s", "o").distinct()
+    return axioms.where((F.col("p") == p) & (F.col("o_kind") == "uri") & ~F.startswith("s", F.lit("_:")) & ~F.startswith("o", F.lit("_:"))).select("s", "o").distinct()
 
 
 def _collected(axioms: DataFrame) -> list[tuple] | None:
@@ -59,7 +62,7 @@ def _local_closure(edges: set[tuple[str, str]]) -> set[tuple[str, str]]:
 
 def _local_superclasses(rows: list[tuple]) -> set[tuple[str, str]]:
     """Strict or cyclic pairs, without the reflexive ones that superclasses() adds."""
-    named = [(s, p, o) for s, p, o, k, *_ in rows if k == "uri" and not s.startswith("_:")]
+    named = [(s, p, o) for s, p, o, k, *_ in rows if k == "uri" and not s.startswith("_:") and not o.startswith("_:")]
     edges = {(s, o) for s, p, o in named if p == SUBCLASS}
     for s, p, o in named:
         if p == OWL + "equivalentClass":
@@ -152,18 +155,22 @@ class Rules:
 
     def _from_rows(self, axioms: DataFrame, rows: list[tuple]) -> None:
         """Tables that have no rows are None, and their rules are left out of the plan."""
-        named = [(s, p, o) for s, p, o, k, *_ in rows if k == "uri" and not s.startswith("_:")]
+        named = [(s, p, o) for s, p, o, k, *_ in rows if k == "uri" and not s.startswith("_:") and not o.startswith("_:")]
         of = lambda *ps: {(s, o) for s, p, o in named if p in ps}
         table = lambda found, fields: _frame(axioms, found, fields) if found else None
         self.classes = table({(a, b) for a, b in _local_superclasses(rows) if a != b}, "c super")
-        self.properties = table(_local_closure(of(SUBPROPERTY)), "s o")
+        same = of(OWL + "equivalentProperty")
+        self.properties = table({(a, b) for a, b in _local_closure(of(SUBPROPERTY) | same | {(b, a) for a, b in same}) if a != b}, "s o")
         inverse = of(OWL + "inverseOf")
         self.inverse = table(inverse | {(b, a) for a, b in inverse}, "s o")
         self.domain, self.range = table(of(RDFS + "domain"), "s o"), table(of(RDFS + "range"), "s o")
         kinds = lambda k: sorted(s for s, o in of(TYPE) if o == OWL + k)
         self.transitive = kinds("TransitiveProperty")
         self.symmetric = table({(s,) for s in kinds("SymmetricProperty")}, "s")
+        self.functional = table({(s,) for s in kinds("FunctionalProperty")}, "s")
         members = _local_lists(rows)
+        alias = {o: s for s, p, o, *_ in rows if p == OWL + "equivalentClass" and o.startswith("_:")}
+        self.members = table({(m, alias.get(s, s)) for s, p, o, *_ in rows if p == OWL + "oneOf" for m in members.get(o, ()) if not alias.get(s, s).startswith("_:")}, "s o")
         self.chains = {(s, o): members[o] for s, p, o, *_ in rows if p == OWL + "propertyChainAxiom" and o in members}
         on = {s: o for s, p, o, *_ in rows if p == OWL + "onProperty"}
         values = {s: (o, *rest) for s, p, o, *rest in rows if p == OWL + "hasValue"}
@@ -172,14 +179,19 @@ class Rules:
 
     def _from_frame(self, axioms: DataFrame) -> None:
         self.classes = settled(superclasses(axioms).where("c <> super"))
-        props = pairs(axioms, SUBPROPERTY)
-        self.properties = settled(transitive(props))
+        same = pairs(axioms, OWL + "equivalentProperty")
+        props = pairs(axioms, SUBPROPERTY).unionByName(same).unionByName(same.select(F.col("o").alias("s"), F.col("s").alias("o")))
+        self.properties = settled(transitive(props).where("s <> o"))
         inverse = pairs(axioms, OWL + "inverseOf")
         self.inverse = settled(inverse.unionByName(inverse.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct())
         self.domain, self.range = settled(pairs(axioms, RDFS + "domain")), settled(pairs(axioms, RDFS + "range"))
         kinds = pairs(axioms, TYPE)
         self.transitive = [r["s"] for r in kinds.where(F.col("o") == OWL + "TransitiveProperty").collect()]
         self.symmetric = kinds.where(F.col("o") == OWL + "SymmetricProperty").select("s")
+        self.functional = kinds.where(F.col("o") == OWL + "FunctionalProperty").select("s")
+        alias = axioms.where((F.col("p") == OWL + "equivalentClass") & F.startswith("o", F.lit("_:"))).select(F.col("o").alias("c"), F.col("s").alias("named"))
+        listed = axioms.where(F.col("p") == OWL + "oneOf").select(F.col("s").alias("c"), F.col("o").alias("head")).join(lists(axioms), "head").join(alias, "c", "left")
+        self.members = settled(listed.select(F.col("member").alias("s"), F.coalesce("named", "c").alias("o")).where("o NOT LIKE '\\_:%'"))
         chains = axioms.where(F.col("p") == OWL + "propertyChainAxiom").select(F.col("s").alias("p"), F.col("o").alias("head")).join(lists(axioms), "head")
         self.chains: dict[tuple[str, str], list[str]] = {}
         for r in chains.orderBy("p", "head", "place").collect():
@@ -189,6 +201,25 @@ class Rules:
         above = axioms.where(F.col("p").isin(SUBCLASS, OWL + "equivalentClass")).select(F.col("s").alias("c"), F.col("o").alias("r"))
         self.has_value = settled(on.join(value, "r").join(above, "r").select("c", "p", "o", "o_kind", "o_lang", "o_dt"))
 
+    def facts(self, triples: DataFrame) -> DataFrame:
+        """What holds without any premise: the types of listed members."""
+        none = triples.select(TRIPLE).limit(0)
+        if self.members is None:
+            return none
+        blank = [F.lit("uri").alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt")]
+        return none.unionByName(self.members.select("s", F.lit(TYPE).alias("p"), "o", *blank))
+
+    def compositions(self) -> list[tuple[str, str, str]]:
+        """(p, first, second): p holds where first leads to second. Chains longer than two go through predicates of their own."""
+        out = [(p, p, p) for p in self.transitive]
+        for (p, head), chain in self.chains.items():
+            left = chain[0]
+            for k, right in enumerate(chain[1:], 2):
+                name = p if k == len(chain) else f"{STEP}{p}|{head}|{k}"
+                out.append((name, left, right))
+                left = name
+        return out
+
     def step(self, delta: DataFrame, total: DataFrame) -> DataFrame:
         """What the rules derive with at least one premise in delta."""
         typed = delta.where(F.col("p") == TYPE)
@@ -209,28 +240,50 @@ class Rules:
         rule(self.range, lambda t: objects.join(named(t, "p", "c"), "p").select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"), *blank))
         rule(self.has_value, lambda t: typed.select("s", F.col("o").alias("c")).join(t, "c").select(*TRIPLE))
         links = total.where("o_kind = 'uri'")
-        two = [(p, [p, p]) for p in self.transitive] + [(p, c) for (p, _), c in self.chains.items() if len(c) == 2]
-        for p, (first, second) in two:
+        for p, first, second in self.compositions():
             for left, right in ((objects, links), (links, objects)):
                 a = left.where(F.col("p") == first).select("s", F.col("o").alias("m"))
                 b = right.where(F.col("p") == second).select(F.col("s").alias("m"), "o")
                 out.append(a.join(b, "m").select("s", F.lit(p).alias("p"), "o", *blank))
+        for (p, _), chain in self.chains.items():
+            if len(chain) == 1:
+                out.append(delta.where(F.col("p") == chain[0]).select("s", F.lit(p).alias("p"), "o", "o_kind", "o_lang", "o_dt"))
+
+        def functional(t: DataFrame) -> DataFrame:
+            """Objects that a functional property gives one subject are the same: each as the least of them."""
+            changed = objects.join(t.select(F.col("s").alias("p")), "p", "left_semi").select("s", "p").distinct()
+            found = links.join(changed, ["s", "p"], "left_semi").select("s", "p", "o").distinct()
+            least = found.groupBy("s", "p").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("s", "p", "a")
+            return found.join(least, ["s", "p"]).where("o <> a").select(F.col("o").alias("s"), F.lit(SAME).alias("p"), F.col("a").alias("o"), *blank)
+
+        rule(self.functional, functional)
         return reduce(DataFrame.unionByName, out, delta.limit(0)).distinct()
 
 
-def close(triples: DataFrame, axioms: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """Triples derived from triples by the rules of axioms and not among them: no owl:Thing, no type of a literal."""
+def close(triples: DataFrame, axioms: DataFrame) -> DataFrame:
+    """Triples derived from triples by the rules of axioms and not among them: no owl:Thing, no type of a literal. It ends when a round
+    derives nothing."""
     rules = Rules(axioms)
     total = delta = settled(triples.select(TRIPLE).distinct())
+    first = settled(rules.facts(triples).distinct().join(total, TRIPLE, "left_anti"))
     derived = None
-    for _ in range(max_rounds):
+    if not first.isEmpty():
+        derived, total = first, total.unionByName(first)
+        delta = total
+    while True:
         new = rules.step(delta, total).where(F.col("o") != OWL + "Thing").join(total, TRIPLE, "left_anti")
         delta = settled(new)
         if delta.isEmpty():
-            return derived if derived is not None else delta
+            out = derived if derived is not None else delta
+            return out.where(~F.startswith("p", F.lit(STEP)))
         derived = delta if derived is None else derived.unionByName(delta)
         total = total.unionByName(delta)
-    raise RuntimeError(f"the rules have not settled after {max_rounds} rounds")
+
+
+def about(derived: DataFrame, prefix: str) -> DataFrame:
+    """The derived triples worth keeping: of subjects below prefix, without blank objects, owl:Thing and a thing being the same as itself."""
+    same = (F.col("p") == SAME) & (F.col("s") == F.col("o"))
+    return derived.where(F.startswith("s", F.lit(prefix)) & (F.col("o_kind") != "bnode") & ~F.startswith("o", F.lit("_:")) & (F.col("o") != OWL + "Thing") & ~same)
 
 
 def same_as(triples: DataFrame, axioms: DataFrame) -> DataFrame:

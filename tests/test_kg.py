@@ -222,3 +222,19 @@ def test_sources_and_stream(spark, tmp_path):
     df = spark.createDataFrame([(i % 3,) for i in range(10)], "k int")
     assert "… 1 more" in files.markdown(profile.frequencies(df, "k").orderBy("k"), 2)
     assert profile.seeded_sample(spark.range(100), "id", 7).collect() == profile.seeded_sample(spark.range(100).repartition(3), "id", 7).collect()
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_more_rules(spark, monkeypatch, limit):
+    """Listed members, long chains, equivalent and functional properties; the schema closed on the driver and by Spark."""
+    monkeypatch.setattr(reason, "LOCAL_SCHEMA", limit)
+    axioms = [(X + "Kind", OWL + "equivalentClass", "_:k"), ("_:k", OWL + "oneOf", "_:l1"), ("_:l1", RDF + "first", X + "one"), ("_:l1", RDF + "rest", "_:l2"), ("_:l2", RDF + "first", X + "two"), ("_:l2", RDF + "rest", RDF + "nil"),
+              (X + "Kind", RDFS + "subClassOf", X + "Top"), (X + "q", OWL + "equivalentProperty", X + "p"), (X + "f", RDF + "type", OWL + "FunctionalProperty"),
+              (X + "far", OWL + "propertyChainAxiom", "_:c1"), ("_:c1", RDF + "first", X + "p"), ("_:c1", RDF + "rest", "_:c2"), ("_:c2", RDF + "first", X + "r"), ("_:c2", RDF + "rest", "_:c3"), ("_:c3", RDF + "first", X + "p"), ("_:c3", RDF + "rest", RDF + "nil")]
+    data = [(X + "a", X + "q", X + "b"), (X + "b", X + "r", X + "c"), (X + "c", X + "p", X + "d"), (X + "a", X + "f", X + "m"), (X + "a", X + "f", X + "n")]
+    got = reason.close(triples(spark, data), triples(spark, axioms))
+    want = {("one", "type", "Kind"), ("two", "type", "Kind"), ("one", "type", "Top"), ("two", "type", "Top"), ("a", "p", "b"), ("c", "q", "d"), ("a", "far", "d"), ("n", "sameAs", "m")}
+    tail = lambda x: x.removeprefix(X).rsplit("#")[-1]
+    assert {(tail(r.s), tail(r.p), tail(r.o)) for r in got.collect()} == want
+    rows = [(X + "a", OWL + "sameAs", X + "a"), (X + "a", X + "p", "_:b"), ("http://else", X + "p", X + "a"), (X + "a", RDF + "type", OWL + "Thing"), (X + "a", X + "p", X + "z")]
+    assert [tuple(r)[:3] for r in reason.about(triples(spark, rows), X).collect()] == [rows[-1]]
