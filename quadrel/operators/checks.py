@@ -45,6 +45,9 @@ def datatype_violations(triples: DataFrame) -> DataFrame:
     return triples.where((F.col("o_kind") == "literal") & ~valid_literal(F.col("o"), F.col("o_dt"))).select("s", "p", "o", "o_dt")
 
 
+SH = "http://www.w3.org/ns/shacl#"
+
+
 @dataclass
 class Property:
     """A property shape; None means unconstrained. qualified: (languages, least number) of values in one of these languages."""
@@ -69,6 +72,42 @@ class Shape:
     properties: list[Property] = field(default_factory=list)
 
 
+def shapes_of(triples: DataFrame) -> list[Shape]:
+    """The node shapes of a small SHACL graph, a shape per target; what is not served is refused."""
+    from quadrel.operators.reason import lists
+
+    members: dict[str, list[str]] = {}
+    for r in lists(triples).orderBy("head", "place").collect():
+        members.setdefault(r["head"], []).append(r["member"])
+    facts: dict[str, dict[str, list[str]]] = {}
+    for r in triples.where(F.startswith("p", F.lit(SH)) | (F.col("p") == RDF + "type")).select("s", "p", "o").distinct().orderBy("s", "p", "o").collect():
+        facts.setdefault(r["s"], {}).setdefault(r["p"].removeprefix(SH), []).append(r["o"])
+    one = lambda node, k: facts.get(node, {}).get(k, [None])[0]
+    number = lambda x: None if x is None else float(x)
+    whole = lambda x: None if x is None else int(x)
+
+    def constraint(node: str) -> Property:
+        known = {"path", "datatype", "nodeKind", "minCount", "maxCount", "minInclusive", "maxInclusive", "languageIn", "qualifiedValueShape", "qualifiedMinCount", "name", "description", "message", "severity", RDF + "type"}
+        if odd := set(facts.get(node, {})) - known:
+            raise ValueError(f"not served: {sorted(odd)}")
+        inner = one(node, "qualifiedValueShape")
+        qualified = (members[one(inner, "languageIn")], int(one(node, "qualifiedMinCount") or 1)) if inner else None
+        langs = one(node, "languageIn")
+        kind = one(node, "nodeKind")
+        return Property(
+            one(node, "path"), one(node, "datatype"), kind and kind.removeprefix(SH), whole(one(node, "minCount")), whole(one(node, "maxCount")), number(one(node, "minInclusive")),
+            number(one(node, "maxInclusive")), members[langs] if langs else None, qualified,
+        )
+
+    out = []
+    for f in facts.values():
+        if SH + "NodeShape" in f.get(RDF + "type", ()):
+            properties = [constraint(n) for n in f.get("property", ())]
+            out += [Shape(target_subjects_of=p, properties=properties) for p in f.get("targetSubjectsOf", ())]
+            out += [Shape(target_class=c, properties=properties) for c in f.get("targetClass", ())]
+    return out
+
+
 def shape_violations(triples: DataFrame, shapes: list[Shape]) -> DataFrame:
     """(focus, path, component, n): one row per focus node and violated component; n is the number of values at fault or counted."""
     out = []

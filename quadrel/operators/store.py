@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.functions.terms import RDF, RDFS, compact, fold
+from quadrel.functions.terms import OWL, RDF, RDFS, compact, fold
 
 COLUMNS = ["g", "s", "p", "o", "o_kind", "o_lang", "o_dt"]
 TRIPLE = COLUMNS[1:]
@@ -85,6 +85,20 @@ class QuadStore:
         found = self.scan(None, RDF + "type").where((F.col("o") == cls) & (F.col("o_kind") == "uri")).select("s").distinct()
         return self.named(found, "s").orderBy("s_label", "s").limit(limit)
 
+    def terms(self, own: str, langs: tuple[str, ...] = ("vi", "en")) -> DataFrame:
+        """(kind, s, label, comment): the classes, properties and datatypes of a namespace that the schema declares, by kind and IRI."""
+        kinds = {OWL + "Class": "class", RDFS + "Class": "class", OWL + "ObjectProperty": "object property", OWL + "DatatypeProperty": "datatype property", RDF + "Property": "property", RDFS + "Datatype": "datatype"}
+        kind = reduce(lambda out, k: out.when(F.col("o") == k, kinds[k]), kinds, F.when(F.lit(False), ""))
+        typed = self.scan(None, RDF + "type").select("s", kind.alias("kind")).where(F.col("kind").isNotNull() & F.startswith("s", F.lit(own)))
+        rank = reduce(lambda c, i: c.when(F.col("o_lang") == langs[i], i), range(1, len(langs)), F.when(F.col("o_lang") == langs[0], 0)).otherwise(len(langs))
+
+        def said(p: str, name: str) -> DataFrame:
+            known = self.scan(None, p).where("o_kind = 'literal'")
+            return known.groupBy("s").agg(F.min(F.struct(rank.alias("r"), F.col("o").alias("v")))["v"].alias(name))
+
+        out = typed.groupBy("s").agg(F.min("kind").alias("kind")).join(said(RDFS + "label", "label"), "s", "left").join(said(RDFS + "comment", "comment"), "s", "left")
+        return out.select("kind", "s", "label", "comment").orderBy("kind", "s")
+
     def search(self, text: str, limit: int = 20) -> DataFrame:
         """(s, label, rank): labels that hold text without regard to case and accents; equal, then prefix, then inside;
         then the shorter label, then the IRI."""
