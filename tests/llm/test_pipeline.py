@@ -47,3 +47,25 @@ def test_stages_and_run(spark, tmp_path):
     assert len(seen["bpe"]) == len(seen["mixing"])
     assert bpe.decode([list(r.ids) for r in seen["bpe"]]) == [text[r.doc_id] for r in seen["bpe"]]
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, seen["bpe"]))
+
+
+def test_stages_on_empty_tables_and_repeated_rows(spark, tmp_path):
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rng = random.Random(7)
+    one = (1, prose(rng, 80), "en", "a", 5)
+    rows = [one] * 40 + [(1, prose(rng, 80), "en", "b", 5), (None, one[1], None, None, None), (2, None, "en", "a", 0), (2, None, "en", "a", 0), (3, "word " * 200_000, "en", "a", 5)]
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, none = spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "bpe" or out.dtypes == none.dtypes), name
+    kept = corpus_pipeline.good(spark, docs, str(tmp_path))  # labels of one kind: nothing speaks against any row
+    assert kept.count() == len(rows)
+    left = corpus_pipeline.distinct(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in left) == sorted([(1, len(one[1])), (1, len(rows[40][1])), (0, len(one[1])), (2, 0), (2, 0), (3, 1_000_000)])
+    mixed = corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()
+    words = lambda rs: sum(len((r[1] or "").split()) for r in rs)
+    assert words(mixed) <= 2 * words(rows) and all(tuple(r) in set(rows) for r in mixed)
+    bare = corpus_pipeline.without_repeats(spark, docs, str(tmp_path)).collect()
+    assert len(bare) == len(rows) and sum(r.n_chars for r in bare) == sum(len(r.text) for r in bare)
+    assert {r.text for r in bare if r.doc_id == 1 and r.source == "a"} == {""} and {len(r.text) for r in bare if r.doc_id == 3} == {0}

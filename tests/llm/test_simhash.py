@@ -66,3 +66,29 @@ def test_within_radius_is_complete(spark):
     some = df.limit(20)
     mine = {r.fp for r in some.collect()}
     assert {(r.a, r.b) for r in simhash.within_radius(df, some).collect()} == {(a, b) for a in mine for b in uniq if a != b and d(a, b) <= 3}
+
+
+def test_fingerprints_match_plain_votes(spark):
+    """Signed votes of word pairs, bit by bit."""
+    import re
+
+    import xxhash
+
+    def brute(text):
+        words = re.split(r"[ \t\n\x0b\f\r]+", text)
+        votes, total = [0] * 64, 0
+        for i in range(max(1, len(words) - 1)):
+            a, b = words[i], words[i + 1] if i + 1 < len(words) else None
+            h = xxhash.xxh64(a.encode(), 42).intdigest()
+            h = xxhash.xxh64(b.encode(), h).intdigest() if b is not None else h
+            w = 1 + (len(a) > 3) + (b is not None and len(b) > 3)
+            total += w
+            for k in range(64):
+                votes[k] += w * (h >> k & 1)
+        return sum(1 << k for k in range(64) if 2 * votes[k] > total)
+
+    rng = random.Random(3)
+    texts = ["", " ", "one", "two  words", " lead and trail ", "é日本 ünï x", "a b " * 20_000, "x" * 50_000]
+    texts += [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.fp % 2**64 for r in simhash.fingerprints(docs).collect()} == {i: brute(t) for i, t in enumerate(texts)}
