@@ -14,6 +14,8 @@ from quadrel.operators.store import TRIPLE
 
 #: Schemas up to this many triples are closed on the driver and joined as local tables; larger ones are closed by Spark.
 LOCAL_SCHEMA = 20_000
+#: Predicates that a filter lists; more are joined.
+LISTED = 200
 SAME = OWL + "sameAs"
 #: Begins predicates that stand for the first parts of chains.
 STEP = "urn:chain:"
@@ -176,8 +178,13 @@ class Rules:
         values = {s: (o, *rest) for s, p, o, *rest in rows if p == OWL + "hasValue"}
         found = {(s, on[o], *values[o]) for s, p, o, *_ in rows if p in (SUBCLASS, OWL + "equivalentClass") and o in on and o in values}
         self.has_value = table(found, "c p o o_kind o_lang o_dt")
+        #: Predicates that a rule reads or gives; triples of others never take part.
+        both = of(SUBPROPERTY, OWL + "equivalentProperty") | inverse
+        self.used = {TYPE, SAME, *self.transitive, *kinds("SymmetricProperty"), *kinds("FunctionalProperty"), *(x for pair in both for x in pair)}
+        self.used |= {s for s, _ in of(RDFS + "domain", RDFS + "range")} | {row[1] for row in found} | {p for p, _ in self.chains} | {m for c in self.chains.values() for m in c}
 
     def _from_frame(self, axioms: DataFrame) -> None:
+        self.used = None
         self.classes = settled(superclasses(axioms).where("c <> super"))
         same = pairs(axioms, OWL + "equivalentProperty")
         props = pairs(axioms, SUBPROPERTY).unionByName(same).unionByName(same.select(F.col("o").alias("s"), F.col("s").alias("o")))
@@ -201,6 +208,14 @@ class Rules:
         above = axioms.where(F.col("p").isin(SUBCLASS, OWL + "equivalentClass")).select(F.col("s").alias("c"), F.col("o").alias("r"))
         self.has_value = settled(on.join(value, "r").join(above, "r").select("c", "p", "o", "o_kind", "o_lang", "o_dt"))
 
+    def premises(self, triples: DataFrame) -> DataFrame:
+        """The triples that can take part in a rule."""
+        if self.used is None:
+            return triples
+        if len(self.used) <= LISTED:
+            return triples.where(F.col("p").isin(sorted(self.used)))
+        return triples.join(_frame(triples, {(x,) for x in self.used}, "p"), "p", "left_semi").select(triples.columns)
+
     def facts(self, triples: DataFrame) -> DataFrame:
         """What holds without any premise: the types of listed members."""
         none = triples.select(TRIPLE).limit(0)
@@ -264,7 +279,7 @@ def close(triples: DataFrame, axioms: DataFrame) -> DataFrame:
     """Triples derived from triples by the rules of axioms and not among them: no owl:Thing, no type of a literal. It ends when a round
     derives nothing."""
     rules = Rules(axioms)
-    total = delta = settled(triples.select(TRIPLE).distinct())
+    total = delta = settled(rules.premises(triples.select(TRIPLE)).distinct())
     first = settled(rules.facts(triples).distinct().join(total, TRIPLE, "left_anti"))
     derived = None
     if not first.isEmpty():
