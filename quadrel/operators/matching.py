@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quadrel.functions.terms import RDF, RDFS, fold_name
 from quadrel.operators import linking
 
-DBO, FOAF, GEO = "http://dbpedia.org/ontology/", "http://xmlns.com/foaf/0.1/", "http://www.w3.org/2003/01/geo/wgs84_pos#"
+FOAF, GEO = "http://xmlns.com/foaf/0.1/", "http://www.w3.org/2003/01/geo/wgs84_pos#"
 
 # Words without weight in names by block, ordered translations of terms, weights of kinds of names.
 GENERIC = {
@@ -53,14 +53,16 @@ PLACE_WORDS = 6
 
 @dataclass
 class Rules:
-    """blocks: class -> block; kinds: class -> kinds its counterpart may have; named and dated: the blocks whose names are translated and
-    cut, and whose years count."""
+    """blocks: class -> block; kinds: class -> kinds its counterpart may have; alt_names, dates: the properties of other names and of
+    foundation, of the latter the first that gives a year; institution: the block whose names are translated and cut and whose years count."""
 
     blocks: dict[str, str]
     kinds: dict[str, list[str]] = field(default_factory=dict)
     generic: dict[str, list[str]] = field(default_factory=lambda: GENERIC)
     glossary: list[tuple[str, str]] = field(default_factory=lambda: GLOSSARY)
     near_km: dict[str, float] = field(default_factory=lambda: NEAR_KM)
+    alt_names: list[str] = field(default_factory=list)
+    dates: list[str] = field(default_factory=list)
     institution: str = "univ"
     place: str = "place"
 
@@ -93,10 +95,10 @@ def entities(triples: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     typed = triples.where(F.col("p") == RDF + "type").join(F.broadcast(kinds), "o").groupBy("s").agg(F.min(F.struct(F.col("o").alias("cls"), "block")).alias("t"))
     typed = typed.select("s", "t.cls", "t.block")
     host = F.when(F.col("p") == FOAF + "homepage", linking.domain(F.when(F.contains("o", F.lit("//")), F.col("o")).otherwise(F.concat(F.lit("http://"), F.col("o")))))
-    year = F.when(F.col("p").isin(DBO + "foundingDate", DBO + "foundingYear"), linking.year_of(F.col("o")))
+    year = F.when(F.col("p").isin(rules.dates), linking.year_of(F.col("o")))
     number = lambda p: F.min(F.when(F.col("p") == p, F.col("o").try_cast("double")))
-    facts = triples.groupBy("s").agg(F.collect_set(F.nullif(host, F.lit(""))).alias("homepages"), number(GEO + "lat").alias("lat"), number(GEO + "long").alias("lon"), F.array_compact(F.array(F.min(F.when(year.isNotNull(), F.struct("p", year.alias("y"))))["y"])).alias("years"))
-    kind = F.when(F.col("p") == RDFS + "label", MAIN).when(F.col("p").isin(DBO + "abbreviation", DBO + "formerName"), SECONDARY)
+    facts = triples.groupBy("s").agg(F.collect_set(F.nullif(host, F.lit(""))).alias("homepages"), number(GEO + "lat").alias("lat"), number(GEO + "long").alias("lon"), F.array_compact(F.array(F.min(F.when(year.isNotNull(), F.struct(F.array_position(F.array(*map(F.lit, rules.dates or [""])), F.col("p")).alias("at"), year.alias("y"))))["y"])).alias("years"))
+    kind = F.when(F.col("p") == RDFS + "label", MAIN).when(F.col("p").isin(rules.alt_names), SECONDARY)
     local = (F.col("p") != RDFS + "label") | (F.coalesce("o_lang", F.lit("")) != "en")
     names = triples.select("s", F.trim("o").alias("name"), kind.alias("weight"), local.alias("local")).where("weight IS NOT NULL").distinct()
     return typed.join(facts, "s"), names.join(typed.select("s", "block"), "s")

@@ -133,7 +133,7 @@ def mapping_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy(F.regexp_replace("p", "^.*/", "").alias("p")).agg(F.count("*").alias("n"), F.count_if(F.col("o_kind") == "uri").alias("linked"))
 
 
-_RULES = matching.Rules({"urn:kg:Customer": "univ"}, glossary=[("customer", "client")])
+_RULES = matching.Rules({"urn:kg:Customer": "univ"}, glossary=[("customer", "client")], dates=["urn:kg:founded"])
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = lambda p, o: F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"))
     facts = F.array(
         fact(RDF + "type", F.lit("urn:kg:Customer")), fact(RDFS + "label", F.concat(F.lit("Customer "), "c_mktsegment", F.lit(" "), key)),
-        fact(matching.DBO + "foundingYear", 1900 + F.col("c_custkey") % 100), fact(matching.FOAF + "homepage", F.concat(F.lit("http://www.c"), key, F.lit(".vn/x"))),
+        fact("urn:kg:founded", 1900 + F.col("c_custkey") % 100), fact(matching.FOAF + "homepage", F.concat(F.lit("http://www.c"), key, F.lit(".vn/x"))),
     )
     rows = _table(spark, sf_dir, "customer").select(F.concat(F.lit("urn:kg:customer/"), key).alias("s"), F.explode(facts).alias("f"))
     return rows.select("s", "f.p", "f.o", F.lit("literal").alias("o_kind"), F.lit("vi").alias("o_lang"))

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from quadrel.functions.terms import RDF, RDFS
 from quadrel.operators import linking, matching
-from quadrel.operators.matching import DBO, FOAF, GEO
+from quadrel.operators.matching import FOAF, GEO
 
 V = "http://v/"
-RULES = matching.Rules({V + "Univ": "univ", V + "Prov": "place", V + "City": "place"}, {V + "Prov": ["province"], V + "City": ["city", "province"]})
+RULES = matching.Rules({V + "Univ": "univ", V + "Prov": "place", V + "City": "place"}, {V + "Prov": ["province"], V + "City": ["city", "province"]}, alt_names=[V + "short"], dates=[V + "founded", V + "foundedYear"])
 D = "http://d/"
 
 
@@ -21,9 +21,9 @@ def triples(spark):
 
     put("hn", "City", (RDFS + "label", "Hà Nội", "vi"), (GEO + "lat", "21.03", ""), (GEO + "long", "105.85", ""))
     put("hue", "Prov", (RDFS + "label", "Tỉnh Thừa Thiên Huế", "vi"))
-    put("luat", "Univ", (RDFS + "label", "Trường Đại học Luật Hà Nội", "vi"), (FOAF + "homepage", "http://www.hlu.edu.vn/x", None), (DBO + "foundingDate", "1979-11-10", ""), (DBO + "abbreviation", "HLU", ""))
+    put("luat", "Univ", (RDFS + "label", "Trường Đại học Luật Hà Nội", "vi"), (FOAF + "homepage", "http://www.hlu.edu.vn/x", None), (V + "founded", "1979-11-10", ""), (V + "short", "HLU", ""))
     put("luat2", "Univ", (RDFS + "label", "Trường Đại học Luật, Đại học Huế", "vi"), (RDFS + "label", "10.51/3", "en"))
-    put("kt", "Univ", (RDFS + "label", "Trường Đại học Kinh tế Quốc dân", "vi"), (DBO + "foundingYear", "1956", ""), (GEO + "lat", "21.0", ""), (GEO + "long", "105.84", ""))
+    put("kt", "Univ", (RDFS + "label", "Trường Đại học Kinh tế Quốc dân", "vi"), (V + "foundedYear", "1956", ""), (GEO + "lat", "21.0", ""), (GEO + "long", "105.84", ""))
     rows.append((V + "x", RDFS + "label", "No class", "literal", "vi"))
     return spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_lang string")
 
