@@ -41,6 +41,21 @@ def valid_literal(value: Column, dt: Column) -> Column:
     )
 
 
+def moment(text: Column) -> Column:
+    """The timestamp of an ISO text, Z for an offset of zero; null if it is none."""
+    iso = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)?$")
+    return F.when(iso, F.regexp_replace(text, "Z$", "+00:00").try_cast("timestamp"))
+
+
+def dotted(n: Column) -> Column:
+    """A whole number with dots between thousands."""
+    return F.translate(F.format_number(n.cast("bigint"), 0), ",", ".")
+
+
+def percent(x: Column, digits: int = 1) -> Column:
+    return F.concat(F.format_number(100 * x, digits), F.lit("%"))
+
+
 def datatype_violations(triples: DataFrame) -> DataFrame:
     return triples.where((F.col("o_kind") == "literal") & ~valid_literal(F.col("o"), F.col("o_dt"))).select("s", "p", "o", "o_dt")
 

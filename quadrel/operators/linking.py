@@ -133,6 +133,19 @@ def lookup(titles: DataFrame, names: DataFrame, prefix: str, known: DataFrame) -
     return names.join(known.select("s").distinct(), "s", "left_semi").select("s", F.concat(F.lit(prefix), F.replace(F.trim("name"), F.lit(" "), F.lit("_"))).alias("o"))
 
 
+def identifiers(names: DataFrame, prefix: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links (s, o), missing (s)): IRIs from identifiers (s, name) that are Q and digits, for known subjects; known subjects without one."""
+    found = lookup(known, names.where(F.trim("name").rlike(r"^Q\d+$")), prefix, known)
+    return found, known.select("s").distinct().join(found, "s", "left_anti")
+
+
+def type_table(links: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """cls, types, n: linked pairs (s, o) by our class and the sorted types of the other end."""
+    kinds = theirs.groupBy(F.col("s").alias("o")).agg(F.array_join(F.array_sort(F.collect_set("c")), ", ").alias("types"))
+    both = links.join(ours.select("s", F.col("c").alias("cls")), "s").join(kinds, "o", "left")
+    return both.groupBy("cls", F.coalesce("types", F.lit("")).alias("types")).agg(F.count("*").alias("n")).orderBy("cls", F.desc("n"), "types")
+
+
 def validated(links: DataFrame, seen: DataFrame, redirects: DataFrame) -> DataFrame:
     """links (s, o) plus status (exists, redirect, missing) and target, the redirect's end if there is one."""
     df = links.join(redirects.select(F.col("source").alias("o"), F.col("target").alias("_to")), "o", "left")

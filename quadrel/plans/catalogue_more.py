@@ -199,3 +199,48 @@ def link_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("year_similarity", "SELECT o_orderkey, CASE WHEN abs(year(o_orderdate) - 1995) <= 1 THEN 1.0 WHEN abs(year(o_orderdate) - 1995) <= 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS sim FROM orders")
 def year_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", linking.year_similarity(F.year("o_orderdate"), F.lit(1995)).alias("sim"))
+
+
+@query("category_suggestions", """SELECT n_name || ' zz' AS node, (SELECT string_agg(x, '|' ORDER BY length(x), x) FROM (SELECT n_name AS x FROM nation ORDER BY length(n_name), n_name LIMIT 5)) AS suggestions FROM nation""")
+def category_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing roots and the categories that share their longest word; all names of nations begin with the same one."""
+    from quadrel.sources import files
+
+    edges = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("parent"), F.lit("x").alias("child"))
+    roots = _table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(" zz")).alias("node"))
+    return files.suggested_roots(roots, edges).withColumn("suggestions", F.array_join("suggestions", "|"))
+
+
+@query("category_lists", "SELECT 'customer/' || c_custkey AS child, array_to_string(list_sort([c_mktsegment, 'N' || c_nationkey]), '|') AS categories FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT 'customer/' || c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3")
+def category_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.sources import files
+
+    c = _table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("child"), F.explode(F.array("c_mktsegment", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))).alias("parent"))
+    return files.categories_of(c, spark.createDataFrame([("N3",)], "node string")).withColumn("categories", F.array_join("categories", "|"))
+
+
+@query("link_type_table", "SELECT c_mktsegment AS cls, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'A, ' || n_name END AS types, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def link_type_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    theirs = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("s"), F.explode(F.array(F.concat(F.lit(""), "n_name"), F.lit("A"), F.lit("A"))).alias("c"))
+    return linking.type_table(c.selectExpr("c_custkey AS s", "c_custkey AS o"), c.selectExpr("c_custkey AS s", "c_mktsegment AS c"), theirs.withColumn("c", F.when(F.col("c") < "A", F.lit("A")).otherwise(F.col("c"))))
+
+
+@query("iso_moments", "SELECT o_orderkey, (epoch(o_orderdate::TIMESTAMP) - CASE WHEN o_orderkey % 3 = 1 THEN 25200 ELSE 0 END)::BIGINT AS seconds, replace(format('{:,}', o_totalprice::BIGINT), ',', '.') AS dotted FROM orders WHERE o_orderkey % 3 < 2")
+def iso_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrel.operators import checks
+
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.concat(day, F.lit("T00:00:00Z"))).when(k == 1, F.concat(day, F.lit("T00:00:00+07:00"))).otherwise(day)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", checks.moment(text).cast("bigint").alias("seconds"), checks.dotted(F.bround("o_totalprice")).alias("dotted")).where("seconds IS NOT NULL")
+
+
+@query("inferred_about", "SELECT 'urn:kg:customer/' || c_custkey AS s, 'urn:kg:Organisation' AS o FROM customer")
+def inferred_about(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived triples of customers only, of all that the types of customers and nations give."""
+    from quadrel.operators import reason
+    from quadrel.plans import direct_mapping as dm
+
+    parts = dm.mapped(spark, sf_dir)
+    data = parts[f"customer.{RDF}type"].unionByName(parts[f"nation.{RDF}type"]).drop("g")
+    return reason.about(reason.close(data, dm.ontology(spark)), "urn:kg:customer/").select("s", "o")

@@ -6,11 +6,11 @@ import json
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quadrel.functions.terms import RDF, XSD
+from quadrel.functions.terms import RDF, XSD, fold_name
 
 ARTICLE = "id bigint, title string, text string, revision_id bigint, revision_timestamp string"
 
@@ -47,6 +47,24 @@ def checked_roots(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return roots.join(n, "node", "left").na.fill(0, ["n"])
 
 
+def suggested_roots(roots: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
+    """(node, suggestions) of the roots (node) that are missing or empty: up to limit categories whose folded name holds the root's
+    longest word, the shorter names first."""
+    missing = checked_roots(roots, edges).where("n = 0").select("node").distinct()
+    word = F.element_at(F.array_sort(F.filter(F.split(fold_name(F.col("node")), " "), lambda w: w != ""), lambda a, b: F.when(F.length(a) > F.length(b), 1).when(F.length(a) < F.length(b), -1).otherwise(0)), -1)
+    known = edges.select(F.col("parent").alias("name")).distinct().select("name", F.explode(F.array_distinct(F.split(fold_name(F.col("name")), " "))).alias("word"))
+    hits = missing.withColumn("word", word).join(known, "word").select("node", "name")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.length("name"), "name"))
+    best = hits.withColumn("place", place).where(F.col("place") <= limit).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("suggestions"))
+    return missing.join(best, "node", "left").withColumn("suggestions", F.coalesce("suggestions", F.array().cast("array<string>")))
+
+
+def categories_of(edges: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
+    """(child, categories): the categories (parents) of every page in order of their names, without those of hidden (node)."""
+    kept = edges if hidden is None else edges.join(hidden.select(F.col("node").alias("parent")), "parent", "left_anti")
+    return kept.select("child", "parent").distinct().groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("categories"))
+
+
 def members(edges: DataFrame, category: str) -> tuple[DataFrame, DataFrame]:
     """(pages, subcategories) of a category from (parent, child, ns)."""
     own = edges.where(F.col("parent") == category)
@@ -74,6 +92,27 @@ def first_existing(folder: str, stems: list[str]) -> Path | None:
     return next((p for s in stems if (p := Path(folder, s)).exists()), None)
 
 
+def planned_files(folder: str, wanted: dict[str, list[str]]) -> dict[str, Path]:
+    """For each name the first file there of several in order of precedence; names without one are left out."""
+    found = {name: first_existing(folder, stems) for name, stems in wanted.items()}
+    return {name: path for name, path in found.items() if path}
+
+
+def write_summary(summary: dict, path: str) -> None:
+    """A small JSON report, in the order of its keys, replaced as a whole."""
+    target = Path(path)
+    part = target.with_suffix(".part")
+    part.write_text(json.dumps(summary, ensure_ascii=False, indent=1, default=str), encoding="utf-8")
+    part.replace(target)
+
+
+def cached(path: str, make) -> dict:
+    """The JSON at path, made and written first where it is absent."""
+    if not Path(path).exists():
+        write_summary(make(), path)
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 

@@ -58,3 +58,22 @@ def test_term_index(spark):
             ("g", "urn:x:p", RDF + "type", OWL + "ObjectProperty", "uri", "", ""), ("g", "urn:y:D", RDF + "type", OWL + "Class", "uri", "", "")]
     store = QuadStore(spark.createDataFrame(rows, "g string, s string, p string, o string, o_kind string, o_lang string, o_dt string"))
     assert [tuple(r) for r in store.terms("urn:x:").collect()] == [("class", "urn:x:C", "Lớp", "c"), ("object property", "urn:x:p", None, None)]
+
+
+def test_summaries_and_plans(tmp_path):
+    from quadrel.sources import files
+
+    (tmp_path / "b.nt").write_text("", encoding="utf-8")
+    assert files.planned_files(str(tmp_path), {"links": ["a.nt", "b.nt"], "none": ["c.nt"]}) == {"links": tmp_path / "b.nt"}
+    calls = []
+    for _ in range(2):
+        assert files.cached(f"{tmp_path}/s.json", lambda: calls.append(1) or {"n": 1, "tên": "é"}) == {"n": 1, "tên": "é"}
+    assert calls == [1]
+
+
+def test_identifiers(spark):
+    from quadrel.operators import linking
+
+    names = spark.createDataFrame([("a", "Q12"), ("b", "12"), ("z", "Q9")], "s string, name string")
+    found, missing = linking.identifiers(names, "http://i/", spark.createDataFrame([("a",), ("b",), ("c",)], "s string"))
+    assert [tuple(r) for r in found.collect()] == [("a", "http://i/Q12")] and {r.s for r in missing.collect()} == {"b", "c"}
