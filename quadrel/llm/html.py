@@ -26,6 +26,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .batches import lean
 from .common import table
 
 LINKS, SHORT, STOPS_HIGH, STOPS_LOW = 0.4, 70, 0.25, 0.1
@@ -265,6 +266,7 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(texts[p] for p in kept)
 
 
+@lean
 def _texts(batches):
     for batch in batches:
         text = [main_text(h) for h in batch.column("html").to_pylist()]

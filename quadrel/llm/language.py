@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import U, mix, pieces
+from .batches import U, lean, mix, pieces
 from .common import table
 from .letters import folded, has_letter
 
@@ -93,6 +93,7 @@ def decode(margins: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return loss.argmin(1), share.max(1) / share.sum(1)
 
 
+@lean
 def _counted(batches):
     for batch in batches:
         for i, j, data, offs in pieces(batch.column("text"), rows=ROWS):
@@ -100,6 +101,7 @@ def _counted(batches):
 
 
 def _predicted(langs, m, w):
+    @lean
     def run(batches):
         for batch in batches:
             for i, j, data, offs in pieces(batch.column("text"), rows=ROWS):

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Rolling, U, mix
+from .batches import U, lean, mix, Rolling
 from .common import discard, table, written
 
 LENGTH, GRAM = 200, 48
@@ -251,6 +251,7 @@ def _index_entries(hot: int, piece: int):
                     at = packed(first - offs[i] + place[i], last - first + 1, gram - first)
                     yield {"g": g.view(np.int64), "c": c.view(np.int64), "row": key[i], "at": at, "bits": np.zeros(len(g), np.int8)}
 
+    @lean
     def run(batches):
         for e in _gathered(parts(batches)):
             yield from _collapsed(e, hot)
@@ -263,6 +264,7 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return offs - offs[0], column.values.slice(offs[0], offs[-1] - offs[0])
 
 
+@lean
 def _surroundings(batches):
     """Per row the bytes of its undecided entries: seg_at, where runs of bytes start in the text, seg_to, their ends in bytes."""
     for batch in _sliced(batches):
@@ -325,6 +327,7 @@ def _part_entries(step: int, hot: int):
                 at = packed(first, last - first + 1, (start + gram)[some][entry] - first)
                 yield {"g": g.view(np.int64), "c": c.view(np.int64), "row": key[row[some][entry]], "at": at, "bits": np.where(known[some][entry], KNOWN, 0).astype(np.int8)}
 
+    @lean
     def run(batches):
         for e in _gathered(parts(batches)):
             yield from _collapsed(e, hot)
@@ -335,6 +338,7 @@ def _part_entries(step: int, hot: int):
 def _family(edges: bool, size: int):
     """One index family over what is dealt to a task. edges: also give the entries that meet others under their g."""
 
+    @lean
     def run(batches):
         index = Family()
         ready: list[pa.RecordBatch] = []
@@ -367,6 +371,7 @@ def _family(edges: bool, size: int):
 
 
 def _deflated(columns: list[str]):
+    @lean
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
@@ -389,6 +394,7 @@ def deflated(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 def _cut(keep: list[str], texts: bool):
+    @lean
     def run(batches):
         for batch in _sliced(batches):
             text, spans = batch.column("packed").to_pylist(), batch.column("spans").to_pylist()

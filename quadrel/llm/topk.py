@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batches import lean
 from .common import table
 
 SCALE, BLOCK, SHARD, PARALLEL, LEAST = 256, 65_536, 1 << 26, 64, 8192
@@ -164,6 +165,7 @@ def _integers(column: pa.Array, dims: int) -> np.ndarray:
 def _searched(k: int, block: int):
     """Over rows in the order (dims, shard, asked): an index of the rows of a shard, then the answers to its queries."""
 
+    @lean
     def run(batches):
         now: tuple | None = None
         held: list[tuple[np.ndarray, np.ndarray]] = []

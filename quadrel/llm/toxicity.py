@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Rolling, U, mix, pieces
+from .batches import U, lean, mix, pieces, Rolling
 from .common import table
 from .letters import folded, letter_runs
 from .quality import fit as fit_logistic
@@ -221,6 +221,7 @@ def learn(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds
 
 
 def _scored(field: Field | None, spans: bool):
+    @lean
     def run(batches):
         for batch in batches:
             for i, j, data, offs in pieces(batch.column("text")):
