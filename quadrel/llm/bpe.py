@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import lean
 from .common import table
 
 NONE = np.int64(1) << np.int64(62)
@@ -43,7 +44,7 @@ NEW_LETTERS = (
 )
 NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 #: Entries, and characters, of one generation of a worker's cache; longer pre-tokens are not kept.
-CACHED, CACHED_CHARS, LONG = 100_000, 1 << 20, 256
+CACHED, CACHED_CHARS, LONG = 60_000, 1 << 19, 256
 
 
 def _ranges(listed: str) -> list[tuple[int, int]]:
@@ -104,8 +105,9 @@ def _served(spec: dict) -> None:
 class Codec:
     """The vocabulary, its pair ranks as an open-addressing table, and the merge loop."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, digests: bool = True):
         spec = json.loads(spec)
+        self.digests = digests
         _served(spec)
         model = spec["model"]
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -123,7 +125,7 @@ class Codec:
         left = np.array([vocab[a] for a, _ in merges], np.int64)
         right = np.array([vocab[b] for _, b in merges], np.int64)
         self._hash_pairs(left * self.size + right)
-        self.names = {i: str(i) for i in range(self.size)}
+        self.names = {i: str(i) for i in range(self.size)} if digests else {}
         self.words, self.old_words, self.chunks, self.old_chunks = {}, {}, {}, {}
         self.chars = {"words": 0, "chunks": 0}
         self.passing: tuple[list[str], list[str]] = [], []
@@ -326,12 +328,14 @@ class Codec:
             return [piece[:-1], piece[-1]]
         return [piece[m.start() : m.end()] for m in PATTERN.finditer(shadow(piece))]
 
-    def entry(self, ids: list[int]) -> tuple[str, int, bytes, bytes]:
-        name, raw = self.names, self.bytes
-        return ",".join([name[i] for i in ids]), len(ids), b"".join([raw[i] for i in ids]), np.array(ids, np.int32).tobytes()
+    def entry(self, ids: list[int]) -> tuple:
+        """(ids, their number, bytes decoded from them); the ids as decimal text for digests, else as packed integers."""
+        raw = self.bytes
+        held = ",".join([self.names[i] for i in ids]) if self.digests else np.array(ids, np.int32).tobytes()
+        return held, len(ids), b"".join([raw[i] for i in ids])
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Put the pieces of a batch into the cache: (ids as text, their number, bytes decoded from them, ids).
+        """Put the entries of the pieces of a batch into the cache.
         Of two generations the older is dropped when the younger is full; long pieces stay until the next batch."""
         for kind, long in zip(("words", "chunks"), self.passing, strict=True):
             for p in long:
@@ -342,6 +346,7 @@ class Codec:
                 setattr(self, kind, {})
                 self.chars[kind] = 0
         known, old, words, old_words = self.chunks, self.old_chunks, self.words, self.old_words
+        between = "," if self.digests else b""
         new = []
         for p in set(chain.from_iterable(texts)).difference(known):
             if (x := old.get(p)) is not None:
@@ -363,7 +368,7 @@ class Codec:
                 known[p] = words[ws[0]]
             else:
                 parts = [words[w] for w in ws]
-                known[p] = (",".join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts]), b"".join([x[3] for x in parts]))
+                known[p] = (between.join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts]))
         for kind, long, added in (("words", self.passing[0], missing), ("chunks", self.passing[1], [p for p, _ in new])):
             self.chars[kind] += sum([len(p) for p in added if len(p) <= LONG])
             long += [p for p in added if len(p) > LONG]
@@ -394,8 +399,8 @@ _MARK = "\udc00"
 
 
 @lru_cache(2)
-def codec(spec: str) -> Codec:
-    return Codec(spec)
+def codec(spec: str, digests: bool = True) -> Codec:
+    return Codec(spec, digests)
 
 
 def read_spec(path: str | None = None) -> str:
@@ -409,8 +414,9 @@ def read_spec(path: str | None = None) -> str:
 
 
 def _encoded(spec, columns: list[str], digests: bool):
+    @lean
     def run(batches):
-        c = codec(spec.value)
+        c = codec(spec.value, digests)
         gc.disable()  # the cache is many tuples without cycles, which collections would walk again and again
         try:
             for batch in batches:
@@ -431,7 +437,7 @@ def _encoded(spec, columns: list[str], digests: bool):
             cols.append(pa.array([hashlib.sha256(b"".join([r[2] for r in rs]).decode("utf-8", "replace").encode()).hexdigest() for rs in rows], pa.string()))
             names = [*columns, "n_tokens", "ids_sha256", "decoded_sha256"]
         else:
-            ids = [b"".join([r[3] for r in rs]) for rs in rows]
+            ids = [b"".join([r[0] for r in rs]) for rs in rows]
             offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             cols.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(ids), np.int32))))
             cols.append(pa.array([b"".join([r[2] for r in rs]).decode("utf-8", "replace") for rs in rows], pa.string()))
