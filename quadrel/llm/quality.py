@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Rolling, U, lowered, mix, pieces, words
+from .batches import U, lean, lowered, mix, pieces, words, Rolling
 from .common import table, written
 
-SAMPLE, LEARNED = 6000, 1 << 20
+SAMPLE, LEARNED = 4000, 1 << 20
 CUT = 0.5
 #: Hashed places of byte runs, and as many of words; classes of recurrence; rows whose counts are held at once.
 DIMS, SPECTRUM, ROWS = 2048, 8, 256
@@ -81,6 +81,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+@lean
 def _counted(batches):
     for batch in batches:
         for i, j, data, offs in pieces(batch.column("text"), rows=ROWS):
@@ -88,6 +89,7 @@ def _counted(batches):
 
 
 def _judged(w: np.ndarray | None):
+    @lean
     def run(batches):
         for batch in batches:
             for i, j, data, offs in pieces(batch.column("text"), rows=ROWS):
@@ -159,7 +161,10 @@ def _weights(named: DataFrame, labels: DataFrame, sample: int) -> np.ndarray | N
     y = np.array([r[0] for r in found], bool)
     if not len(found) or y.all() or not y.any():
         return None
-    return learn(np.stack([np.frombuffer(r[1], np.float16) for r in found]).astype(np.float32), y)
+    x = np.empty((len(found), 2 * DIMS + SPECTRUM), np.float32)
+    for i in range(len(x)):
+        x[i] = np.frombuffer(found.pop()[1], np.float16)
+    return learn(x, y[::-1])
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
