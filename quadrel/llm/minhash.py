@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import U, mix, pieces, utf8
+from .batches import U, lean, mix, pieces, utf8
 from .common import components, discard, table, written
 from .shingles import shingle_sets
 
@@ -55,6 +55,7 @@ def _signatures(size: int, sub: int):
     seeds = mix(np.arange(1, 2 * BAND * sub + 1, dtype=U) * U(0x9E3779B97F4A7C15))
     odd = mix(seeds) | U(1)
 
+    @lean
     def run(batches):
         for batch in batches:
             ids, marks, text = batch.column(0), batch.column(1), batch.column(2)
@@ -82,34 +83,45 @@ def _signatures(size: int, sub: int):
     return run
 
 
+#: Shared elements that are multiplied at once, and rows that are compared at once.
+WIDTH, STRIP = 1024, 256
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of sorted arrays, from dense products over runs of shared elements."""
+    """Sizes of all intersections of sorted arrays, from dense products over runs of shared elements. Sizes are below 2**24, which
+    single precision holds exactly."""
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[col] > 1
     dense = np.cumsum(count > 1) - 1
     col, owner = dense[col[shared]], owner[shared]
     order = np.argsort(col, kind="stable")
     col, owner = col[order], owner[order]
-    out = np.zeros((n, n), np.float64)
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-        a, b = np.searchsorted(col, [lo, lo + 4096])
-        m = np.zeros((n, 4096), np.float32)
+    out = np.zeros((n, n), np.float32)
+    m = np.zeros((n, WIDTH), np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, WIDTH):
+        a, b = np.searchsorted(col, [lo, lo + WIDTH])
+        m[:] = 0
         m[owner[a:b], col[a:b] - lo] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
+        used = np.unique(owner[a:b])
+        out[np.ix_(used, used)] += m[used] @ m[used].T
+    return out
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the least index that links of 100 * intersection >= percent * union lead to."""
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], np.int64)
+    n = len(sets)
     both = overlaps(sets)
-    near = 100 * both >= percent * (size[:, None] + size - both)
+    near = np.zeros((n, n), bool)
+    for i in range(0, n, STRIP):
+        x = both[i : i + STRIP].astype(np.int64)
+        near[i : i + STRIP] = 100 * x >= percent * (size[i : i + STRIP, None] + size - x)
     np.fill_diagonal(near, True)
-    label = np.arange(len(sets))
+    label = np.arange(n)
     while True:
-        low = np.where(near, label, len(sets)).min(1)
+        low = np.concatenate([np.where(near[i : i + STRIP], label, n).min(1) for i in range(0, n, STRIP)])
         low = low[low]
         if (low == label).all():
             return label
@@ -153,18 +165,17 @@ def _blocks(count: str, total: str) -> str:
 def _links(classes: DataFrame, docs: DataFrame, sub: int, shingle: int, percent: int) -> DataFrame:
     """(v, root) of the classes that have links: connected components of all links between classes that share a key."""
     cells = [F.xxhash64(F.lit(i * sub + j), f"k{i}", f"k{sub + j}") for i in range(sub) for j in range(sub)]
-    tables = classes.select("v", "n", F.explode(F.array(*cells)).alias("key"))
-    least = F.min(F.struct("v", "n"))
-    shared = tables.groupBy("key").agg(least.alias("first"), F.max("v").alias("most")).where("first.v < most").select("key", "first")
-    live = written(tables.join(shared, "key").selectExpr("key", "v", "n", "first.v AS first", "first.n AS first_n"))
-    seen = live.select("v").distinct()
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a class is small, but its keys are many
+    tables = classes.repartition(tasks).select("v", "n", F.explode(F.array(*cells)).alias("key"))
+    shared = tables.groupBy("key").agg(F.min("v").alias("first"), F.max("v").alias("most")).where("first < most").select("key", "first")
+    live = written(tables.join(shared, "key").where("v <> first").select("first", "v", "n").distinct())
+    seen = live.select("v").unionByName(live.select(F.col("first").alias("v"))).distinct()
     owners = classes.join(seen, "v").select("v", F.col("first_row.doc_id").alias("doc_id"), F.col("first_row.mark").alias("mark"))
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     texts = written(named.join(owners, ["doc_id", "mark"]).select("v", "text"))
 
-    stars = written(live.where("v <> first").select("first", "first_n", "v", "n").distinct())
-    discard(live)
-    sizes = stars.groupBy("first").agg(F.expr(_blocks("count(*)", "sum(n + first_n)")).alias("nb"))
+    stars = live
+    sizes = stars.groupBy("first").agg(F.expr(_blocks("count(*)", "sum(n)")).alias("nb"))
     leaves = stars.join(sizes, "first").select("first", F.expr("pmod(xxhash64(v), nb)").cast("int").alias("part"), "v")
     hubs = sizes.select("first", F.explode(F.expr("sequence(0, nb - 1)")).alias("part"), F.col("first").alias("v"))
     fams = written(leaves.unionByName(hubs).select(F.xxhash64("first", "part").alias("fam"), "v"))
