@@ -8,7 +8,7 @@ same tree width are merged side by side in numpy; those over WIDE symbols one at
 The tokenizer file says how texts are cut: a byte-level pre-tokenizer with its built-in pattern, and added tokens that are found as
 they stand. A file that asks for anything else is refused. Letters and digits are those of Unicode 16.
 
-A worker keeps what it has encoded in a cache of two generations, bounded in entries and characters; pre-tokens over LONG characters
+A task keeps what it has encoded in a cache of two generations, bounded in entries and characters; pre-tokens over LONG characters
 are not kept. Null and empty texts have no tokens and decode to ''. Whole texts are encoded, those without blanks too; rows, ties and
 repeated rows are independent of each other; an empty table gives an empty result. Extra columns are dropped by the query and kept by
 encode(), whatever their names.
@@ -43,8 +43,8 @@ NEW_LETTERS = (
     "11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
 )
 NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
-#: Entries, and characters, of one generation of a worker's cache; longer pre-tokens are not kept.
-CACHED, CACHED_CHARS, LONG = 60_000, 1 << 19, 256
+#: Entries, and characters, of one generation of a task's cache; longer pre-tokens are not kept.
+CACHED, CACHED_CHARS, LONG = 120_000, 1 << 20, 256
 
 
 def _ranges(listed: str) -> list[tuple[int, int]]:
@@ -334,6 +334,12 @@ class Codec:
         held = ",".join([self.names[i] for i in ids]) if self.digests else np.array(ids, np.int32).tobytes()
         return held, len(ids), b"".join([raw[i] for i in ids])
 
+    def forget(self) -> None:
+        """Empty the cache; the next task fills it within its first texts."""
+        self.words, self.old_words, self.chunks, self.old_chunks = {}, {}, {}, {}
+        self.chars = {"words": 0, "chunks": 0}
+        self.passing = [], []
+
     def learn(self, texts: list[list[str]]) -> None:
         """Put the entries of the pieces of a batch into the cache.
         Of two generations the older is dropped when the younger is full; long pieces stay until the next batch."""
@@ -423,6 +429,7 @@ def _encoded(spec, columns: list[str], digests: bool):
                 for i in range(0, batch.num_rows, 512):
                     yield encoded(c, batch.slice(i, 512))
         finally:
+            c.forget()
             gc.enable()  # the worker goes on to other tasks
 
     def encoded(c: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
