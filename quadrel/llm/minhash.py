@@ -175,7 +175,7 @@ def _links(classes: DataFrame, docs: DataFrame, sub: int, shingle: int, percent:
     texts = written(named.join(owners, ["doc_id", "mark"]).select("v", "text"))
 
     stars = live
-    sizes = stars.groupBy("first").agg(F.expr(_blocks("count(*)", "sum(n)")).alias("nb"))
+    sizes = written(stars.groupBy("first").agg(F.expr(_blocks("count(*)", "sum(n)")).alias("nb")))
     leaves = stars.join(sizes, "first").select("first", F.expr("pmod(xxhash64(v), nb)").cast("int").alias("part"), "v")
     hubs = sizes.select("first", F.explode(F.expr("sequence(0, nb - 1)")).alias("part"), F.col("first").alias("v"))
     fams = written(leaves.unionByName(hubs).select(F.xxhash64("first", "part").alias("fam"), "v"))
@@ -195,7 +195,7 @@ def _links(classes: DataFrame, docs: DataFrame, sub: int, shingle: int, percent:
     fams = written(dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("fam"), "v"))
     more = _confirmed(fams, texts, shingle, percent)
     out = roots if more.isEmpty() else components(links.unionByName(more))
-    discard(stars, texts, found, cut, fams, links, more)
+    discard(stars, sizes, texts, found, cut, fams, links, more)
     return out
 
 
