@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import U, lean, mix, Rolling
-from .common import discard, table, written
+from .common import table, written
 
 LENGTH, GRAM = 200, 48
 _WINDOW = LENGTH - GRAM + 1
@@ -447,11 +447,10 @@ def repeated_ranges(rows: DataFrame, n_bytes: int, scratch: list[DataFrame]) ->
         most = (LENGTH if step == STEPS[0] else STEPS[0]) // step + 1
         tasks = most * found[-1].where(f"kind <> {RANGE}").count() // TASK_ENTRIES
         part = _dealt(around.mapInArrow(_part_entries(step, 0 if last else HOT), _ROWS), tasks, not last)
-        found.append(written(part))
+        found.append(part if last else written(part))
         if not last:
             around = around.drop("todo").join(_todo(found[-1]), "row")
-    discard(held)
-    scratch += found
+    scratch += [held, *found[:-1]]
     ranges = [f.where(f"kind = {RANGE}").select("row", F.col("at").alias("start"), F.col("c").alias("end")) for f in found]
     return reduce(DataFrame.unionByName, ranges)
 
