@@ -28,8 +28,8 @@ from .common import table
 from .letters import folded, has_letter
 
 SAMPLE, LEAST, LEARNED, DIMS, CLEAR, EXHAUSTIVE = 3000, 50, 1 << 20, 4096, 0.75, 6
-#: Rows whose counts are held at once.
-ROWS = 256
+#: Rows whose counts are held at once, and parts in which the rows of a language are ranked first.
+ROWS, PARTS = 256, 64
 _MASK = U(DIMS - 1)
 
 
@@ -128,8 +128,12 @@ def sampled(docs: DataFrame, kind: str, sample: int, least: int, most_bytes: int
     rows = rows.withColumn("mark", F.xxhash64("text")).where(f"doc_id IS NOT NULL AND kind IS NOT NULL AND octet_length(text) <= {most_bytes}")
     keys = rows.select("doc_id", "mark", "kind").distinct()
     kinds = max(1, keys.select("kind").distinct().count())
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark")
-    chosen = keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(least, sample // kinds)).drop("place")
+    most = max(least, sample // kinds)
+    order = F.xxhash64("doc_id", "mark"), "doc_id", "mark"
+    chosen = keys.withColumn("part", F.pmod(F.xxhash64("mark", "doc_id"), F.lit(PARTS)))
+    for by in (["kind", "part"], ["kind"]):  # a value that most rows have is ranked in parts first
+        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+    chosen = chosen.select("doc_id", "mark", "kind")
     # bounded by max(sample, kinds * least) rows, so it may be broadcast
     return rows.join(F.broadcast(chosen), ["doc_id", "mark", "kind"]).dropDuplicates(["doc_id", "mark", "kind"])
 
