@@ -5,13 +5,16 @@ bits of the pair's hash with weight 1, plus 1 for each word of more than three c
 the weight is for it. Four 16-bit counters share a long, so a term costs sixteen additions; a text of more than CHUNK
 terms is counted in chunks, in which no counter can overflow.
 
-The next document by id is found without a global sort: ids are cut into ranges at quantiles that are ids themselves,
-and the rows at a cut are also sent, as sentinels, to the range before it (those with the first id to the last range).
-One shuffle by range serves the successor, the counting and the successor's fingerprint.
+The next document by id is found without a global sort: ids are cut into ranges at ids of a bounded sample of rows (exact
+64-bit values, so each is the id of some row), and the rows at a cut are also sent, as sentinels, to the range before it
+(those with the first id to the last range). One shuffle by range serves the successor, the counting and the successor's
+fingerprint. All cuts are one literal, so the plan has as many expressions for 8192 ranges as for two.
 
 within_radius() finds all fingerprints within a Hamming radius: the 64 bits are cut into BLOCKS blocks, and for every
 choice of BLOCKS - radius blocks there is a table keyed by them; two fingerprints within the radius agree in all the
 blocks of at least one table. Candidates of a table are verified, and each pair is taken from the first table that has it.
+The tables are joined by shuffles: Spark's estimate is of fingerprints before each has become a row of every table, so what it
+would broadcast grows with the input, past any threshold.
 
 Defined cases: null text is empty; an empty text has the fingerprint of the empty word; equal texts have equal
 fingerprints; rows with null ids come first; rows of one id follow each other by the hash of the text; a lone row is its own
@@ -34,39 +37,48 @@ CHUNK_BITS, LANES, MASK = 14, 16, 0x0001000100010001
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 #: Rows of a range, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 256, 8192
+#: Sampled rows of a range, about.
+SAMPLED = 16
 BLOCKS, RADIUS = 6, 3
 #: Rows whose ids this divides are the queries of the search.
 SEARCHED = 100
 
 
+def _longs(xs: list[int]) -> Column:
+    """An array of bigint, as a single literal: an expression for each of thousands takes a minute, and much of the driver's memory, to plan."""
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+
+
 def _range_of(doc_id: Column, cuts: list[int]) -> Column:
     """How many cuts are at or below doc_id: a search among every k-th cut, then among the k behind it."""
     if not cuts:
         return F.lit(0)
     k = isqrt(len(cuts)) + 1
-    parts = [cuts[i : i + k] for i in range(0, len(cuts), k)]
-    longs = lambda xs: F.array(*(F.lit(x).cast("bigint") for x in xs))
     below = lambda xs: F.size(F.filter(xs, lambda c: c <= doc_id))
-    part = below(longs([p[0] for p in parts]))
-    inner = below(F.element_at(F.array(*(longs(p) for p in parts)), F.greatest(part, F.lit(1))))
+    part = below(_longs(cuts[::k]))
+    inner = below(F.slice(_longs(cuts), F.greatest(part - 1, F.lit(0)) * k + 1, F.lit(k)))
     return F.when(doc_id.isNull() | (part == 0), F.lit(0)).otherwise((part - 1) * k + inner)
 
 
+def _cuts(docs: DataFrame, n_rows: int, ranges: int) -> list[int]:
+    """Ids, in order, that cut docs into about so many ranges, of a sample of SAMPLED * ranges rows by hash of their place."""
+    step = max(1, n_rows // (SAMPLED * ranges))
+    some = docs.select("doc_id", F.monotonically_increasing_id().alias("at")).where(F.pmod(F.xxhash64("at"), F.lit(step)) == 0)
+    ids = sorted(r.doc_id for r in some.select("doc_id").where("doc_id IS NOT NULL").collect())
+    return sorted({ids[len(ids) * i // ranges] for i in range(1, ranges)}) if ids else []
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """bucket, rn, sentinel, doc_id, text, next_text; rn orders the rows of a bucket."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seen = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    n = max(0, min(seen["n"] // RANGE_ROWS, MOST_RANGES) - 1)
-    cuts: list[int] = []
-    if n:
-        share = F.array(*(F.lit((i + 1) / (n + 1)) for i in range(n)))
-        found = docs.agg(F.percentile_approx("doc_id", share, 20 * MOST_RANGES)).first()[0] or []
-        cuts = sorted({c for c in found if c > seen["low"] or seen["nulls"]})
+    ranges = min(seen["n"] // RANGE_ROWS, MOST_RANGES)
+    cuts = [c for c in _cuts(docs, seen["n"], ranges) if c > seen["low"] or seen["nulls"]] if ranges > 1 else []
     first = F.col("doc_id").isNull() if seen["nulls"] else F.col("doc_id") == F.lit(seen["low"])
     own = F.struct(F.col("own").alias("bucket"), F.lit(0).alias("sentinel"))
     before = F.struct((F.col("own") - 1).alias("bucket"), F.lit(1).alias("sentinel"))
     at_end = F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("sentinel"))
-    cut = F.get(F.array(*(F.lit(c).cast("bigint") for c in cuts)), F.col("own") - 1) == F.col("doc_id") if cuts else F.lit(False)
+    cut = F.get(_longs(cuts), F.col("own") - 1) == F.col("doc_id") if cuts else F.lit(False)
     places = F.filter(F.array(own, F.when(cut, before), F.when(first, at_end)), lambda x: x.isNotNull())
     rows = docs.withColumn("own", _range_of(F.col("doc_id"), cuts)).withColumn("place", F.explode(places)).select("place.*", "doc_id", "text")
     order = Window.partitionBy("bucket").orderBy("sentinel", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -158,7 +170,7 @@ def within_radius(fps: DataFrame, queries: DataFrame | None = None, radius: int
     differ = F.col("a").bitwiseXOR(F.col("b"))
     first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m).cast("bigint")) == 0, F.lit(i)) for i, m in enumerate(masks)), F.lit(-1))
     near = (F.col("a") != F.col("b") if queries is not None else F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius)
-    pairs = a.join(b, (a["t"] == b["t"]) & (a["key"] == b["key"]) & near & (first == a["t"]))
+    pairs = a.hint("merge").join(b, (a["t"] == b["t"]) & (a["key"] == b["key"]) & near & (first == a["t"]))
     return pairs.select("a", "b", F.bit_count(differ).alias("distance"))
 
 

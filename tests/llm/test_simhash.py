@@ -92,3 +92,32 @@ def test_fingerprints_match_plain_votes(spark):
     texts += [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 300))) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id: r.fp % 2**64 for r in simhash.fingerprints(docs).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_ranges_of_ids_above_double_precision(spark, monkeypatch):
+    """Cuts are ids to the last bit, so every range knows the first row of the next."""
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 3)
+    rows = [(i, f"text {i} and {i * 7 % 31} of many words") for i in range(2**60 + 1, 2**60 + 400, 7)] + [(-(2**61) - 1, "first one"), (3, "third")]
+    got = {r.doc_id: r for r in simhash.edited_neighbours(docs_of(spark, rows).repartition(3)).collect()}
+    ordered = sorted(rows)
+    for k, (i, t) in enumerate(ordered):
+        cut = len(t) // 4
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + ordered[(k + 1) % len(ordered)][1][:cut]).encode()).hexdigest()
+
+
+def test_plan_does_not_grow_with_the_ranges(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 4)
+    docs = spark.range(1200).selectExpr("id * 3 AS doc_id", "concat('text ', id) AS text")
+    rows = simhash.with_next(docs)
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("cast(") < 50
+    assert rows.where("sentinel = 0 AND next_text IS NULL").isEmpty()
+    assert rows.select("bucket").distinct().count() > 200
+
+
+def test_tables_are_not_broadcast(spark):
+    """A query is a row of every table: what Spark takes for small before that may not be."""
+    fps = spark.range(3000).selectExpr("xxhash64(id) AS fp")
+    near = simhash.within_radius(fps, fps.where("fp % 100 = 0"))
+    near.collect()
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
