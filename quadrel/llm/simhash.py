@@ -3,7 +3,8 @@
 The terms of a text are its pairs of neighbouring words (a lone word pairs with nothing). Each occurrence votes on the 64
 bits of the pair's hash with weight 1, plus 1 for each word of more than three characters; a bit is set if more than half of
 the weight is for it. Four 16-bit counters share a long, so a term costs sixteen additions; a text of more than CHUNK
-terms is counted in chunks, in which no counter can overflow.
+terms is counted in chunks, in which no counter can overflow: a term weighs 3 at most, and the top counter has 15 bits, as the
+sums of longs are signed and checked.
 
 The next document by id is found without a global sort: ids are cut into ranges at ids of a bounded sample of rows (exact
 64-bit values, so each is the id of some row), and the rows at a cut are also sent, as sentinels, to the range before it
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-CHUNK_BITS, LANES, MASK = 14, 16, 0x0001000100010001
+CHUNK_BITS, LANES, MASK = 13, 16, 0x0001000100010001
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 #: Rows of a range, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 256, 8192

@@ -94,6 +94,14 @@ def test_fingerprints_match_plain_votes(spark):
     assert {r.doc_id: r.fp % 2**64 for r in simhash.fingerprints(docs).collect()} == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_votes_of_one_pair_repeated(spark):
+    """Every term of a chunk may vote for the same bits with the greatest weight."""
+    docs = docs_of(spark, [(1, "aaaa bbbb " * 9000), (2, "aaaa " * 40_000), (3, "aaaa aaaa")])
+    fp = {r.doc_id: r.fp for r in simhash.fingerprints(docs).collect()}
+    assert len(fp) == 3 and fp[2] == fp[3]
+    assert simhash.edited_neighbours(docs).count() == 3
+
+
 def test_ranges_of_ids_above_double_precision(spark, monkeypatch):
     """Cuts are ids to the last bit, so every range knows the first row of the next."""
     monkeypatch.setattr(simhash, "RANGE_ROWS", 3)
