@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,8 @@ EARTH_DIAMETER_KM = 12742.0
 LOCAL = 100_000
 #: Pairs of a tile of a block, and the most tiles that are dealt out apart; rows of equal values that go together.
 TILE, MOST_TILES, CHUNK = 1_000_000, 4096, 1024
+#: Pairs of different values of a block that one task assigns.
+IN_A_TASK = 2_000_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -155,6 +161,65 @@ def assign(pairs: DataFrame, keep: float = KEPT, local: int = LOCAL) -> DataFram
     return out.unionByName(out.sparkSession.createDataFrame(last, left.schema))
 
 
+def _in_order(pairs: pd.DataFrame, ours: dict, theirs: dict) -> Iterator[tuple]:
+    """(s, u, score) as taken one by one, score descending, then s, then u; pairs (a, b, score) are of classes, ours and theirs the ids of each in
+    order. Of a class the least free id is always taken first, so a place in it says which are left."""
+    at_a, at_b = dict.fromkeys(ours, 0), dict.fromkeys(theirs, 0)
+    score = pairs["score"].to_numpy()
+    order = np.argsort(-score, kind="stable")
+    a, b, score = pairs["a"].to_numpy()[order], pairs["b"].to_numpy()[order], score[order]
+    edges = np.flatnonzero(np.r_[True, score[1:] != score[:-1], True]) if len(score) else []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        partners: dict = {}
+        for x, y in zip(a[low:high], b[low:high], strict=True):
+            if at_a[x] < len(ours[x]) and at_b[y] < len(theirs[y]):
+                partners.setdefault(x, []).append(y)
+        heap = [(ours[x][at_a[x]], x) for x in partners]
+        heapify(heap)
+        while heap:
+            s, x = heappop(heap)
+            partners[x] = [y for y in partners[x] if at_b[y] < len(theirs[y])]
+            if partners[x]:
+                y = min(partners[x], key=lambda y: theirs[y][at_b[y]])
+                yield s, theirs[y][at_b[y]], score[low]
+                at_a[x] += 1
+                at_b[y] += 1
+                if at_a[x] < len(ours[x]):
+                    heappush(heap, (ours[x][at_a[x]], x))
+
+
+def assign_blocks(ours: DataFrame, theirs: DataFrame, mine: list[str], other: list[str], score: Column, keep: float = KEPT) -> DataFrame:
+    """assign() of all pairs within a block, ours (block, s, mine) and theirs (block, u, other), score being of the columns mine and other.
+
+    Where every s and every u is in one row, blocks are apart, and rows of equal values are a class: a task takes a block from the pairs of
+    its classes, and pairs of rows are never made. Blocks of more than IN_A_TASK pairs of classes, and all where ids repeat, go by assign()."""
+    apart = all(r["n"] == r["d"] for r in (df.where("block IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct(k).alias("d")).first() for df, k in ((ours, "s"), (theirs, "u"))))
+    if not apart:
+        return assign(block_pairs(ours, theirs, mine, other, {"score": score}), keep)
+    a = ours.where("block IS NOT NULL").groupBy("block", *mine).agg(F.array_sort(F.collect_list("s")).alias("ids"))
+    b = theirs.where("block IS NOT NULL").groupBy("block", *other).agg(F.array_sort(F.collect_list("u")).alias("ids"))
+    a, b = settled(a), settled(b)
+    sizes = a.groupBy("block").agg(F.count("*").alias("n")).join(b.groupBy("block").agg(F.count("*").alias("m")), "block")
+    large = settled(sizes.where(F.col("n") * F.col("m") > IN_A_TASK).select("block"))
+    head = lambda df, values, name: df.join(F.broadcast(large), "block", "left_anti").select("block", F.col("block").alias("of"), *values, F.get("ids", F.lit(0)).alias(name))
+    pairs = block_pairs(head(a, mine, "a"), head(b, other, "b").drop("of"), mine, other, {"score": score}).where(F.col("score") >= keep)
+    ids = {"s": ours.schema["s"].dataType, "u": theirs.schema["u"].dataType}
+    none = {k: F.lit(None).cast(T.ArrayType(t)).alias(k) for k, t in ids.items()}
+    members = a.select(F.col("block").alias("of"), F.col("ids").alias("s"), none["u"]).unionByName(b.select(F.col("block").alias("of"), none["s"], F.col("ids").alias("u")))
+    schema = T.StructType([*(T.StructField(k, t) for k, t in ids.items()), T.StructField("score", T.DoubleType())])
+
+    def block(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        known = {k: {x[0]: x for x in members[k].to_pylist() if x} for k in ("s", "u")}
+        rows = list(_in_order(pairs.select(["a", "b", "score"]).to_pandas(), known["s"], known["u"]))
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pairs.schema.field("a").type, pairs.schema.field("b").type, pa.float64()))], names=["s", "u", "score"])
+
+    out = pairs.groupBy("of").cogroup(members.join(F.broadcast(large.select(F.col("block").alias("of"))), "of", "left_anti").groupBy("of")).applyInArrow(block, schema)
+    if large.isEmpty():
+        return out
+    some = lambda df: df.join(F.broadcast(large), "block", "left_semi")
+    return out.unionByName(assign(block_pairs(some(ours), some(theirs), mine, other, {"score": score}), keep))
+
+
 def lookup(titles: DataFrame, names: DataFrame, prefix: str, known: DataFrame) -> DataFrame:
     """(s, o): IRIs from a name table (s, name) for subjects that are known."""
     return names.join(known.select("s").distinct(), "s", "left_semi").select("s", F.concat(F.lit(prefix), F.replace(F.trim("name"), F.lit(" "), F.lit("_"))).alias("o"))

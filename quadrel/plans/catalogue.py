@@ -694,7 +694,7 @@ def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     km = linking.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     a, b = _places(spark, sf_dir)
-    return linking.assign(linking.block_pairs(a.withColumnRenamed("c_custkey", "s"), b.withColumnRenamed("s_suppkey", "u"), ["lat", "lon"], ["lat2", "lon2"], {"score": F.round(1 - km / 20016, 4)}))
+    return linking.assign_blocks(a.withColumnRenamed("c_custkey", "s"), b.withColumnRenamed("s_suppkey", "u"), ["lat", "lon"], ["lat2", "lon2"], F.round(1 - km / 20016, 4))
 
 
 _BEST = "(SELECT doc_id AS s, doc_id % 3 AS u, (doc_id * 37 % 101) / 100.0 AS score, source FROM documents)"

@@ -35,3 +35,35 @@ def test_pairs_of_a_block_are_dealt_out(spark, monkeypatch):
     assert len(sizes) > 4 and max(sizes) < len(got) / 2
     empty = linking.block_pairs(a.limit(0), b, ["x", "y"], ["x2", "y2"], {"score": score()})
     assert empty.isEmpty()
+
+
+def test_blocks_are_assigned_as_pairs_are_one_by_one(spark, monkeypatch):
+    for seed, most in ((2, 1 << 20), (3, 100)):  # the second: one block goes by pairs
+        monkeypatch.setattr(linking, "IN_A_TASK", most)
+        ours, theirs, a, b = sides(spark, seed)
+        pairs = sorted((-near(x, y, x2, y2), s, u) for g, s, x, y in ours for h, u, x2, y2 in theirs if g is not None and g == h and y2 is not None)
+        want, used_s, used_u = [], set(), set()
+        for minus, s, u in pairs:
+            if -minus >= 0.3 and s not in used_s and u not in used_u:
+                used_s.add(s)
+                used_u.add(u)
+                want.append((s, u, -minus))
+        got = linking.assign_blocks(a, b, ["x", "y"], ["x2", "y2"], score())
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    twice = linking.assign_blocks(a.unionByName(a.withColumn("block", F.lit(2))), b, ["x", "y"], ["x2", "y2"], score())  # an id in two blocks is one id
+    rows = [tuple(r) for r in twice.collect()]
+    assert len({r[0] for r in rows}) == len({r[1] for r in rows}) == len(rows)
+
+
+def test_assignment_makes_no_pairs_of_rows(spark):
+    """2000 by 2000 rows at 16 places: only their classes are paired."""
+    rows = spark.range(2000).selectExpr("1 AS block", "id AS s", "double(id % 4) AS x", "double(id % 8 div 4) AS y")
+    other = rows.selectExpr("block", "s AS u", "x AS x2", "y AS y2")
+    seen = []
+    plain = linking.settled
+    linking.settled = lambda df: seen.append(plain(df)) or seen[-1]
+    try:
+        assert linking.assign_blocks(rows, other, ["x", "y"], ["x2", "y2"], score()).count() == 2000
+    finally:
+        linking.settled = plain
+    assert max(t.count() for t in seen) < 2000
