@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quadrel.functions import parsers, wikitext
 from quadrel.functions.terms import RDF, RDFS, XSD, clean_title, norm_key, resource_iri
-from quadrel.operators.state import settled
+from quadrel.operators.state import settled, spread, unique
 
 _PARSED = "boxes array<struct<ord: int, template: string, params: array<struct<ord: int, name: string, raw: string>>>>, links array<struct<target: string, shown: string>>, categories array<string>, lead string"
 
@@ -29,7 +29,8 @@ def load(text: str) -> dict:
 
 
 def parse_articles(articles: DataFrame) -> DataFrame:
-    """articles with boxes, links, categories and lead from the column text, in Arrow batches."""
+    """articles with boxes, links, categories and lead from the column text, in Arrow batches. Parsed once, by all cores, and written: every layer
+    and every dataset reads the table."""
 
     @F.pandas_udf("struct<" + _PARSED.replace("boxes array", "boxes: array").replace("links array", "links: array").replace("categories array", "categories: array").replace("lead string", "lead: string") + ">")
     def run(s: pd.Series) -> pd.DataFrame:
@@ -40,7 +41,7 @@ def parse_articles(articles: DataFrame) -> DataFrame:
             rows.append({"boxes": boxes, "links": found, "categories": wikitext.categories(t), "lead": wikitext.lead(t)})
         return pd.DataFrame(rows, columns=["boxes", "links", "categories", "lead"])
 
-    return articles.withColumn("_p", run("text")).select(*articles.columns, "_p.*")
+    return settled(spread(articles, "id").withColumn("_p", run("text")).select(*articles.columns, "_p.*"))
 
 
 def rule_condition(rule: dict, title: Column, categories: Column) -> Column:
@@ -118,7 +119,7 @@ def common_layer(parsed: DataFrame, base: str, wiki: str, lang: str = "vi") -> D
         _out(revision.where("revision_timestamp IS NOT NULL"), "provenance", lit("http://www.w3.org/ns/prov#generatedAtTime"), F.col("revision_timestamp"), "literal", "", XSD + "dateTime", s=version),
         _out(a.where("cls IS NOT NULL"), "instance-types", lit(RDF + "type"), F.col("cls")),
     ]
-    return reduce(DataFrame.unionByName, out).distinct()
+    return unique(reduce(DataFrame.unionByName, out))
 
 
 def long_params(parsed: DataFrame, last_of_template: bool) -> DataFrame:
@@ -138,10 +139,10 @@ def _raw_value(s: pd.Series) -> pd.DataFrame:
 def raw_layer(parsed: DataFrame, base: str, skip: list[str] = (), lang: str = "vi") -> DataFrame:
     """infobox-properties: links of a parameter if it has any, else its text up to 500 characters."""
     a = long_params(parsed.withColumn("s", resource_iri(base, F.col("title"))), False).where(~F.col("param").isin(list(skip)))
-    a = a.withColumn("v", _raw_value("raw")).withColumn("p", F.concat(F.lit(base + "property/"), F.replace("param", F.lit(" "), F.lit("_"))))
+    a = settled(a.withColumn("v", _raw_value("raw"))).withColumn("p", F.concat(F.lit(base + "property/"), F.replace("param", F.lit(" "), F.lit("_"))))
     linked = a.where("size(v.links) > 0").select("s", "p", F.explode("v.links").alias("t"))
     texts = a.where("size(v.links) = 0 AND v.text <> ''")
-    return _out(linked, "infobox-properties", F.col("p"), resource_iri(base, F.col("t"))).unionByName(_out(texts, "infobox-properties", F.col("p"), F.col("v.text"), "literal", lang)).distinct()
+    return unique(_out(linked, "infobox-properties", F.col("p"), resource_iri(base, F.col("t"))).unionByName(_out(texts, "infobox-properties", F.col("p"), F.col("v.text"), "literal", lang)))
 
 
 def anchors(parsed: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def mapping_layer(classified: DataFrame, mapping: dict, closure: DataFrame) -> t
     # the markup of each mapped parameter is scanned once; rules read their own rows of the table
     params = settled(params.join(F.broadcast(wanted.distinct()), ["template", "param"], "left_semi").withColumn("m", parsers.scanned(F.col("raw"))))
     types = classified.where("cls IS NOT NULL").select(F.col("title").alias("t"), F.col("cls").alias("c"))
-    reachable = types.join(closure, "c", "left").select("t", F.coalesce("super", "c").alias("c")).unionByName(types).distinct()
+    reachable = types.join(closure, "c", "left").select("t", F.coalesce("super", "c").alias("c")).unionByName(types)
     titles, forms = classified.select("title"), anchors(classified)
     emitted, refused = [], []
     for template, spec in mapping["templates"].items():
@@ -200,7 +201,7 @@ def mapping_layer(classified: DataFrame, mapping: dict, closure: DataFrame) -> t
     fields = "dataset string, s string, p string, o string, o_kind string, o_lang string, o_dt string, template string, param string"
     empty = classified.sparkSession.createDataFrame([], fields)
     out = reduce(DataFrame.unionByName, emitted, empty)
-    triples = out.drop("template", "param").distinct()
+    triples = unique(out.drop("template", "param"))
     triples = triples.unionByName(_density(triples, mapping)) if mapping.get("density") else triples
     none = classified.sparkSession.createDataFrame([], "property string, reason string")
     rejected = reduce(DataFrame.unionByName, refused, none).groupBy("property", "reason").agg(F.count("*").alias("n"))

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes, by Spark's estimate, of a part of a table that is dealt out; the most parts, as the rows of more are kept in memory before they are written.
+PART, MOST_PARTS = 1 << 19, 200
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -27,6 +31,32 @@ def settled(df: DataFrame) -> DataFrame:
     return back
 
 
+def parts(df: DataFrame) -> int:
+    """Parts for a table that is dealt out: so many that a part doesn't grow with the table until there are MOST_PARTS; those of any shuffle if
+    Spark doesn't know the size, as of rows from the driver."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_PARTS, 1 + size // PART if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, for rows that are much work each, whatever the files they come from."""
+    return df.repartition(min(MOST_PARTS, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def unique(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """The distinct rows of df, which is made of like (for a join, Spark estimates a product). They are dealt out first, so
+    no task has a table of all that it reads, which few tasks may do."""
+    return df.repartition(parts(df) if like is None else min(MOST_PARTS, 4 * parts(like)), *df.columns).distinct()
+
+
+def without(df: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct rows of df that known doesn't have, by one grouping of both: Spark would move an anti join below the dealing out, to
+    partitions that grow with the rows. Columns are the same."""
+    n = min(MOST_PARTS, 4 * parts(known))
+    both = df.withColumn("_known", F.lit(0)).unionByName(known.select(df.columns).withColumn("_known", F.lit(1)))
+    return both.repartition(n, *df.columns).groupBy(*df.columns).agg(F.max("_known").alias("_known")).where("_known = 0").drop("_known")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more."""
     for t in tables:

@@ -91,3 +91,12 @@ def test_reports(spark, both):
     assert {(r.cls, r.n, r.right, r.precision) for r in matching.reviewed(review, "cls").collect()} == {("a", 2, 1, 0.5), ("b", 1, 1, 1.0)}
     assert matching.united(best, best, gold.withColumnRenamed("g", "u")).count() == 6
     assert [round(r[0], 1) for r in spark.createDataFrame([(i,) for i in range(5)], "d int").select(linking.year_similarity(F.col("d"), F.lit(0))).collect()] == [1.0, 1.0, 0.5, 0.5, 0.0]
+
+
+def test_articles_are_parsed_once(spark):
+    """Every layer reads the written result; the parser's work doesn't depend on how few files the articles come from."""
+    from quadrel.operators import mapping
+
+    parsed = mapping.parse_articles(spark.range(40, numPartitions=1).selectExpr("id", "concat('T', id) AS title", "'{{Infobox a|b = [[c]]}} x' AS text"))
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and parsed.where("lead = 'x' AND size(boxes) = 1").count() == 40
