@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.operators.state import settled
+from quadrel.operators.state import settled, unique, without
 
 
 def transitive(edges: DataFrame) -> DataFrame:
     """(s, o): pairs joined by one or more edges. Pairs new in a round are extended by all pairs known, so the length of the paths
     doubles in every round; cycles end it."""
-    total = delta = settled(edges.select("s", "o").distinct())
+    total = delta = settled(unique(edges.select("s", "o")))
     while True:
-        longer = delta.join(total.select(F.col("s").alias("o"), F.col("o").alias("far")), "o").select("s", F.col("far").alias("o")).distinct()
-        delta = settled(longer.join(total, ["s", "o"], "left_anti"))
+        longer = delta.join(total.select(F.col("s").alias("o"), F.col("o").alias("far")), "o").select("s", F.col("far").alias("o"))
+        delta = settled(without(longer, total))
         if delta.isEmpty():
             return total
         total = total.unionByName(delta)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrel.functions.terms import OWL, RDF, RDFS
 from quadrel.operators.paths import transitive
-from quadrel.operators.state import settled
+from quadrel.operators.state import settled, unique, without
 from quadrel.operators.store import TRIPLE
 
 #: Schemas up to this many triples are closed on the driver and joined as local tables; larger ones are closed by Spark.
@@ -81,7 +81,8 @@ def _local_superclasses(rows: list[tuple]) -> set[tuple[str, str]]:
 
 
 def _frame(axioms: DataFrame, rows, fields: str) -> DataFrame:
-    return axioms.sparkSession.createDataFrame(sorted(rows), ", ".join(f"{f} string" for f in fields.split()))
+    """A local table, to be broadcast: Spark doesn't know that it is small, and a shuffle by predicate or class is one task's for data of one."""
+    return F.broadcast(axioms.sparkSession.createDataFrame(sorted(rows), ", ".join(f"{f} string" for f in fields.split())))
 
 
 def lists(axioms: DataFrame) -> DataFrame:
@@ -123,14 +124,13 @@ def superclasses(axioms: DataFrame) -> DataFrame:
 def with_super_types(types: DataFrame, closure: DataFrame) -> DataFrame:
     """(s, c): asserted types and all above them."""
     up = types.join(closure, "c", "left").select("s", F.coalesce("super", "c").alias("c"))
-    return up.unionByName(types.select("s", "c")).distinct()
+    return unique(up.unionByName(types.select("s", "c")), types)
 
 
 def most_specific(types: DataFrame, closure: DataFrame) -> DataFrame:
     """(s, c) without classes that have another type of the same subject strictly below them."""
     strict = closure.where("c <> super")
-    above = types.join(strict, "c").select("s", F.col("super").alias("c")).distinct()
-    return types.distinct().join(above, ["s", "c"], "left_anti")
+    return without(types.select("s", "c"), types.join(strict, "c").select("s", F.col("super").alias("c")))
 
 
 def disjoint_pairs(axioms: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ class Rules:
         return out
 
     def step(self, delta: DataFrame, total: DataFrame) -> DataFrame:
-        """What the rules derive with at least one premise in delta."""
+        """What the rules derive with at least one premise in delta; a triple may come several times."""
         typed = delta.where(F.col("p") == TYPE)
         objects = delta.where("o_kind = 'uri'")
         blank = [F.lit("uri").alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt")]
@@ -272,22 +272,21 @@ class Rules:
             return found.join(least, ["s", "p"]).where("o <> a").select(F.col("o").alias("s"), F.lit(SAME).alias("p"), F.col("a").alias("o"), *blank)
 
         rule(self.functional, functional)
-        return reduce(DataFrame.unionByName, out, delta.limit(0)).distinct()
+        return reduce(DataFrame.unionByName, out, delta.limit(0))
 
 
 def close(triples: DataFrame, axioms: DataFrame) -> DataFrame:
     """Triples derived from triples by the rules of axioms and not among them: no owl:Thing, no type of a literal. It ends when a round
     derives nothing."""
     rules = Rules(axioms)
-    total = delta = settled(rules.premises(triples.select(TRIPLE)).distinct())
-    first = settled(rules.facts(triples).distinct().join(total, TRIPLE, "left_anti"))
+    total = delta = settled(unique(rules.premises(triples.select(TRIPLE))))
+    first = settled(without(rules.facts(triples), total))
     derived = None
     if not first.isEmpty():
         derived, total = first, total.unionByName(first)
         delta = total
     while True:
-        new = rules.step(delta, total).where(F.col("o") != OWL + "Thing").join(total, TRIPLE, "left_anti")
-        delta = settled(new)
+        delta = settled(without(rules.step(delta, total).where(F.col("o") != OWL + "Thing"), total))
         if delta.isEmpty():
             out = derived if derived is not None else delta
             return out.where(~F.startswith("p", F.lit(STEP)))

@@ -238,3 +238,19 @@ def test_more_rules(spark, monkeypatch, limit):
     assert {(tail(r.s), tail(r.p), tail(r.o)) for r in got.collect()} == want
     rows = [(X + "a", OWL + "sameAs", X + "a"), (X + "a", X + "p", "_:b"), ("http://else", X + "p", X + "a"), (X + "a", RDF + "type", OWL + "Thing"), (X + "a", X + "p", X + "z")]
     assert [tuple(r)[:3] for r in reason.about(triples(spark, rows), X).collect()] == [rows[-1]]
+
+
+def test_rows_are_dealt_out_before_they_are_made_distinct(spark):
+    """A task that reads many rows must not hold a table of them, nor one task all rows of a predicate."""
+    from quadrel.operators.state import unique, without
+
+    rows = spark.range(3000, numPartitions=1).selectExpr("id % 1000 AS s", "1 AS o")
+    assert unique(rows).count() == 1000 and without(rows, rows.where("s < 900")).count() == 100 and without(rows.limit(0), rows).isEmpty()
+    for made in (unique(rows), without(rows, rows.where("s < 900"))):
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)
+        assert "HashAggregate" not in plan[1].split("Exchange")[0].split("+- ")[-1] and "REPARTITION_BY_NUM" in plan[1]
+        assert plan[1].count("HashAggregate") == 0  # nothing is grouped below the exchange
+    many = spark.range(50).selectExpr("concat('urn:a', id) AS s", "'urn:p' AS p", "concat('urn:b', id) AS o", "'uri' AS o_kind", "'' AS o_lang", "'' AS o_dt")
+    inverse = spark.createDataFrame([("urn:p", OWL + "inverseOf", "urn:q", "uri", "", "")], "s string, p string, o string, o_kind string, o_lang string, o_dt string")
+    step = reason.Rules(inverse).step(many, many)
+    assert "SortMergeJoin" not in step._jdf.queryExecution().executedPlan().toString() and step.count() == 50
