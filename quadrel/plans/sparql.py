@@ -9,7 +9,7 @@ columns of the store, so they reach the scan.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +143,41 @@ class Compiler:
             bound |= names(best)
         return out
 
+    def counted(self, triples, needed: set[str], graph) -> Solutions:
+        """The solutions of a basic pattern in the variables needed, column _w saying how often each comes. Sequences of a path become patterns; the
+        variables that are not needed are grouped away one by one, each time the one that leaves the fewest, so solutions are never spelled out."""
+        flat, todo, fresh = [], list(triples), count()
+        while todo:
+            s, p, o = todo.pop(0)
+            if p[0] == "seq":
+                ends = [s, *(("var", f"_q{next(fresh)}") for _ in p[1][1:]), o]
+                todo = [(a, x, b) for a, x, b in zip(ends[:-1], p[1], ends[1:], strict=True)] + todo
+            elif p[0] == "inv":
+                todo.insert(0, (o, p[1], s))
+            else:
+                flat.append((s, p, o))
+        parts = []
+        for t in flat:
+            part = self.triple(t, graph)
+            parts.append(Solutions(part.df.withColumn("_w", F.lit(1).cast("bigint")), part.names))
+
+        def met(a: Solutions, b: Solutions) -> Solutions:
+            left, right = (Solutions(x.df.withColumnRenamed("_w", w), [*x.names, w]) for x, w in ((a, "_wa"), (b, "_wb")))
+            out = self.join(left, right).df.withColumn("_w", F.col("_wa") * F.col("_wb")).drop("_wa", "_wb")
+            return Solutions(out, [*a.names, *(n for n in b.names if n not in a.names)])
+
+        while rest := {n for x in parts for n in x.names} - needed:
+            left = lambda v: {n for x in parts if v in x.names for n in x.names} - {v}
+            v = min(sorted(rest), key=lambda v: len(left(v)))
+            one = reduce(met, [x for x in parts if v in x.names])
+            names = [n for n in one.names if n != v]
+            parts = [x for x in parts if v not in x.names] + [Solutions(one.df.groupBy(*names).agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("_w")), names)]
+        out = parts.pop(0)
+        while parts:
+            k = next((i for i, x in enumerate(parts) if set(x.names) & set(out.names)), 0)
+            out = met(out, parts.pop(k))
+        return out
+
     def triple(self, t, graph) -> Solutions:
         s, p, o = t
         if p[0] in ("term", "var"):
@@ -467,7 +502,8 @@ class Compiler:
 
     def select(self, q, graph=None) -> Solutions:
         _, distinct, items, where, mod = q
-        sol = self.group(where, graph)
+        needed = self._only_counts(items, where, mod, graph)
+        sol = self.group(where, graph) if needed is None else self.counted(where[1][0][1], needed, graph)
         if mod["values"]:
             sol = self.join(sol, self.values(mod["values"]))
         aggregated = mod["group"] or any(_has_aggregate(e) for _, e in items if e) or mod["having"]
@@ -499,6 +535,20 @@ class Compiler:
             df = df.limit(mod["limit"])
         return Solutions(df.select(*names), names, set(names))
 
+    @staticmethod
+    def _only_counts(items, where, mod, graph) -> set[str] | None:
+        """The keys of groups, if solutions of one basic pattern with a sequence in it are only counted by them. In a basic pattern every variable is
+        bound, so COUNT of one counts solutions."""
+        if graph is not None and graph[0] == "var" or mod["values"] or [x[0] for x in where[1]] != ["bgp"]:
+            return None
+        triples = where[1][0][1]
+        bound = {x[1] for t in triples for x in t if x[0] == "var"}
+        keys = {n for n, e in mod["group"] if e is None}
+        used = _aggregates([e for _, e in items if e] + list(mod["having"]) + [e for e, _ in mod["order"]])
+        plain = all(a[1] == "COUNT" and not a[2] and (a[3] is None or a[3][0] == "var" and a[3][1] in bound) for a in used)
+        chained = any(t[1][0] == "seq" or t[1][0] == "inv" and t[1][1][0] == "seq" for t in triples)
+        return keys if used and plain and chained and len(keys) == len(mod["group"]) and keys <= bound else None
+
     def sort_keys(self, v: Value) -> list[Column]:
         """Unbound, blank nodes, IRIs, literals; numbers by value, the rest by code points."""
         if v.kind == "num":
@@ -539,6 +589,8 @@ class Compiler:
 
     def aggregate(self, e, sol: Solutions) -> tuple[str, Column]:
         _, name, distinct, arg, sep = e
+        if "_w" in sol.df.columns:  # counted(): each row stands for so many
+            return "num", F.coalesce(F.sum("_w"), F.lit(0)).cast("double")
         if arg is None:
             if distinct:
                 return "num", F.countDistinct(F.struct(*sol.names)).cast("double")
@@ -566,6 +618,10 @@ def _has_exists(e) -> bool:
     return e[0] == "exists" or e[0] == "call" and any(map(_has_exists, e[2]))
 
 
+def _aggregates(es) -> list:
+    return [x for e in es for x in ([e] if e[0] == "agg" else _aggregates(e[2]) if e[0] == "call" else [])]
+
+
 def _has_aggregate(e) -> bool:
     return e[0] == "agg" or e[0] == "call" and any(map(_has_aggregate, e[2]))
 

@@ -121,3 +121,17 @@ def test_constants_reach_the_files(spark):
     assert store.query(pre + "SELECT ?x WHERE {<urn:kg:region/3> :partOf ?x}").isEmpty()
     whole = {(r.p, r.o) for r in store.query(pre + "SELECT ?p ?o WHERE {<urn:kg:nation/3> ?p ?o}").collect()}
     assert ("urn:kg:partOf", "urn:kg:region/3") in whole and len(whole) == 3
+
+
+def test_counts_of_paths_do_not_spell_out_solutions(spark):
+    """40 x 40 x 40 ways through a hub and back are counted, with all their multiplicities, as a plain count has them."""
+    triples = [(f"a{i}", "p", "h") for i in range(40)] + [(f"a{i}", "p", "k") for i in range(3)] + [("h", "t", "x"), ("a1", "t", "c"), ("a2", "t", "c"), ("a39", "t", "d")]
+    store = store_of(spark, triples)
+    ways = [(a, d) for a, p, h in triples for b, q, k in triples for c, r, m in triples for d, w, n in triples if p == q == r == w == "p" and h == k and b == c and m == n]
+    q = "SELECT ?s (COUNT(?o) AS ?n) WHERE { ?o :p/^:p/:p/^:p ?s . ?s :t :c } GROUP BY ?s"
+    assert values(store.query(PRE + q)) == sorted((s, str(sum(d == s for _, d in ways))) for s in ("a1", "a2"))
+    assert values(store.query(PRE + "SELECT (COUNT(*) AS ?n) WHERE { ?o :p/^:p/:p/^:p ?s }")) == [(str(len(ways)),)]
+    assert values(store.query(PRE + "SELECT (COUNT(*) AS ?n) WHERE { ?o :p/:p ?s }")) == [("0",)]
+    assert values(store.query(PRE + "SELECT ?s (COUNT(DISTINCT ?o) AS ?n) WHERE { ?o :p/^:p ?s . ?s :t :d } GROUP BY ?s")) == [("a39", "40")]
+    plan = store.query(PRE + q)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") > 3
